@@ -58,7 +58,7 @@ def dedupe_ranked(df: DataFrame, keys: list[str], value: str, rank: str = "rank"
     """F8 for ranked tables from any source: keep the first position, re-rank.
     The min combines map-side, so copies never travel."""
     first = df.groupBy(*keys, value).agg(F.min(rank).alias(rank))
-    w = W.partitionBy(*keys).orderBy(rank)
+    w = W.partitionBy(*keys).orderBy(rank, value)
     return first.withColumn(rank, F.row_number().over(w))
 
 

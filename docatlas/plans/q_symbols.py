@@ -387,7 +387,7 @@ def f7(spark, sf):
 
 
 @query("f8_dedupe_ranked", with_views("search_results_v") + """
-select symbol, url, row_number() over (partition by symbol order by r) as rank from (
+select symbol, url, row_number() over (partition by symbol order by r, url) as rank from (
   select symbol, url, min(rank) as r from (
     select symbol, split_part(url, '-', 1) as url, rank * 100000 + length(url) as rank from search_results_v)
   group by all) qualify rank > 0""")
@@ -407,8 +407,7 @@ def x2(spark, sf):
     cands = C.url_candidates(with_module(spark, sf)).select("symbol", "url", (F.col("rank") * 2).alias("rank"))
     extra = distinct_names(spark, sf).select(
         "symbol", N.win32_url(F.lit(BASE), F.lit("winbase"), F.lower("symbol")).alias("url"), F.lit(10).alias("rank"))
-    union = cands.unionByName(extra)
-    return C.dedupe_ranked(union.select("symbol", "url", F.struct("rank", "url").alias("rank")), ["symbol"], "url")
+    return C.dedupe_ranked(cands.unionByName(extra), ["symbol"], "url")
 
 
 VALID_SQL = ", v as (select c.*, m.dll, hash_ok as valid from (select *, (length(url) * 7 + rank * 3) % 11 = 0 as hash_ok from cand) c join m using (symbol))\n"
@@ -503,9 +502,9 @@ def j18(spark, sf):
 
 
 @query("x4_both_languages", with_views("catalog_v") + """
-select lower(name) as name from catalog_v where language = 'en-us'
-intersect select lower(name) from catalog_v where language = 'pt-br'""")
+select lower(description) as name from catalog_v where language = 'en-us'
+intersect select lower(description) from catalog_v where language = 'pt-br'""")
 def x4(spark, sf):
-    cat = view(spark, sf, "catalog_v").select(F.lower("name").alias("name"), "language")
+    cat = view(spark, sf, "catalog_v").select(F.lower("description").alias("name"), "language")
     return cat.filter("language = 'en-us'").select("name").intersect(
         cat.filter("language = 'pt-br'").select("name"))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def values(rows: list[tuple], columns: str) -> str:
-    """``(values ...) as t(cols)`` for an oracle."""
+    """``(select * from (values ...) t(cols)`` for an oracle; the caller closes it."""
 
     def lit(v) -> str:
         if v is None:
@@ -31,5 +31,4 @@ def values(rows: list[tuple], columns: str) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    alias, cols = columns.split("(")
-    return f"(select * from (values {body}) {alias}({cols})"
+    return f"(select * from (values {body}) {columns}"
