@@ -29,24 +29,28 @@ def any_word(col: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(col, w))
 
 
-def unescape(col: Column) -> Column:
-    """Decode character references; numeric ones only when the text has any."""
-    parts = F.regexp_extract_all(col, F.lit(r"(?s)(&#[xX]?[0-9a-fA-F]+;|&|[^&]+)"), F.lit(1))
+def decode_numeric(html: Column) -> Column:
+    """Numeric character references of a whole page; ``<``, ``>`` and ``&`` stay escaped."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?s)(&#[xX]?[0-9a-fA-F]+;|&|[^&]+)"), F.lit(1))
 
     def decode(part: Column) -> Column:
         hexa = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]{1,6});\z", 1)
         deci = F.regexp_extract(part, r"^&#([0-9]{1,7});\z", 1)
-        code = F.when(hexa != "", F.lpad(hexa, 8, "0")).when(
+        code = F.when(hexa != "", F.lpad(F.upper(hexa), 8, "0")).when(
             deci != "", F.lpad(F.hex(deci.cast("int")), 8, "0"))
         legal = code.isNotNull() & (code < "00110000") & ~code.between("0000D800", "0000DFFF")
-        return F.when(legal, F.decode(F.unhex(code), "UTF-32")).otherwise(part)
+        return (F.when(code == "0000003C", "&lt;").when(code == "0000003E", "&gt;").when(code == "00000026", "&amp;")
+                .when(legal, F.decode(F.unhex(code), "UTF-32")).otherwise(part))
+
+    return F.when(F.contains(html, F.lit("&#")), F.array_join(F.transform(parts, decode), "")).otherwise(html)
+
 
-    out = F.when(F.contains(col, F.lit("&#")), F.array_join(F.transform(parts, decode), "")
-                 ).otherwise(col)
+def unescape(col: Column) -> Column:
+    """Decode the named character references."""
+    out = col
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(col, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))
-                  ).otherwise(col)
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def lines_of(col: Column) -> Column:
@@ -57,23 +61,35 @@ def indent_of(line: Column) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, r"(?U)^\s+", ""))
 
 
-def clean_signature(col: Column) -> Column:
-    """P5: drop blank lines, merge a modifier-only first line, cut the indent of lines 2..n."""
+def code_lines(col: Column) -> Column:
+    """Non-blank lines."""
+    return F.filter(lines_of(col), lambda x: strip(x) != "")
+
+
+def merged_lines(lines: Column) -> Column:
+    """P5, first half: a modifier-only first line joins the second one."""
     from docatlas.dims import SIGNATURE_MODIFIERS
 
-    lines = F.filter(lines_of(col), lambda x: strip(x) != "")
-    first, second = strip(lines[0]), strip(F.get(lines, F.lit(1)))
+    first = strip(F.get(lines, F.lit(0)))
     merge = (F.size(lines) > 1) & any_word(first, SIGNATURE_MODIFIERS) & ~F.contains(first, F.lit("("))
-    lines = F.when(
-        merge,
-        F.concat(F.array(F.concat_ws(" ", first, second)), F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1)))),
-    ).otherwise(lines)
+    return F.when(merge, F.concat(F.array(F.concat_ws(" ", first, strip(F.get(lines, F.lit(1))))),
+                                  F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))))).otherwise(lines)
+
+
+def laid_out(lines: Column) -> Column:
+    """P5, second half: cut the smallest indent of lines 2..n."""
     rest = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
-    cut = F.array_min(F.transform(rest, indent_of))
+    cut = F.coalesce(F.array_min(F.transform(rest, indent_of)), F.lit(0))
+    head = F.regexp_replace(F.get(lines, F.lit(0)), r"(?U)\s+\z", "")
     body = F.transform(rest, lambda x: F.concat(
         F.repeat(F.lit(" "), indent_of(x) - cut), F.regexp_replace(x, r"(?U)^\s+", "")))
-    head = F.array(F.regexp_replace(lines[0], r"(?U)\s+\z", ""))
-    return F.when(F.size(lines) == 0, col).otherwise(F.array_join(F.concat(head, body), "\n"))
+    return F.array_join(F.concat(F.array(head), body), "\n")
+
+
+def with_signature(df, source: Column, out: str):
+    """P5 as staged columns, so each list is computed once."""
+    df = df.withColumn("_lines", merged_lines(code_lines(source)))
+    return df.withColumn(out, F.when(F.size("_lines") > 0, laid_out(F.col("_lines")))).drop("_lines")
 
 
 def clean_definition(col: Column) -> Column:

@@ -37,7 +37,7 @@ CLOSE = rf"(?i)</(?:{'|'.join(CONTAINERS)})[\s>]"
 
 
 def visible_html(html: Column) -> Column:
-    return F.regexp_replace(html, HIDDEN, "")
+    return T.decode_numeric(F.regexp_replace(html, HIDDEN, ""))
 
 
 def text_of(html: Column) -> Column:
@@ -58,12 +58,19 @@ def pieces(html: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def by_page(pages: DataFrame) -> DataFrame:
+    """The one exchange.  The stage after it is heavy on CPU per byte, so it keeps
+    the configured number of partitions instead of being coalesced by size."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, "page_id")
+
+
 def raw_blocks(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per piece: page_id, pos, raw (+ carried page columns)."""
-    keep = [c for c in (carry or [])]
-    return (pages.select("page_id", *keep, "html").repartition("page_id")
-            .withColumn("html", visible_html(F.col("html")))
-            .select("page_id", *keep, F.posexplode(pieces(F.col("html"))).alias("pos", "raw")))
+    keep = list(carry or [])
+    if not keep:
+        pages = by_page(pages.select("page_id", "html")).withColumn("html", visible_html(F.col("html")))
+    return (pages.select("page_id", *keep, F.posexplode(pieces(F.col("html"))).alias("pos", "raw")))
 
 
 def describe(b: DataFrame) -> DataFrame:

@@ -130,101 +130,126 @@ def collect(cond: Column, *fields: Column | str) -> Column:
     return F.array_sort(F.collect_list(F.when(cond, F.struct("pos", *fields))))
 
 
-PAGE_COLS = ["url", "arch", "text_dll", "no_elements"]
-
-
-def page_level(pages: DataFrame) -> DataFrame:
-    """Facts of the whole page text (P16, P2c), carried as short columns."""
-    text = B.text_of(B.visible_html(F.col("html")))
-    p = pages.select("page_id", "url", "html", text.alias("page_text"))
+def page_level(pages: DataFrame, need: set[str]) -> DataFrame:
+    """Exchange, visible html and the facts of the whole page text (P16, P2c),
+    carried through the blocks as short columns."""
+    p = B.by_page(pages.select("page_id", "url", "html"))
+    p = p.withColumn("no_elements", ~F.col("html").rlike(r"<[a-zA-Z]"))
+    p = p.withColumn("html", B.visible_html(F.col("html")))
+    if not need & {"arch", "text_dll"}:
+        return p
+    p = p.withColumn("page_text", B.text_of(F.col("html")))
     low = F.lower("page_text")
-    arch = F.filter(F.array(F.when(low.rlike("x64|64-bit"), "x64"), F.when(low.rlike("x86|32-bit|desktop"), "x86")),
-                    lambda x: x.isNotNull())
+    arch = F.array_compact(F.array(F.when(low.rlike("x64|64-bit"), "x64"), F.when(low.rlike("x86|32-bit|desktop"), "x86")))
     text_dll = F.coalesce(*[T.extract(F.col("page_text"), r) for r in (
         rf"(?i)Library:\s*{MODULE}", rf"(?i)DLL:\s*{MODULE}", r"(?i)([A-Za-z0-9]+\.dll)")])
-    return p.withColumns({
-        "arch": F.when(F.size(arch) == 0, F.array(F.lit("x86"), F.lit("x64"))).otherwise(arch),
-        "text_dll": text_dll, "no_elements": ~F.col("html").rlike(r"<[a-zA-Z]"),
-    }).drop("page_text")
-
-
-def context_blocks(pages: DataFrame) -> DataFrame:
-    return with_markers(with_context(B.blocks(page_level(pages), ["url", "arch", "text_dll", "no_elements"])))
-
-
-def raw_facts(pages: DataFrame) -> DataFrame:
-    """The one aggregate per page."""
-    b = context_blocks(pages)
-    tag, bare, pos = F.col("tag"), F.col("bare"), F.col("pos")
-    is_pre = tag == "pre"
-    b = b.withColumn("rows", F.when(tag == "table", V.rows_of(F.col("raw"))))
-    b = b.withColumn("entries", F.when(tag == "table", V.value_entries(F.col("rows"))).when(
-        tag.isin("ul", "ol"), V.list_entries(F.col("raw"))))
-    sib_between = F.col("sib_count") - F.col("sib_at_head") - 1
-    near_title = F.when((F.col("near.parent") == F.col("parent")) & (sib_between <= 3), F.col("near.title"))
-    b = b.withColumn("title", F.when(tag == "table", V.title_of(
-        F.col("near.caption"), near_title, F.col("prev_p"), V.first_constants(F.col("rows")))
-    ).when(tag.isin("ul", "ol"), "List Items"))
-    calls = bare.contains("(") & bare.contains(")")
-    in_focus = F.coalesce((pos >= F.col("focus.pos")) & ~F.coalesce(F.col("left_focus"), F.lit(False)), F.lit(False))
-    lang = language_of(F.col("css"), F.col("parent_css"), F.col("head"), bare)
-    struct_code = F.col("text").rlike(r"(?s)typedef|struct") & F.contains(F.col("text"), F.lit("{")) & F.contains(
-        F.col("text"), F.lit("}"))
-    typedef = struct_code & F.contains(F.col("text"), F.lit("typedef"))
-    inline_req = T.extract(B.text_of(F.regexp_extract(
-        "inner", r"(?is)<(?:b|strong)\b[^>]*>[^<]*(?:Requirements?|Requisitos?)[^<]*</(?:b|strong)\s*>[^<]*(<.*)", 1)),
-        rf"(?i)(?:Library|DLL):\s*{MODULE}")
-    req_dll = F.coalesce(F.when(inside("requirements", deep=True), T.extract(
-        F.col("text"), rf"(?i)(?:Library|DLL):\s*{MODULE}")), inline_req)
-    table_dll = F.when((tag == "table") & F.col("text").rlike("(?i)Library|DLL|Minimum"),
-                       T.extract(F.col("text"), rf"(?i){MODULE}"))
-    code_call = F.when(is_pre, first_call(F.col("text"))).when(F.col("has_code"), first_call(F.col("code_text")))
-    plain = (pos > F.col("h1.pos")) & ~F.col("stopped") & ~F.col("noted")
-    skip = T.any_word(F.lower(bare), dims.SKIP_PHRASES)
+    p = p.withColumns({"arch": arch, "text_dll": text_dll}).drop("page_text")
+    return p.withColumn("arch", F.when(F.size("arch") == 0, F.array(F.lit("x86"), F.lit("x64"))).otherwise(F.col("arch")))
+
+
+def context_blocks(pages: DataFrame, need: set[str] = frozenset()) -> DataFrame:
+    carry = ["url", "no_elements"] + (["arch", "text_dll"] if need & {"arch", "text_dll"} else [])
+    return with_markers(with_context(B.blocks(page_level(pages, need), carry)))
+
+
+def best(value: Column, cond: Column | None = None) -> Column:
+    """Value at the first position where it is present (and the condition holds)."""
+    here = value.isNotNull() if cond is None else cond & value.isNotNull()
+    return F.min_by(value, F.when(here, F.col("pos")))
+
+
+def section_rows(s: str) -> Column:
+    sibling = F.col("parent") == F.col(f"in_{s}")["parent"]
+    return collect(inside(s, deep=True), F.col(f"in_{s}")["pos"].alias("kp"), sibling.alias("sib"), "tag", "text")
+
+
+def in_focus() -> Column:
+    return F.coalesce((F.col("pos") >= F.col("focus.pos")) & ~F.coalesce("left_focus", F.lit(False)), F.lit(False))
+
+
+def req_dll() -> Column:
+    """Library/DLL line of a Requirements section, or after a bold Requirements label."""
+    label = r"(?is)<(?:b|strong)\b[^>]*>[^<]*(?:Requirements?|Requisitos?)[^<]*</(?:b|strong)\s*>[^<]*(<.*)"
+    line = rf"(?i)(?:Library|DLL):\s*{MODULE}"
+    return F.coalesce(F.when(inside("requirements", deep=True), T.extract(F.col("text"), line)),
+                      T.extract(B.text_of(F.regexp_extract("inner", label, 1)), line))
+
+
+def plain_part() -> Column:
+    """Paragraphs before the first other heading, also inside div and section."""
+    here = (F.col("pos") > F.col("h1.pos")) & ~F.col("stopped") & ~F.col("noted")
+    skip = T.any_word(F.lower("bare"), dims.SKIP_PHRASES)
     nested = ~F.col("sib_h1") & F.col("top_tag").isin("div", "section")
-    plain_part = plain & (tag == "p") & (F.length(bare) > 5) & ((F.col("sib_h1") & ~skip) | nested)
-    note_p = F.col("sib_h1") & F.col("noted") & ~F.col("stopped") & (tag == "p") & (F.length(bare) > 10)
-    note_code = F.col("sib_h1") & F.col("noted") & ~F.col("stopped") & is_pre & bare.contains("typedef")
-    note_text = F.when(note_code, F.concat(F.lit("Sintaxe para Windows 64-bit:\\n"), bare)).otherwise(bare)
-    kept_items = F.col("opened") & inside("members")
-    pairs = F.when(tag == "dl", V.definition_pairs(F.col("raw"))).when(tag == "table", V.table_pairs(F.col("raw")))
-
-    def section_rows(s: str) -> Column:
-        sibling = F.col("parent") == F.col(f"in_{s}")["parent"]
-        return collect(inside(s, deep=True), F.col(f"in_{s}")["pos"].alias("kp"), sibling.alias("sib"), "tag", "text")
-
-    def best(value: Column, cond: Column) -> Column:
-        return F.min_by(value, F.when(cond & value.isNotNull(), pos))
-
-    return b.groupBy("page_id").agg(
-        F.first("url").alias("url"), F.first("arch").alias("arch"), F.first("text_dll").alias("text_dll"),
-        F.first("no_elements").alias("no_elements"),
-        best(bare, tag == "h1").alias("h1_text"), best(bare, tag == "title").alias("title_text"),
-        best(code_call, F.lit(True)).alias("code_call"),
-        best(req_dll, F.lit(True)).alias("req_dll"), best(table_dll, F.lit(True)).alias("table_dll"),
-        F.array_join(F.transform(collect(in_focus, "text"), lambda x: x["text"]), "").alias("focus_text"),
-        best(F.struct(F.col("css"), F.col("parent_css"), F.col("head")), in_focus & (pos == F.col("focus.pos"))).alias("focus_at"),
-        best(F.struct(bare.alias("text"), lang.alias("language")), is_pre & calls & inside("syntax", deep=True)).alias("syntax"),
-        collect(F.col("param_name").isNotNull() | F.col("is_desc"), F.col("in_parameters.pos").alias("kp"), "gid", "bid",
-                "param_name", "tag", F.col("bare").alias("text")).alias("param_rows"),
-        collect(F.col("entries").isNotNull() & (F.col("parent") == F.col("in_parameters.parent")), "bid", "tag", "title",
-                "entries").alias("value_tables"),
-        section_rows("return").alias("return_rows"),
-        collect((tag == "table") & F.col("entries").isNotNull() & inside("return"), F.col("in_return.pos").alias("kp"), "title",
-                "entries").alias("return_tables"),
-        section_rows("remarks").alias("remark_rows"),
-        collect(plain_part, F.col("sib_h1").alias("sib"), bare.alias("text")).alias("plain_parts"),
-        collect(note_p | note_code, note_text.alias("text")).alias("note_parts"),
-        best(bare, (tag == "p") & (pos > F.col("h1.pos"))).alias("first_p"),
-        collect(kept_items, F.col("in_members.pos").alias("kp"), "tag", F.col("bare").alias("text"), "hlevel",
-                pairs.alias("pairs")).alias("member_items"),
-        collect((tag == "p") & (pos > F.col("in_members.pos")) & (F.col("parent") == F.col("in_members.parent")),
-                F.col("bare").alias("text")).alias("sibling_ps"),
-        collect((tag == "p") & (F.length(bare) > 0), F.col("bare").alias("text")).alias("all_ps"),
-        best(F.when(is_pre & typedef, F.when(F.size(V.code_members(F.col("text"))) > 0, V.code_members(F.col("text")))),
-             F.lit(True)).alias("code_members"),
-        best(T.clean_definition(F.col("text")), is_pre & struct_code).alias("definition"),
-    )
+    return here & (F.col("tag") == "p") & (F.length("bare") > 5) & ((F.col("sib_h1") & ~skip) | nested)
+
+
+def note_part() -> Column:
+    here = F.col("sib_h1") & F.col("noted") & ~F.col("stopped")
+    code = (F.col("tag") == "pre") & F.col("bare").contains("typedef")
+    return F.when(here & code, F.concat(F.lit("Sintaxe para Windows 64-bit:\\n"), "bare")).when(
+        here & (F.col("tag") == "p") & (F.length("bare") > 10), F.col("bare"))
+
+
+def table_title() -> Column:
+    between = F.col("sib_count") - F.col("sib_at_head") - 1
+    near = F.when((F.col("near.parent") == F.col("parent")) & (between <= 3), F.col("near.title"))
+    return F.when(F.col("tag") == "table", V.title_of(
+        F.col("near.caption"), near, F.col("prev_p"), V.first_constants(F.col("rows")))).when(
+        F.col("tag").isin("ul", "ol"), "List Items")
+
+
+# aggregate name -> column builder; only the ones a fact needs are built
+AGGREGATES = {
+    "arch": lambda: F.first("arch"),
+    "text_dll": lambda: F.first("text_dll"),
+    "url": lambda: F.first("url"),
+    "no_elements": lambda: F.first("no_elements"),
+    "h1_text": lambda: best(F.col("bare"), F.col("tag") == "h1"),
+    "title_text": lambda: best(F.col("bare"), F.col("tag") == "title"),
+    "code_call": lambda: best(F.when(F.col("tag") == "pre", first_call(F.col("text"))).when(
+        F.col("has_code"), first_call(F.col("code_text")))),
+    "req_dll": lambda: best(req_dll()),
+    "table_dll": lambda: best(F.when((F.col("tag") == "table") & F.col("text").rlike("(?i)Library|DLL|Minimum"),
+                                     T.extract(F.col("text"), rf"(?i){MODULE}"))),
+    "focus_rows": lambda: collect(in_focus(), "text"),
+    "focus_at": lambda: best(F.struct("css", "parent_css", "head"), F.col("pos") == F.col("focus.pos")),
+    "syntax": lambda: best(F.struct("bare", "css", "parent_css", "head"), (F.col("tag") == "pre") & F.col("bare").contains("(")
+                           & F.col("bare").contains(")") & inside("syntax", deep=True)),
+    "param_rows": lambda: collect(F.col("param_name").isNotNull() | F.col("is_desc"), F.col("in_parameters.pos").alias("kp"),
+                                  "gid", "bid", "param_name", "tag", F.col("bare").alias("text")),
+    "value_tables": lambda: collect(F.col("entries").isNotNull() & (F.col("parent") == F.col("in_parameters.parent")),
+                                    "bid", "tag", table_title().alias("title"), "entries"),
+    "return_rows": lambda: section_rows("return"),
+    "return_tables": lambda: collect((F.col("tag") == "table") & F.col("entries").isNotNull() & inside("return"),
+                                     F.col("in_return.pos").alias("kp"), "entries"),
+    "remark_rows": lambda: section_rows("remarks"),
+    "plain_parts": lambda: collect(plain_part(), F.col("sib_h1").alias("sib"), F.col("bare").alias("text")),
+    "note_parts": lambda: collect(note_part().isNotNull(), note_part().alias("text")),
+    "first_p": lambda: best(F.col("bare"), (F.col("tag") == "p") & (F.col("pos") > F.col("h1.pos"))),
+    "member_items": lambda: collect(
+        F.col("opened") & inside("members"), "tag", F.col("bare").alias("text"), "hlevel",
+        F.when(F.col("tag") == "dl", V.definition_pairs(F.col("raw"))).when(
+            F.col("tag") == "table", V.table_pairs(F.col("raw"))).alias("pairs")),
+    "sibling_ps": lambda: collect((F.col("tag") == "p") & (F.col("pos") > F.col("in_members.pos"))
+                                  & (F.col("parent") == F.col("in_members.parent")), F.col("bare").alias("text")),
+    "all_ps": lambda: collect((F.col("tag") == "p") & (F.length("bare") > 0), F.col("bare").alias("text")),
+    "code_members": lambda: best(F.col("coded"), F.size("coded") > 0),
+    "definition_code": lambda: best(F.col("text"), (F.col("tag") == "pre") & F.col("text").rlike("typedef|struct")
+                                    & F.col("text").contains("{") & F.col("text").contains("}")),
+}
+
+
+def raw_facts(pages: DataFrame, need: set[str]) -> DataFrame:
+    """The one aggregate per page, limited to the named collections."""
+    b = context_blocks(pages, need)
+    if need & {"value_tables", "return_tables"}:
+        b = b.withColumn("rows", F.when(F.col("tag") == "table", V.rows_of(F.col("raw"))))
+        b = b.withColumn("entries", F.when(F.col("tag") == "table", V.value_entries(F.col("rows"))).when(
+            F.col("tag").isin("ul", "ol"), V.list_entries(F.col("raw"))))
+    if "code_members" in need:
+        coded = (F.col("tag") == "pre") & F.col("text").rlike(r"typedef") & F.col("text").contains("{")
+        b = b.withColumn("coded", F.when(coded, V.code_members(F.col("text"))))
+    return b.groupBy("page_id").agg(*[AGGREGATES[n]().alias(n) for n in sorted(need)])
 
 
 # --------------------------------------------------------------- per-page columns
@@ -249,13 +274,7 @@ def section_text(rows: Column, tags: list[str], shortest: int) -> Column:
     parts = F.transform(F.split(flat, M1), lambda x: F.struct(
         F.substring_index(x, M2, 1).alias("kp"), F.get(F.split(x, M2), F.lit(1)).alias("tag"),
         T.strip(F.get(F.split(x, M2), F.lit(2))).alias("text")))
-    parts = F.filter(parts, lambda p: p["tag"].isin(tags) & (F.length(p["text"]) > shortest))
-    return parts
-
-
-def texts_of_first(parts: Column) -> Column:
-    kept = F.filter(parts, lambda p: p["kp"] == F.get(parts, F.lit(0))["kp"])
-    return F.transform(kept, lambda p: p["text"])
+    return F.filter(parts, lambda p: p["tag"].isin(tags) & (F.length(p["text"]) > shortest))
 
 
 def type_of_name(name: Column) -> Column:
@@ -323,18 +342,23 @@ def parameters_of(d: DataFrame) -> DataFrame:
         values(s["param_name"], s["gid"]).alias("values"))))
 
 
-def description_of() -> Column:
-    """Plain paragraphs (at most 10), then entered note sections, joined and cleaned."""
-    plain = F.col("plain_parts")
-    texts = F.transform(plain, lambda p: p["text"])
-    # a nested paragraph equal to an earlier part is dropped, a sibling one is kept
-    unique = F.filter(plain, lambda p, i: p["sib"] | (F.array_position(texts, p["text"]) == i + 1))
-    parts = F.slice(F.transform(unique, lambda p: p["text"]), 1, 10)
+def with_description(d: DataFrame) -> DataFrame:
+    """Plain paragraphs (at most 10), then entered note sections, joined and cleaned.
+
+    A nested paragraph equal to an earlier part is dropped, a sibling one is kept.
+    Of twenty parts left after dropping repeats among nested ones at least ten
+    survive the second test, so twenty are enough."""
+    keys = F.array_distinct(F.transform("plain_parts", lambda p: F.concat(
+        F.when(p["sib"], p["pos"].cast("string")).otherwise(""), F.lit(M1), p["text"])))
+    d = d.withColumn("plain", F.transform(F.slice(keys, 1, 20), lambda k: F.struct(
+        (F.substring_index(k, M1, 1) != "").alias("sib"), F.substring_index(k, M1, -1).alias("text"))))
+    kept = F.filter("plain", lambda p, i: p["sib"] | ~F.exists(
+        F.slice("plain", 1, i), lambda q: q["sib"] & (q["text"] == p["text"])))
+    d = d.withColumn("parts", F.slice(F.transform(kept, lambda p: p["text"]), 1, 10))
     notes = F.transform("note_parts", lambda p: p["text"])
-    allp = F.when(F.size(parts) >= 10, parts).otherwise(F.concat(parts, notes))
-    joined = T.clean_text(F.array_join(allp, " "))
-    return F.when(F.col("h1_text").isNull(), "").when(F.size(allp) > 0, joined).otherwise(
-        F.coalesce("first_p", F.lit("")))
+    d = d.withColumn("parts", F.when(F.size("parts") >= 10, F.col("parts")).otherwise(F.concat("parts", notes)))
+    return d.withColumn("description", F.when(F.col("h1_text").isNull(), "").when(
+        F.size("parts") > 0, T.clean_text(F.array_join("parts", " "))).otherwise(F.coalesce("first_p", F.lit(""))))
 
 
 def looks_like_member(line: Column) -> Column:
@@ -405,34 +429,81 @@ def members_of(d: DataFrame) -> DataFrame:
         F.coalesce(coded, F.slice(F.col("section_members"), 1, 1))))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """P1-P21 as columns of one row per page."""
-    d = raw_facts(pages)
-    focus = T.strip(F.col("focus_text"))
-    use_focus = focus.contains("(") & focus.contains(")")
-    focus_lang = language_of(F.col("focus_at.css"), F.col("focus_at.parent_css"), F.col("focus_at.head"), focus)
-    d = d.withColumns({
-        "signature": F.coalesce(T.clean_signature(F.when(use_focus, focus).otherwise(F.col("syntax.text"))), F.lit("")),
-        "signature_language": F.coalesce(F.when(use_focus, focus_lang).otherwise(F.col("syntax.language")), F.lit("c")),
-    })
+def with_name(d: DataFrame) -> DataFrame:
     name = F.coalesce(title_name(F.coalesce("h1_text", "title_text")), F.col("code_call"))
-    d = d.withColumns({
-        "name": F.coalesce(name, F.when(F.col("no_elements"), N.name_from_url("url")), F.lit(dims.UNKNOWN_NAME)),
-        "dll": F.coalesce("req_dll", "table_dll", "text_dll", F.lit(dims.DEFAULT_MODULE)),
-        "architectures": F.col("arch"),
-        "description": description_of(),
-        "remarks": F.array_join(texts_of_first(section_text(F.col("remark_rows"), ["p", "ul", "ol", "div"], 10)), "\n\n"),
-        "return_type": return_type_of(F.col("signature")),
-        "return_parts": section_text(F.col("return_rows"), ["p", "ul", "ol", "div"], 10),
-    })
-    # first return heading with texts or tables
-    kps = F.array_compact(F.array(F.get("return_parts", F.lit(0))["kp"].cast("int"), F.get("return_tables", F.lit(0))["kp"]))
-    kp = F.array_min(kps)
-    bullets = F.transform(F.filter("return_parts", lambda p: p["kp"].cast("int") == kp),
+    return d.withColumn("name", F.coalesce(name, F.when(F.col("no_elements"), N.name_from_url("url")),
+                                           F.lit(dims.UNKNOWN_NAME)))
+
+
+def with_signature(d: DataFrame) -> DataFrame:
+    """The focus block if it looks like a call, else the syntax section."""
+    d = d.withColumn("focus_text", T.strip(F.array_join(F.transform("focus_rows", lambda x: x["text"]), "")))
+    use = F.col("focus_text").contains("(") & F.col("focus_text").contains(")")
+    d = d.withColumn("source", F.when(use, F.struct(
+        F.col("focus_text").alias("bare"), "focus_at.css", "focus_at.parent_css", "focus_at.head")).otherwise(F.col("syntax")))
+    d = T.with_signature(d, F.col("source.bare"), "signature")
+    language = language_of(F.col("source.css"), F.col("source.parent_css"), F.col("source.head"), F.col("source.bare"))
+    return d.withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn(
+        "signature_language", F.when(F.col("source").isNull(), "c").otherwise(language))
+
+
+def with_remarks(d: DataFrame) -> DataFrame:
+    d = d.withColumn("remark_parts", section_text(F.col("remark_rows"), ["p", "ul", "ol", "div"], 10))
+    kp = F.get("remark_parts", F.lit(0))["kp"]
+    return d.withColumn("remarks", F.array_join(F.transform(F.filter(
+        "remark_parts", lambda p: p["kp"] == kp), lambda p: p["text"]), "\n\n"))
+
+
+def with_return(d: DataFrame) -> DataFrame:
+    """The first return heading with texts or value tables.  Values are also
+    kept as rows (``return_values``); no terminal markup is stored."""
+    d = d.withColumn("return_parts", section_text(F.col("return_rows"), ["p", "ul", "ol", "div"], 10))
+    d = d.withColumn("return_kp", F.array_min(F.array_compact(F.array(
+        F.get("return_parts", F.lit(0))["kp"].cast("int"), F.get("return_tables", F.lit(0))["kp"]))))
+    d = d.withColumn("return_values", F.flatten(F.transform(F.filter(
+        "return_tables", lambda t: t["kp"] == F.col("return_kp")), lambda t: t["entries"])))
+    bullets = F.transform(F.filter("return_parts", lambda p: p["kp"].cast("int") == F.col("return_kp")),
                           lambda p: F.concat(F.lit("- "), p["text"]))
-    d = d.withColumn("return_values", F.flatten(F.transform(
-        F.filter("return_tables", lambda t: t["kp"] == kp), lambda t: t["entries"])))
-    value_lines = F.transform("return_values", lambda e: F.concat(F.lit("  - "), e["value"], F.lit(": "), e["meaning"]))
-    d = d.withColumn("return_description", F.array_join(F.when(F.size("return_values") > 0, F.concat(
-        bullets, F.array(F.lit("\n- Valores de retorno possíveis:")), value_lines)).otherwise(bullets), "\n"))
-    return members_of(parameters_of(d))
+    lines = F.transform("return_values", lambda e: F.concat(F.lit("  - "), e["value"], F.lit(": "), e["meaning"]))
+    extra = F.when(F.size("return_values") > 0, F.concat(
+        F.array(F.lit("\n- Valores de retorno possíveis:")), lines)).otherwise(F.expr("cast(array() as array<string>)"))
+    return d.withColumn("return_description", F.array_join(F.concat(bullets, extra), "\n"))
+
+
+# fact -> (collections it needs, step that adds it)
+NAME = {"h1_text", "title_text", "code_call", "url", "no_elements"}
+SIGNATURE = {"focus_rows", "focus_at", "syntax"}
+FACTS = {
+    "url": ({"url"}, None),
+    "name": (NAME, with_name),
+    "dll": ({"req_dll", "table_dll", "text_dll"}, lambda d: d.withColumn(
+        "dll", F.coalesce("req_dll", "table_dll", "text_dll", F.lit(dims.DEFAULT_MODULE)))),
+    "architectures": ({"arch"}, lambda d: d.withColumn("architectures", F.col("arch"))),
+    "signature": (SIGNATURE, with_signature),
+    "signature_language": (SIGNATURE, with_signature),
+    "return_type": (SIGNATURE, lambda d: d.withColumn("return_type", return_type_of(F.col("signature")))),
+    "parameters": (SIGNATURE | {"param_rows", "value_tables"}, parameters_of),
+    "return_description": ({"return_rows", "return_tables"}, with_return),
+    "return_values": ({"return_rows", "return_tables"}, with_return),
+    "remarks": ({"remark_rows"}, with_remarks),
+    "description": ({"h1_text", "plain_parts", "note_parts", "first_p"}, with_description),
+    "members": ({"member_items", "sibling_ps", "all_ps", "code_members"}, members_of),
+    "definition": ({"definition_code"}, lambda d: d.withColumn("definition", T.clean_definition(F.col("definition_code")))),
+}
+
+
+def page_facts(pages: DataFrame, *facts: str) -> DataFrame:
+    """One row per page with the named facts (all when none is named)."""
+    facts = facts or tuple(FACTS)
+    need = set().union(*(FACTS[f][0] for f in facts))
+    d = raw_facts(pages, need)
+    steps = []
+    if need & SIGNATURE:
+        steps.append(with_signature)
+    for f in facts:
+        step = FACTS[f][1]
+        if step is not None and step not in steps:
+            steps.append(step)
+    for step in steps:
+        d = step(d)
+    return d.select("page_id", *facts)

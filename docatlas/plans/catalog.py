@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from docatlas.plans import q_symbols  # noqa: F401
+from docatlas.plans import q_pages, q_resolve, q_symbols  # noqa: F401
 from docatlas.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -147,6 +147,25 @@ select symbol, l_orderkey * 10 + l_linenumber as rank,
 from lineitem join symbols_v on l_partkey = sym_id"""
 
 
+def crawl_sql(d: Dialect) -> str:
+    """Crawled pages (key columns): candidate urls of some symbols in both
+    languages, catalog urls, search hits; one url has many copies."""
+    site = "https://learn.microsoft.com/"
+    low = "lower(symbol)"
+    return f"""
+select sym_id as page_id, case sym_id % 7
+  when 0 then concat('{site}en-us/windows/win32/api/fileapi/nf-fileapi-', {low})
+  when 1 then concat('{site}en-us/windows-hardware/drivers/ddi/wdm/nf-wdm-', {low})
+  when 2 then concat('https://learn.example.com/en-us/c/', {d.s('sym_id')})
+  when 3 then concat('{site}en-us/windows/win32/api/winbase/nf-winbase-', {low}, 'w')
+  when 4 then concat('{site}pt-br/windows/win32/api/winuser/nf-winuser-', {low})
+  when 5 then concat('{site}en-us/windows/win32/api/winreg/nf-winreg-', {low})
+  else '{site}en-us/windows/win32/api/winbase/nf-winbase-createfiletransactedw' end as url
+from symbols_v
+union all
+select rank + 1000000 as page_id, url from search_results_v where symbol like 'Get%' or symbol like 'Nt%'"""
+
+
 def probe_log_sql(d: Dialect) -> str:
     return f"""
 select event_id, concat('host', {d.s('user_id % 10')}, '.example.com') as host,
@@ -199,6 +218,7 @@ VIEWS = {
     "header_map_v": (["symbols_v"], header_map_sql),
     "catalog_v": (["symbols_v"], catalog_sql),
     "search_results_v": (["lineitem", "symbols_v"], search_results_sql),
+    "crawl_v": (["symbols_v", "search_results_v"], crawl_sql),
     "probe_log_v": (["events"], probe_log_sql),
     "fetch_log_v": (["events"], fetch_log_sql),
     "call_log_v": (["lineitem", "symbols_v"], call_log_sql),
