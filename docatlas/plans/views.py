@@ -185,7 +185,8 @@ select event_id, concat('https://docs.example.com/p/', {d.s('event_id % 500')})
   cast(ts as timestamp) as ts,
   case event_type when 'error' then 0 when 'view' then 304 else 200 end as status,
   case when event_type in ('error', 'view') then null else concat('body-', {d.s('event_id')}) end as body,
-  case when event_type = 'click' then concat('etag-', {d.s('event_id')}) end as etag
+  case when event_type = 'click' then concat('etag-', {d.s('event_id')}) end as etag,
+  case when event_type = 'signup' then concat('lm-', {d.s('event_id')}) end as last_modified
 from events"""
 
 
@@ -226,16 +227,20 @@ VIEWS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    batch = spark.read.parquet(path)
+    # a glob serves a table that is one file as well as one that is a folder
+    return spark.readStream.schema(batch.schema).parquet(path[:-1] + "[t]") if stream else batch
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spark_view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A table or view; ``stream`` reads the base tables as file streams."""
     if name not in VIEWS:
-        return table(spark, sf_dir, name)
+        return table(spark, sf_dir, name, stream)
     needs, template = VIEWS[name]
     return spark.sql(render_refs(template(Dialect(True)), needs),
-                     **{n: spark_view(spark, sf_dir, n) for n in needs})
+                     **{n: spark_view(spark, sf_dir, n, stream) for n in needs})
 
 
 def render_refs(sql: str, needs: list[str]) -> str:
