@@ -31,20 +31,22 @@ def parse_options(calls: DataFrame) -> DataFrame:
     ``--ret`` tokens ends right before it; arrays are one call long."""
     tokens = F.filter(F.split("args", " "), lambda t: t != "")
     d = calls.withColumn("tokens", tokens)
-    # 1 = value of --ret; folded left to right with the flag of the token before
+    # fold left to right: v = (token, is the value of --ret), open = a --ret waits for its value
     flags = F.aggregate(
-        "tokens", F.struct(F.expr("cast(array() as array<boolean>)").alias("v"), F.lit(False).alias("open")),
-        lambda acc, t: F.struct(F.concat(acc["v"], F.array(acc["open"])).alias("v"),
+        "tokens", F.struct(F.expr("cast(array() as array<struct<t:string,value:boolean>>)").alias("v"), F.lit(False).alias("open")),
+        lambda acc, t: F.struct(F.concat(acc["v"], F.array(F.struct(t.alias("t"), acc["open"].alias("value")))).alias("v"),
                                 ((t == "--ret") & ~acc["open"]).alias("open")))
     d = d.withColumn("f", flags)
-    value_of_ret = F.filter("tokens", lambda t, i: F.get(F.col("f.v"), i))
-    option = lambda t: t.isin("--ret", "--wide", "--show-error")
-    plain = F.filter("tokens", lambda t, i: ~F.get(F.col("f.v"), i) & ~option(t))
+    marked = F.col("f.v")
 
     def flag(name: str) -> Column:
-        return F.exists(F.transform("tokens", lambda t, i: (t == name) & ~F.get(F.col("f.v"), i)), lambda x: x)
+        return F.exists(marked, lambda x: (x["t"] == name) & ~x["value"])
 
-    d = d.withColumns({"arguments": plain, "ret_values": value_of_ret, "wide": flag("--wide"), "show_error": flag("--show-error")})
+    d = d.withColumns({
+        "arguments": F.transform(F.filter(marked, lambda x: ~x["value"] & ~x["t"].isin("--ret", "--wide", "--show-error")),
+                                 lambda x: x["t"]),
+        "ret_values": F.transform(F.filter(marked, lambda x: x["value"]), lambda x: x["t"]),
+        "wide": flag("--wide"), "show_error": flag("--show-error")})
     d = d.withColumn("return_type", F.coalesce(F.try_element_at("ret_values", F.lit(-1)), F.lit("u32")))
     error = F.when(F.col("f.open"), "missing return type").when(
         ~F.col("return_type").isin(dims.RETURN_TYPES), "unknown return type")

@@ -99,7 +99,10 @@ def with_markers(b: DataFrame) -> DataFrame:
         "bid": F.sum(F.when(table_stop, 1).otherwise(0)).over(B.page_order()),
     })
     at_head = F.last(F.when(F.col("hlevel").isNotNull(), F.col("sib_count")), ignorenulls=True).over(B.page_order())
-    return b.withColumn("sib_at_head", at_head)
+    # the first description paragraph of each parameter
+    told = F.col("is_desc") & (F.col("tag") == "p")
+    before = F.last(F.when(told, F.col("gid")), ignorenulls=True).over(B.page_order().rowsBetween(-2147483648, -1))
+    return b.withColumns({"sib_at_head": at_head, "first_desc": told & ~F.coalesce(before == F.col("gid"), F.lit(False))})
 
 
 def first_call(text: Column) -> Column:
@@ -215,8 +218,9 @@ AGGREGATES = {
     "focus_at": lambda: best(F.struct("css", "parent_css", "head"), F.col("pos") == F.col("focus.pos")),
     "syntax": lambda: best(F.struct("bare", "css", "parent_css", "head"), (F.col("tag") == "pre") & F.col("bare").contains("(")
                            & F.col("bare").contains(")") & inside("syntax", deep=True)),
+    "param_kp": lambda: F.min(F.when(F.col("param_name").isNotNull(), F.col("in_parameters.pos"))),
     "param_rows": lambda: collect(F.col("param_name").isNotNull() | F.col("is_desc"), F.col("in_parameters.pos").alias("kp"),
-                                  "gid", "bid", "param_name", "tag", F.col("bare").alias("text")),
+                                  "gid", "bid", "param_name", "first_desc", "tag", F.col("bare").alias("text")),
     "value_tables": lambda: collect(F.col("entries").isNotNull() & (F.col("parent") == F.col("in_parameters.parent")),
                                     "bid", "tag", table_title().alias("title"), "entries"),
     "return_rows": lambda: section_rows("return"),
@@ -305,21 +309,18 @@ def return_type_of(signature: Column) -> Column:
 
 def parameters_of(d: DataFrame) -> DataFrame:
     """Array of parameters of the first heading that has one."""
+    d = d.withColumn("param_rows", F.filter("param_rows", lambda r: r["kp"] == F.col("param_kp")))
     rows = F.col("param_rows")
     starts = F.filter(rows, lambda r: r["param_name"].isNotNull())
-    d = d.withColumn("param_starts", F.filter(starts, lambda s: s["kp"] == F.get(starts, F.lit(0))["kp"]))
-    kp = F.get(F.col("param_starts"), F.lit(0))["kp"]
     # descriptions per parameter: one ordered join with marks, split again, no nested scan
-    flat = F.array_join(F.transform(F.filter(rows, lambda r: r["kp"] == kp), lambda r: F.when(
-        r["param_name"].isNotNull(), F.lit(M1)).otherwise(F.concat(
-            F.lit(M2), F.when(r["tag"] == "dd", T.clean_text(r["text"])).otherwise(r["text"])))), "")
-    d = d.withColumn("param_texts", F.transform(F.slice(F.split(flat, M1), 2, 1000000), lambda x: F.array_join(
-        F.slice(F.split(x, M2), 2, 1000000), " ")))
+    flat = F.array_join(F.transform(rows, lambda r: F.when(r["param_name"].isNotNull(), F.lit(M1)).otherwise(F.concat(
+        F.lit(M2), F.when(r["tag"] == "dd", T.clean_text(r["text"])).otherwise(r["text"])))), "")
+    texts = F.transform(F.slice(F.split(flat, M1), 2, 1000000), lambda x: F.array_join(
+        F.slice(F.split(x, M2), 2, 1000000), " "))
+    d = d.withColumn("params", F.arrays_zip(starts.alias("s"), texts.alias("t")))
     # where value tables of a parameter begin: its first description paragraph
-    at = F.transform(F.filter(rows, lambda r: r["param_name"].isNull() & (r["tag"] == "p")),
-                     lambda r: F.struct(r["gid"].alias("gid"), r["pos"].alias("pos"), r["bid"].alias("bid")))
-    first_at = F.map_from_entries(F.transform(F.filter(at, lambda a, i: (i == 0) | (F.get(at, i - 1)["gid"] != a["gid"])),
-                                              lambda a: F.struct(a["gid"].alias("key"), a.alias("value"))))
+    first_at = F.map_from_entries(F.transform(F.filter(rows, lambda r: r["first_desc"]), lambda r: F.struct(
+        r["gid"].alias("key"), F.struct(r["pos"].alias("pos"), r["bid"].alias("bid")).alias("value"))))
     d = d.withColumn("desc_at", first_at)
     tables = F.filter("value_tables", lambda t: (t["tag"] != "table") | ~F.exists(
         t["entries"], lambda e: F.contains(F.upper(e["value"]), F.lit("ID"))))
@@ -333,13 +334,14 @@ def parameters_of(d: DataFrame) -> DataFrame:
         wanted = T.any_word(F.lower(name), dims.TABLE_PARAMETERS)
         return F.when(wanted & a.isNotNull() & (F.size(typed) > 0), typed)
 
-    return d.withColumn("parameters", F.transform("param_starts", lambda s, i: F.struct(
-        s["param_name"].alias("name"),
-        F.when(s["tag"] == "dt", type_of_name(s["param_name"])).otherwise(
-            F.when(F.col("signature") != "", type_in_signature(F.col("signature"), s["param_name"])).otherwise(
-                type_of_name(s["param_name"]))).alias("type"),
-        F.coalesce(F.get("param_texts", i), F.lit("")).alias("description"),
-        values(s["param_name"], s["gid"]).alias("values"))))
+    def one(z: Column) -> Column:
+        name, by_name = z["s"]["param_name"], type_of_name(z["s"]["param_name"])
+        kind = F.when((z["s"]["tag"] == "dt") | (F.col("signature") == ""), by_name).otherwise(
+            type_in_signature(F.col("signature"), name))
+        return F.struct(name.alias("name"), kind.alias("type"), F.coalesce(z["t"], F.lit("")).alias("description"),
+                        values(name, z["s"]["gid"]).alias("values"))
+
+    return d.withColumn("parameters", F.transform("params", one))
 
 
 def with_description(d: DataFrame) -> DataFrame:
@@ -482,7 +484,7 @@ FACTS = {
     "signature": (SIGNATURE, with_signature),
     "signature_language": (SIGNATURE, with_signature),
     "return_type": (SIGNATURE, lambda d: d.withColumn("return_type", return_type_of(F.col("signature")))),
-    "parameters": (SIGNATURE | {"param_rows", "value_tables"}, parameters_of),
+    "parameters": (SIGNATURE | {"param_kp", "param_rows", "value_tables"}, parameters_of),
     "return_description": ({"return_rows", "return_tables"}, with_return),
     "return_values": ({"return_rows", "return_tables"}, with_return),
     "remarks": ({"remark_rows"}, with_remarks),

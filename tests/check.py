@@ -22,8 +22,11 @@ def connect(sf_dir):
     return con
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
-    t = time.time(); df = fn(spark, sf_dir); got = df.toPandas(); dt = time.time() - t
+def compare(spark, con, name, fn, sql, sf_dir, inspect=None):
+    t = time.time(); df = fn(spark, sf_dir)
+    if inspect:
+        inspect(name, df)
+    got = df.toPandas(); dt = time.time() - t
     if sql is None:
         return f"{name}: rows-only {len(got)} ({dt:.1f}s)", len(got) > 0
     want = con.execute(sql).df()
