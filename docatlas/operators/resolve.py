@@ -68,20 +68,21 @@ def attempts(symbols: DataFrame) -> DataFrame:
 
 
 def pattern_candidates(tries: DataFrame, base: str) -> DataFrame:
-    """Step 2, and step 6 for names without A/W: url candidates of name+A, then name+W."""
-    def urls(df: DataFrame, spelled: Column, step: str, offset: int) -> DataFrame:
-        rows = df.withColumn("asked", spelled).withColumn("headers", N.header_candidates("asked", "dll"))
-        rows = rows.select("symbol", "dll", "level", "attempt", "asked", F.posexplode(
-            N.candidate_urls("asked", F.col("headers"), F.lit(base))).alias("rank", "url"))
-        more = F.col("dll").isNotNull() | N.is_important("asked")
-        rank = F.col("rank") + 1
-        return rows.filter((rank <= dims.PROBE_FIRST) | ((rank <= dims.PROBE_TOTAL) & more)).select(
-            "symbol", "level", "attempt", F.lit(STEPS[step]).alias("step"), (rank + offset).alias("rank"), "url")
-
-    last = tries.filter("last")
-    return (urls(tries, F.col("attempt"), "patterns", 0)
-            .unionByName(urls(last, F.concat("attempt", F.lit("A")), "suffix", 0))
-            .unionByName(urls(last, F.concat("attempt", F.lit("W")), "suffix", 100)))
+    """Step 2, and step 6 for names without A/W: url candidates of name+A, then name+W.
+    One branch: the spellings of a try are exploded before the candidates."""
+    def ask(name: Column, step: str, offset: int) -> Column:
+        return F.struct(name.alias("asked"), F.lit(STEPS[step]).alias("step"), F.lit(offset).alias("offset"))
+
+    own = ask(F.col("attempt"), "patterns", 0)
+    more = F.array(own, ask(F.concat("attempt", F.lit("A")), "suffix", 0), ask(F.concat("attempt", F.lit("W")), "suffix", 100))
+    rows = tries.withColumn("a", F.explode(F.when(F.col("last"), more).otherwise(F.array(own))))
+    rows = rows.select("symbol", "dll", "level", "attempt", "a.*").withColumn("headers", N.header_candidates("asked", "dll"))
+    rows = rows.select("symbol", "dll", "level", "attempt", "asked", "step", "offset", F.posexplode(
+        N.candidate_urls("asked", F.col("headers"), F.lit(base))).alias("rank", "url"))
+    wide = F.col("dll").isNotNull() | N.is_important("asked")
+    rank = F.col("rank") + 1
+    return rows.filter((rank <= dims.PROBE_FIRST) | ((rank <= dims.PROBE_TOTAL) & wide)).select(
+        "symbol", "level", "attempt", "step", (rank + F.col("offset")).alias("rank"), "url")
 
 
 def resolution_candidates(symbols: DataFrame, search_results: DataFrame, key_map: DataFrame,
