@@ -53,9 +53,11 @@ def pick_search_hit(results: DataFrame) -> DataFrame:
     titled = F.contains(F.lower("title"), F.lower("symbol"))
     strict, broad = any_word(F.col("url"), dims.HIT_PATHS), any_word(F.col("url"), dims.BROAD_PATHS)
     pass_ = F.when(strict, 1).when(broad, 2)
-    return (results.filter(titled).withColumn("pass", pass_).filter("pass is not null")
-            .groupBy("symbol").agg(F.min(F.struct("pass", "rank", "url")).alias("m"))
-            .select("symbol", "m.pass", "m.rank", "m.url"))
+    # the pass test stays above the projection of url: a pushed filter would evaluate a
+    # computed url once per path word
+    d = results.filter(titled).withColumn("pass", pass_)
+    return (d.groupBy("symbol").agg(F.min(F.when(F.col("pass").isNotNull(), F.struct("pass", "rank", "url"))).alias("m"))
+            .filter("m is not null").select("symbol", "m.pass", "m.rank", "m.url"))
 
 
 def resolve_calls(calls: DataFrame, exports: DataFrame) -> DataFrame:
