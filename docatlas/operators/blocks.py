@@ -70,7 +70,8 @@ def raw_blocks(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     keep = list(carry or [])
     if not keep:
         pages = by_page(pages.select("page_id", "html")).withColumn("html", visible_html(F.col("html")))
-    return (pages.select("page_id", *keep, F.posexplode(pieces(F.col("html"))).alias("pos", "raw")))
+    return (pages.select("page_id", *keep, F.posexplode_outer(pieces(F.col("html"))).alias("pos", "raw"))
+            .filter("pos is not null"))
 
 
 def describe(b: DataFrame) -> DataFrame:

@@ -115,20 +115,24 @@ def functions_table(records: DataFrame) -> DataFrame:
     return records.drop("parameters", "members", "symbol_info", "fallback_attempts")
 
 
+# Outer explodes with a test on the position: a plain explode makes the optimizer push
+# ``size(array) > 0`` below, which would evaluate the whole array expression again.
+
+
 def parameters_table(records: DataFrame) -> DataFrame:
-    return records.select("page_id", F.posexplode("parameters").alias("param_no", "p")).select(
+    return records.select("page_id", F.posexplode_outer("parameters").alias("param_no", "p")).filter("param_no is not null").select(
         "page_id", "param_no", "p.name", "p.type", "p.description", F.coalesce(F.size("p.values"), F.lit(0)).alias("tables"))
 
 
 def param_values_table(records: DataFrame) -> DataFrame:
-    t = records.select("page_id", F.posexplode("parameters").alias("param_no", "p"))
+    t = records.select("page_id", F.posexplode_outer("parameters").alias("param_no", "p"))
     t = t.select("page_id", "param_no", F.col("p.name").alias("param"), F.posexplode("p.values").alias("table_no", "t"))
     return t.select("page_id", "param_no", "param", "table_no", "t.title", F.posexplode("t.entries").alias("entry_no", "e")
                     ).select("*", "e.value", "e.meaning").drop("e")
 
 
 def members_table(records: DataFrame) -> DataFrame:
-    return records.select("page_id", F.posexplode("members").alias("member_no", "m")).select("page_id", "member_no", "m.*")
+    return records.select("page_id", F.posexplode_outer("members").alias("member_no", "m")).filter("member_no is not null").select("page_id", "member_no", "m.*")
 
 
 def record_counts(records: DataFrame) -> DataFrame:
