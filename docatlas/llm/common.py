@@ -55,3 +55,26 @@ def located(docs: DataFrame) -> DataFrame:
 
 def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}"
+
+
+#: Bits of a membership filter: at most BITS / 64 rows are broadcast, whatever the number of keys.
+BITS = 1 << 22
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, columns: list[str], bits: int = BITS) -> DataFrame:
+    """``rows`` with ``_near``: false only if the values of ``columns`` are surely not among ``keys``.
+
+    One bit per hash value; the filter is combined before its small shuffle.  A later join
+    with ``keys`` need only shuffle the near rows."""
+    slot, bit = F.pmod(F.xxhash64(*columns), F.lit(bits // 64)), F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(64)).cast("int")
+    words = (keys.select(slot.alias("_word"), bit.alias("_bit")).groupBy("_word")
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits")))
+    d = rows.withColumns({"_word": slot, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    return d.withColumn("_near", F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` whose ``columns`` are not among those of ``gone``; only rows that may be gone are shuffled."""
+    d = may_be_in(rows, gone, columns)
+    near = d.where("_near").join(gone.select(*columns), columns, "left_anti")
+    return d.where("not _near").unionByName(near).drop("_near")

@@ -36,3 +36,41 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import toxicity
 
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_exact_dedup", """
+select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(coalesce(d.text, '')) as text_sha256
+from documents d join (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1) g
+  on coalesce(d.text, '') = g.t""")
+def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import exact_dedup
+
+    return exact_dedup.dedup_report(spark, f"{sf_dir}/documents.parquet")
+
+
+@query("op4_pii")
+def private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import pii
+
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe")
+def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import bpe
+
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_suffix_tree_lm")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import suffix_lm
+
+    return suffix_lm.score(table(spark, sf_dir, "documents"))

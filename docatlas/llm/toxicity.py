@@ -48,7 +48,7 @@ def fit(texts: list[set[str]], positive: np.ndarray, prior: float, z_least: floa
         both = (in_p[w] + in_u[w]) / (n_p + n_u)
         return abs(a - b) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
 
-    index = {w: i for i, w in enumerate(sorted(w for w in in_p.keys() | in_u.keys() if w and in_p[w] + in_u[w] > 4 and z(w) >= z_least))}
+    index = {w: i for i, w in enumerate(sorted(w for w in in_p.keys() | in_u.keys() if w and in_p[w] + in_u[w] > 9 and z(w) >= z_least))}
     rows, cols = [], []
     for i, t in enumerate(texts):
         own = [index[w] for w in t if w in index]
@@ -76,7 +76,7 @@ def fit(texts: list[set[str]], positive: np.ndarray, prior: float, z_least: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, members: int = 3,
-          z_least: float = 4.5, steps: int = 400) -> tuple[dict[str, float], float]:
+          z_least: float = 6.0, steps: int = 400) -> tuple[dict[str, float], float]:
     """Averaged word weights and bias from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     head = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p")).head()
