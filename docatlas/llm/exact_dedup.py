@@ -71,7 +71,8 @@ class Dedup:
         self.docs = docs
         self.rows = prepared(located(docs), digest)
         source = spark.readStream.schema(docs.select("doc_id", "text").schema).option("maxBytesPerTrigger", str(bytes_per_batch))
-        stream = located(source.parquet(path)).select("doc_id", "text", "_file", "_row")
+        pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, since a stream's plain path cannot be a single file
+        stream = located(source.parquet(pattern)).select("doc_id", "text", "_file", "_row")
         checkpoint = shared_folder(spark, "exact-dedup")
         remember(prepared(stream, digest), checkpoint)
         self.state = recall(spark, checkpoint)

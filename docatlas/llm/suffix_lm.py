@@ -1,28 +1,29 @@
 """Operator 9: language-model scores from a probabilistic suffix tree.
 
 Tokens are ASCII-lower-cased words, then one end.  The lexicon (every distinct training
-token with its count) is gathered by hash range.  A probabilistic suffix tree over the
-letters of the lexicon spells words: contexts are suffixes of what was read of a word
-(with its start mark); a context stays in the tree if it is frequent enough and its
-next-symbol distribution diverges from that of its own longest suffix by a count-weighted
-Kullback-Leibler test; distributions are smoothed along the suffixes, and a symbol is
-scored by the longest suffix in the tree.  A token's probability joins the two:
-(count + n1 * spelling) / (N + n1), with n1 the tokens seen once, so unseen tokens get the
-mass that unseen tokens have, spread by the tree.
-
-* The tree is bounded: contexts and stored symbols have at least a share ``p_min`` of all
-  symbols, so there are at most ``depth / p_min`` of each; it is sent to all tasks.
-* The lexicon is never sent anywhere whole: documents ask for their words by chunk.
+token with its count) is gathered by hash range and gives the root distribution; a token
+that was not seen in training is one event, whose mass is that of the tokens seen once.
+Variable-length contexts of up to ``depth`` tokens are counted level by level below the
+frequent contexts of the level before.  A context stays in the tree if it is frequent and
+its next-symbol distribution diverges from that of its own longest suffix
+(count-weighted Kullback-Leibler test); its suffixes stay with it.  Distributions are
+smoothed along the suffixes, and every token is scored in the state of the longest suffix
+of its history that is in the tree.
+
+* The tree is bounded: contexts and their stored symbols make up at least a share
+  ``p_min`` of all tokens, so each level has at most ``1 / p_min`` of either.  It is sent
+  to all tasks.  The lexicon grows with the corpus and is never sent anywhere whole:
+  documents ask for their words by chunk.
 * Null and empty texts consist of the end token.  A null doc_id is neither learned from
-  nor held out.  No training row: N = V = 0, known counts are 0, base_score is 0 per
-  token (log10 of 0.1 / 0.1) and words are spelled by a uniform tree.
+  nor held out.  No training row: N = V = 0, base_score is log10(0.1 / 0.1) = 0 per token
+  and the unseen event has all mass (score 0).
 * Repeated rows count as often as they occur; very long texts and words are read whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import stored
-from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, documents, finish, pack, unpack
+from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, documents, finish, pack, runs, unpack
 
-START, STOP, END = "\x02", "\x03", "\x04"  # cannot be confused with letters: words are read as their code points + 8
-SHIFT = 8
 FOLDS = 10
+END = b""  # words are never empty
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words of the text; the end token (b"") is not in the list.  ASCII white space and letters only, as bytes methods have it."""
-    return text.encode("utf-8", errors="replace").lower().split()
+    """Words, then the end.  bytes.lower and bytes.split know ASCII letters and white space only, as is asked for."""
+    return [*text.encode("utf-8", errors="replace").lower().split(), END]
 
 
 def fold(doc_id) -> int:
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-def letters(word: bytes) -> list[int]:
-    """Code points moved by SHIFT; the symbols 2, 3, 4 are the marks."""
-    return [ord(c) + SHIFT for c in word.decode("utf-8", errors="replace")]
-
-
 def pack_words(words: list[bytes]) -> list[bytes]:
     return [np.array(list(map(len, words)), dtype=np.uint32).tobytes(), b"".join(words)]
 
@@ -61,247 +56,232 @@ def read_words(sizes: bytes, blob: bytes) -> list[bytes]:
     return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    for ws in out.values():
+        ws.sort()
+    return out
+
+
 # ------------------------------------------------------------------ the tree
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray, code: np.ndarray) -> np.ndarray:
-    h = (h ^ code) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
-def context_key(context: str) -> int:
-    h = np.array([1], dtype=np.uint64)
-    for c in reversed(context):
-        h = _mix(h, np.array([ord(c)], dtype=np.uint64))
-    return int(h[0])
-
-
-def matrices(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, counts) of words of one length, start mark first and stop mark last, in bounded blocks; the end token is START, END."""
-    groups = defaultdict(list)
-    for i, w in enumerate(words):
-        own = letters(w)
-        groups[len(own)].append((i, own))
-    for length, own in groups.items():
-        step = max(1, 400_000 // (length + 2))
-        for k in range(0, len(own), step):
-            part = own[k:k + step]
-            m = np.empty((len(part), length + 2), dtype=np.uint64)
-            m[:, 0], m[:, -1] = ord(START), ord(STOP) if length else ord(END)
-            if length:
-                m[:, 1:-1] = [x for _, x in part]
-            yield m, counts[[i for i, _ in part]]
-
-
-def count_level(words: list[bytes], counts: np.ndarray, depth: int, parents: np.ndarray | None, totals: dict) -> None:
-    """Add (context of ``depth`` symbols, next symbol) counts to ``totals``; only below the sorted parent keys, if given."""
-    for m, n in matrices(words, counts):
-        for j in range(max(1, depth), m.shape[1]):
-            h = np.ones(len(m), dtype=np.uint64)
-            for k in range(1, depth):
-                h = _mix(h, m[:, j - k])
-            at = slice(None)
-            if parents is not None:
-                if not len(parents):
-                    return
-                at = np.nonzero(parents[np.minimum(np.searchsorted(parents, h), len(parents) - 1)] == h)[0]
-                if not len(at):
-                    continue
-            h = h[at]
-            if depth:
-                h = _mix(h, m[at, j - depth])
-            key = _mix(h, m[at, j])
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            sums = np.bincount(inverse, weights=n[at])
-            rows = m[at][first]
-            for row, s in zip(rows[:, j - depth:j + 1].tolist(), sums.tolist()):
-                totals[tuple(row)] = totals.get(tuple(row), 0) + s
+
+class Histories:
+    """Codes of the last d tokens at every position of some documents, over the frequent words.
+
+    Symbol numbers: 1.. the frequent words (the end among them), base - 1 the start of a
+    text; 0 is any other token.  A code is -1 where a token of the history is other or
+    lies before the start."""
+
+    def __init__(self, docs: list[list[bytes]], number: dict[bytes, int]):
+        self.base = len(number) + 2
+        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+        flat = np.fromiter((number.get(w, 0) for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        self.symbols = flat
+        # one start mark in front of every text
+        padded = np.insert(flat, starts, self.base - 1)
+        self.at = np.arange(len(flat)) + np.repeat(np.arange(1, len(docs) + 1), sizes)
+        self.padded = padded
+        self.room = self.at - np.repeat(starts + np.arange(len(docs)), sizes)  # symbols before a position, the start mark included
+
+    def codes(self, d: int) -> np.ndarray:
+        """Mixed-radix code of the d symbols before each position, newest last digit first."""
+        out, bad = np.zeros(len(self.at), dtype=np.int64), self.room < d
+        for k in range(d, 0, -1):
+            s = self.padded[np.maximum(self.at - k, 0)]
+            bad |= s == 0
+            out = out * self.base + s
+        return np.where(bad, -1, out)
 
 
 class Tree:
-    """Retained contexts with stored symbol probabilities, back-off weights and the root distribution."""
-
-    def __init__(self, levels: list[dict[str, dict[str, float]]], sizes: dict[str, float], test: float, prior: float):
-        root = levels[0].get("", {}) if levels else {}
-        total = sum(root.values())
-        self.other = 0.5 / (total + 0.5 * (len(root) + 1))
-        self.probs: dict[str, dict[str, float]] = {"": {a: (n + 0.5) / (total + 0.5 * (len(root) + 1)) for a, n in root.items()}}
-        self.back: dict[str, float] = {"": 0.0}
-        keep: set[str] = set()
-        for level in levels[:0:-1]:  # deepest first, so that a kept context keeps its suffixes
-            for s, own in level.items():
-                if s in keep or self._diverges(s, own, sizes, levels, test):
-                    keep.update(s[i:] for i in range(len(s)))
-        for level in levels[1:]:
-            for s, own in level.items():
-                if s in keep:
-                    self.back[s] = (sizes[s] - sum(own.values()) + prior) / (sizes[s] + prior)
-                    self.probs[s] = {a: n / (sizes[s] + prior) + self.back[s] * self.prob(s[1:], a) for a, n in own.items()}
-        self.depth = max(map(len, self.probs))
-
-    @staticmethod
-    def _diverges(s: str, own: dict[str, float], sizes: dict[str, float], levels, test: float) -> bool:
-        up, n, n_up = levels[len(s) - 1].get(s[1:], {}), sizes[s], sizes[s[1:]]
-        gain = sum(c * np.log((c / n) / (max(up.get(a, 0.0), c) / n_up)) for a, c in own.items())
-        return gain >= test
-
-    def prob(self, s: str, a: str) -> float:
-        """P(a | s) for a context in the tree."""
-        scale = 1.0
-        while True:
-            p = self.probs[s].get(a)
-            if p is not None:
-                return scale * p
-            if not s:
-                return scale * self.other
-            scale *= self.back[s]
-            s = s[1:]
-
-    def spell(self, word: bytes) -> float:
-        """Probability of spelling the word (of ending the text for b"")."""
-        seen, p, log = START, 1.0, 0.0
-        symbols = "".join(map(chr, letters(word))) + STOP if word else END
-        for a in symbols:
-            while seen not in self.probs:
-                seen = seen[1:]
-            p *= self.prob(seen, a)
-            if p < 1e-200:
-                log, p = log + np.log(p), 1.0
-            seen = (seen + a)[-self.depth:] if self.depth else ""
-        return float(log + np.log(p))
-
-
-def grow(lexicon: DataFrame, depth: int, p_min: float, test: float, prior: float) -> Tree:
-    """Level by level: count contexts below the frequent ones of the level before."""
-    levels: list[dict[str, dict[str, float]]] = []
-    sizes: dict[str, float] = {}
-    parents, least = None, 0.0
-    for d in range(depth + 1):
-        known = None if parents is None else np.sort(np.array([context_key(s) for s in parents], dtype=np.uint64))
+    """Per depth: sorted context codes with back-off weights, and sorted (context, symbol) pairs with probabilities."""
+
+    def __init__(self, number: dict[bytes, int]):
+        self.number, self.levels = number, []
+
+    def add(self, codes: np.ndarray, back: np.ndarray, pair_context: np.ndarray, pair_symbol: np.ndarray, pair_prob: np.ndarray) -> None:
+        order = np.argsort(codes)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        keys = rank[pair_context] * (len(self.number) + 2) + pair_symbol if len(pair_context) else np.zeros(0, dtype=np.int64)
+        by_key = np.argsort(keys)
+        self.levels.append((codes[order], back[order], keys[by_key], pair_prob[by_key]))
+
+    def refine(self, docs: list[list[bytes]], root: np.ndarray) -> np.ndarray:
+        """Probability of every token in the state of its longest suffix; ``root`` is the root's."""
+        p = root.copy()
+        if not any(len(codes) for codes, *_ in self.levels):
+            return p
+        h = Histories(docs, self.number)
+        for d, (codes, back, keys, probs) in enumerate(self.levels, 1):
+            if not len(codes):
+                break
+            own = h.codes(d)
+            i = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            hit = np.nonzero(codes[i] == own)[0]
+            i = i[hit]
+            key = i * h.base + h.symbols[hit]
+            stored_p = np.zeros(len(hit))
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                stored_p = np.where((keys[k] == key) & (h.symbols[hit] > 0), probs[k], 0.0)
+            p[hit] = stored_p + back[i] * p[hit]
+        return p
+
+
+def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p_min: float, test: float, prior: float) -> Tree:
+    """Count contexts level by level over ``train`` (chunk, row, doc_id, text) and keep those that diverge."""
+    number = {w: i for i, w in enumerate(sorted(frequent), 1)}
+    tree, base, least = Tree(number), len(number) + 2, p_min * total
+    if not number:
+        return tree
+    share = np.zeros(base)
+    for w, i in number.items():
+        share[i] = frequent[w] / total
+    spark, parents = train.sparkSession, None
+    found = []  # per level: context code -> (size, {symbol: n})
+    for d in range(1, depth + 1):
+        sent = spark.sparkContext.broadcast((number, parents))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals: dict = {}
-            for batch in batches:
-                for payload in batch.column(0):
-                    sizes_, blob, counts = unpack(payload.as_py())
-                    count_level(read_words(sizes_, blob), np.frombuffer(counts, dtype=np.int64).astype(float), d, known, totals)
-            text = ["".join(map(chr, t)) for t in totals]
-            yield pa.RecordBatch.from_arrays([pa.array([t[:-1] for t in text], pa.string()), pa.array([t[-1:] for t in text], pa.string()),
-                                              pa.array(list(totals.values()), pa.float64())], ["context", "symbol", "n"])
-
-        pairs = lexicon.select("payload").mapInArrow(count, "context string, symbol string, n double").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        if d == 0:
-            pairs = pairs.persist()
-            least = p_min * (pairs.agg(F.sum("n")).head()[0] or 0.0)
-        # a context's size and its stored symbols; both are bounded by 1 / p_min
-        per = pairs.groupBy("context").agg(F.sum("n").alias("size"), F.filter(F.collect_list(F.when(F.col("n") >= least, F.struct("symbol", "n"))), lambda x: x.isNotNull()).alias("own"))
-        got = per.where(F.col("size") >= least).toArrow().to_pylist()
-        if d == 0:
-            pairs.unpersist()
-        level = {r["context"]: {x["symbol"]: x["n"] for x in r["own"]} for r in got}
-        sizes |= {r["context"]: r["size"] for r in got}
-        levels.append(level)
-        parents = sorted(level)
-        if not parents:
+            num, up = sent.value
+            totals: Counter = Counter()
+            for *_, part in runs(batches):
+                docs = [tokens(t) for i, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()) if fold(i) > 0]
+                if not docs:
+                    continue
+                h = Histories(docs, num)
+                own, symbols = h.codes(d), h.symbols
+                at = own >= 0
+                if up is not None and len(up):
+                    tail = own % (len(num) + 2) ** (d - 1)
+                    at &= up[np.minimum(np.searchsorted(up, tail), len(up) - 1)] == tail
+                pairs, n = np.unique(np.stack([own[at], symbols[at]]), axis=1, return_counts=True) if d > 2 else _unique(own[at], symbols[at], len(num) + 2)
+                totals.update(dict(zip(zip(pairs[0].tolist(), pairs[1].tolist()), n.tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.int64()), pa.array([k[1] for k in totals], pa.int64()),
+                                              pa.array(list(totals.values()), pa.int64())], ["context", "symbol", "n"])
+
+        pairs = train.mapInArrow(count, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+        own = F.filter(F.collect_list(F.when((F.col("n") >= least) & (F.col("symbol") > 0), F.struct("symbol", "n"))), lambda x: x.isNotNull())
+        got = pairs.groupBy("context").agg(F.sum("n").alias("size"), own.alias("own")).where(F.col("size") >= least).toArrow().to_pylist()  # at most 1 / p_min rows
+        found.append({r["context"]: (r["size"], {x["symbol"]: x["n"] for x in r["own"]}) for r in got})
+        parents = np.sort(np.array(list(found[-1]), dtype=np.int64))
+        sent.unpersist()
+        if not len(parents):
             break
-    return Tree(levels, sizes, test, prior)
+
+    def chance(d: int, code: int, symbol: int) -> float:
+        """Empirical share of a symbol behind a context, from its longest counted suffix on."""
+        while d:
+            size, symbols = found[d - 1][code]
+            if symbol in symbols:
+                return symbols[symbol] / size
+            d -= 1
+            code %= base ** d
+        return share[symbol]
+
+    keep: list[set[int]] = [set() for _ in found]
+    for d in range(len(found), 0, -1):  # deepest first, so that a kept context keeps its suffixes
+        for code, (size, symbols) in found[d - 1].items():
+            gain = sum(n * np.log(n / size / chance(d - 1, code % base ** (d - 1), s)) for s, n in symbols.items())
+            if code in keep[d - 1] or gain >= max(test, 0.01 * size):
+                for k in range(d, 0, -1):
+                    keep[k - 1].add(code % base ** k)
+    for d, codes in enumerate(keep):
+        order = sorted(codes)
+        sizes = np.array([found[d][c][0] for c in order], dtype=float)
+        held = np.array([sum(found[d][c][1].values()) for c in order], dtype=float)
+        triples = [(i, s, n / (found[d][c][0] + prior)) for i, c in enumerate(order) for s, n in found[d][c][1].items()]
+        cols = list(zip(*triples)) or [(), (), ()]
+        tree.add(np.array(order, dtype=np.int64), (sizes - held + prior) / (sizes + prior), np.array(cols[0], dtype=np.int64),
+                 np.array(cols[1], dtype=np.int64), np.array(cols[2], dtype=float))
+    return tree
+
+
+def _unique(a: np.ndarray, b: np.ndarray, base: int):
+    keys, n = np.unique(a * base + b, return_counts=True)
+    return (keys // base, keys % base), n
 
 
 # ------------------------------------------------------------------ the operator
 
 
-def score(docs: DataFrame, depth: int = 6, p_min: float = 1e-5, test: float = 50.0, prior: float = 20.0) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, p_min: float = 2e-5, test: float = 50.0, prior: float = 20.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    if p_min < 2e-5 or depth > 3:
+        raise ValueError("history codes have 63 bits: p_min is at least 2e-5 and depth at most 3")
     layout = Layout(docs)
     buckets = layout.buckets
     d = chunked(docs, layout)
 
     def keys(ids: list, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
         learned: Counter = Counter()
-        distinct: set[bytes] = {b""}
+        distinct: set[bytes] = set()
         for i, text in zip(ids, bodies):
-            own = tokens(text)
-            if fold(i) > 0:
-                learned.update(own)
-                learned[b""] += 1
-            else:
-                distinct.update(own)
+            (learned if fold(i) > 0 else distinct).update(tokens(text))
         for b, words in by_bucket(distinct | learned.keys(), buckets).items():
             yield b, pack(*pack_words(words), np.fromiter(map(learned.__getitem__, words), dtype=np.int64, count=len(words)).tobytes())
 
-    asked = stored(ask(d, keys), "lm-words")
-
     def merge(table: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        for payload in table["payload"]:
-            sizes, blob, counts = unpack(payload.as_py())
-            for w, n in zip(read_words(sizes, blob), np.frombuffer(counts, dtype=np.int64).tolist()):
-                if n:
-                    total[w] = total.get(w, 0) + n
-        words, counts = list(total), np.fromiter(total.values(), dtype=np.int64, count=len(total))
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "payload": pa.array([pack(*pack_words(words), counts.tobytes())], pa.binary()),
-                         "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(words)], pa.int64()), "once": pa.array([int((counts == 1).sum())], pa.int64())})
-
-    lexicon = stored(asked.groupBy("bucket").applyInArrow(merge, "bucket int, payload binary, n long, v long, once long"), "lm-lexicon")
-    head = lexicon.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("once").alias("once")).head()
-    n, v, once = head["n"] or 0, head["v"] or 0, max(1, head["once"] or 0)
-    tree = grow(lexicon, depth, p_min, test, prior)
+        """Answers (the training count of each word asked for) and one summary row: n, v, tokens seen once, words that may be frequent."""
+        asked = [unpack(p.as_py()) for p in table["payload"]]
+        number: dict[bytes, int] = {}
+        places = []
+        for sizes, blob, _ in asked:
+            words = read_words(sizes, blob)
+            places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
+        total = np.zeros(len(number), dtype=np.int64)
+        for at, (_, _, counts) in zip(places, asked):
+            total[at] += np.frombuffer(counts, dtype=np.int64)
+        n = int(total.sum())
+        often = total >= max(1.0, p_min * n)
+        words = [w for w, x in zip(number, often.tolist()) if x]
+        summary = pack(*pack_words(words), total[often].tobytes(), np.array([(total == 1).sum()], dtype=np.int64).tobytes())
+        out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(total[at].tobytes()) for at in places], pa.binary()))
+        own = pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "lo": [n], "hi": [int((total > 0).sum())], "payload": [summary]}, schema=out.schema)
+        return pa.concat_tables([out, own])
+
+    answers = stored(ask(d, keys).groupBy("bucket").applyInArrow(merge, MESSAGE), "lm-lexicon")
+    summaries = answers.where("chunk is null")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(np.frombuffer(unpack(p.as_py())[3], dtype=np.int64)[0]) for p in batch.column(2)], pa.int64())], ["n", "v", "once"])
+
+    head = summaries.select("lo", "hi", "payload").mapInArrow(once, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).head()
+    n, v, singles = head[0] or 0, head[1] or 0, max(1, head[2] or 0)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0):
+                sizes, blob, counts, _ = unpack(p.as_py())
+                rows = [(w, c) for w, c in zip(read_words(sizes, blob), np.frombuffer(counts, dtype=np.int64).tolist()) if c >= p_min * n]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
+
+    often = summaries.select("payload").mapInArrow(frequent, "word binary, n long").toArrow().to_pylist()  # at most 1 / p_min rows
+    tree = grow(d, {r["word"]: r["n"] for r in often}, n, depth, p_min, test, prior)
     sent = d.sparkSession.sparkContext.broadcast(tree)
-
-    def reply(table: pa.Table) -> pa.Table:
-        now, known = sent.value, {}
-        for chunk, payload in zip(table["chunk"].to_pylist(), table["payload"]):
-            if chunk is None:
-                sizes, blob, counts = unpack(payload.as_py())
-                known.update(zip(read_words(sizes, blob), np.frombuffer(counts, dtype=np.int64).tolist()))
-        memo: dict[bytes, tuple[int, float]] = {}
-        out = []
-        rows = table.filter(pa.compute.is_valid(table["chunk"]))
-        for payload in rows["payload"]:
-            sizes, blob, _ = unpack(payload.as_py())
-            got = []
-            for w in read_words(sizes, blob):
-                x = memo.get(w)
-                if x is None:
-                    c = known.get(w, 0)
-                    x = memo[w] = c, float(np.log10((c + once * np.exp(now.spell(w))) / (n + once))) if c else (now.spell(w) + np.log(once) - np.log(n + once)) / np.log(10)
-                got.append(x)
-            out.append(pack(np.array([x[0] for x in got], dtype=np.int64).tobytes(), np.array([x[1] for x in got], dtype=np.float32).tobytes()))
-        return rows.drop_columns(["payload"]).append_column("payload", pa.array(out, pa.binary()))
-
-    none = F.lit(None).cast("long")
-    answers = asked.unionByName(lexicon.select("bucket", none.alias("chunk"), none.alias("lo"), none.alias("hi"), "payload")).groupBy("bucket").applyInArrow(reply, MESSAGE)
     per_token = np.log10(n + 0.1 * (v + 1))
 
     def work(ids: list, bodies: list[str], got: dict[int, bytes]) -> pa.Table:
         split = [tokens(text) for text in bodies]
         place: dict[bytes, int] = {}
-        counts, logs = [], []
-        for b, words in by_bucket(set().union([b""], *split), buckets).items():
+        counts = []
+        for b, words in by_bucket(set().union(*split), buckets).items():
             place.update(zip(words, range(len(place), len(place) + len(words))))
-            c, x = unpack(got[b])
-            counts.append(np.frombuffer(c, dtype=np.int64))
-            logs.append(np.frombuffer(x, dtype=np.float32).astype(float))
-        count, log = np.concatenate(counts), np.concatenate(logs)
-        base = np.log10(count + 0.1)
-        rows = []
-        for own in split:
-            at = np.fromiter(map(place.__getitem__, own + [b""]), dtype=np.int64, count=len(own) + 1)
-            rows.append((len(at), int((count[at] > 0).sum()), float(base[at].sum() - len(at) * per_token), float(log[at].sum())))
-        cols = list(zip(*rows))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) == 0 for i in ids], pa.bool_()), "n_tokens": pa.array(cols[0], pa.int64()),
-                         "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([n] * len(ids), pa.int64()),
-                         "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
-
-    return finish(documents(d), answers, work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    for ws in out.values():
-        ws.sort()
-    return out
+            counts.append(np.frombuffer(unpack(got[b])[0], dtype=np.int64))
+        count = np.concatenate(counts)
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        starts = np.cumsum(sizes) - sizes
+        c = count[np.fromiter((place[w] for own in split for w in own), dtype=np.int64, count=int(sizes.sum()))]
+        p = sent.value.refine(split, np.where(c > 0, c, singles) / (n + singles))
+        known, base, full = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - per_token, np.log10(p)))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) == 0 for i in ids], pa.bool_()), "n_tokens": pa.array(sizes),
+                         "n_known": pa.array(known), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
+
+    return finish(documents(d), answers.where("chunk is not null"), work,
+                  "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,8 +8,8 @@ negative, the step goes uphill on it instead (so that it cannot be over-fitted).
 * Only labels of rows outside the held-out fold are read; the class prior is the share
   of toxic rows among them.  A document with several label rows is toxic if one says so.
 * The learning sample is bounded: about ``positives`` toxic and ``unlabelled`` other
-  rows.  ``members`` classifiers train on disjoint parts of it, one task each; their
-  logits are averaged.  Features are words and four-letter word beginnings; those whose
+  rows.  ``members`` classifiers train on all of P and disjoint parts of U, one task each;
+  their logits are averaged.  Features are words and word beginnings of 4 and 6 letters; those whose
   share in P differs from that in U by ``z_least`` standard errors are kept.
 * A score is computed from the whole text; labels, lang, source and doc_id do not enter.
   Null and empty texts get the score of a text without known words.  No positive label
@@ -34,7 +34,7 @@ EDGES = ".,;:!?\"'()[]{}<>|*_-–—«»¿¡…"
 
 def features_of(text: str) -> set[str]:
     words = {t.strip(EDGES) for t in set(text.lower().split())}
-    return words | {w[:4] + BEGINNING for w in words if len(w) > 4}
+    return words | {w[:4] + BEGINNING for w in words if len(w) > 4} | {w[:6] + BEGINNING for w in words if len(w) > 6}
 
 
 def fit(texts: list[set[str]], positive: np.ndarray, prior: float, z_least: float, steps: int) -> tuple[dict[str, float], float]:
@@ -75,7 +75,7 @@ def fit(texts: list[set[str]], positive: np.ndarray, prior: float, z_least: floa
     return {x: float(w[i]) for x, i in index.items()}, float(w[k])
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, members: int = 3,
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 9000, members: int = 3,
           z_least: float = 6.0, steps: int = 400) -> tuple[dict[str, float], float]:
     """Averaged word weights and bias from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -88,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     d = docs.select("doc_id", "text").where("text is not null")
     chosen = d.where(share("pu-unlabelled", "doc_id", "text") < min(1.0, unlabelled / total)).withColumn("positive", F.lit(False))
     known = d.join(sure, "doc_id")
-    rows = known.unionByName(chosen).withColumn("member", F.pmod(F.xxhash64("doc_id", "text"), F.lit(members)).cast("int"))
+    every = known.select("*", F.explode(F.array(*[F.lit(i) for i in range(members)])).alias("member"))
+    rows = every.unionByName(chosen.withColumn("member", F.pmod(F.xxhash64("doc_id", "text"), F.lit(members)).cast("int")))
 
     def one(table: pa.Table) -> pa.Table:
         texts = [features_of(t) for t in table["text"].to_pylist()]
