@@ -74,3 +74,10 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import suffix_lm
 
     return suffix_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_ngram_join")
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import ngram_join
+
+    return ngram_join.report(table(spark, sf_dir, "documents"))
