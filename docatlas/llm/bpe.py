@@ -176,9 +176,9 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
-def report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def report(docs: DataFrame, path: str | None = None, more: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and ``more`` of ids and decoded."""
     d = encode_decode(docs, path)
     text_of = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text_of.cast("binary"), 256).alias("ids_sha256"),
-                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more)

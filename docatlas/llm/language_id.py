@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docatlas.llm.common import remainder, share, vocabulary_file
 
@@ -239,12 +240,12 @@ def train(docs: DataFrame, pieces_path: str | None = None, rows_per_lang: int =
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score (posterior of that language, equal priors)."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` with, under ``names``, the language and its posterior (equal priors)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    d = docs.select("text", *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text"] + ["lang_pred string", "score double"])
+    d = docs.select(F.col("text").alias("text_to_judge"), *keep)
+    schema = T.StructType(d.schema.fields[1:]).add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, width = sent.value, max(1, len(sent.value.langs))
@@ -285,7 +286,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     tokens, size = [], 0
             out += judge(tokens)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                                             [*batch.schema.names[1:], "lang_pred", "score"])
+                                             [*batch.schema.names[1:], *names])
 
     return d.mapInArrow(run, schema)
 
@@ -297,3 +298,11 @@ def identify(docs: DataFrame, pieces_path: str | None = None, rows_per_lang: int
     model = train(d.where((fold >= 0) & (fold != 2)), pieces_path, rows_per_lang)
     out = predict(d.withColumn("held_out", fold == 2), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` that have a language: some letter, and a posterior of at least ``least``."""
+    fold = remainder(4)
+    model = train(docs.where((fold >= 0) & (fold != 2)), **options)
+    judged = predict(docs, model, docs.columns, ("lang_pred_", "score_"))
+    return judged.where((F.col("lang_pred_") != "und") & (F.col("score_") >= least)).select(*docs.columns)

@@ -81,3 +81,10 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import ngram_join
 
     return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_training_order")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import training_order
+
+    return training_order.write_shards(table(spark, sf_dir, "documents"))

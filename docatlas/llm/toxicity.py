@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docatlas.llm.common import remainder, share
 
@@ -117,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
 def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str]) -> DataFrame:
     """``keep`` columns with score and predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select("text", *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text"] + ["score double", "predicted int"])
+    d = docs.select(F.col("text").alias("text_to_judge"), *keep)
+    schema = T.StructType(d.schema.fields[1:]).add("score", "double").add("predicted", "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
