@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,19 @@ MESSAGE = "bucket int, chunk long, lo long, hi long, payload binary"
 DOCUMENTS = -1
 
 
-def pack(*parts: bytes) -> bytes:
+def pack(*parts: bytes, level: int = 6) -> bytes:
     raw = struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them."""
+    kind = np.min_scalar_type(int(numbers.max())) if len(numbers) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -103,9 +114,9 @@ def documents(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, lo, hi, part in runs(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, part.schema) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema))
-            yield messages([(DOCUMENTS, chunk, lo, hi, sink.getvalue().to_pybytes())])
+            yield messages([(DOCUMENTS, chunk, lo, hi, pack(sink.getvalue().to_pybytes()))])
 
     return d.mapInArrow(run, MESSAGE)
 
@@ -120,7 +131,7 @@ def finish(docs: DataFrame, answers: DataFrame, work: Callable[[list, list[str],
         parts, asked = [], {}
         for b, lo, hi, payload in zip(*(table[c].to_pylist() for c in ("bucket", "lo", "hi", "payload"))):
             if b == DOCUMENTS:
-                parts.append(pa.ipc.open_stream(payload).read_all())
+                parts.append(pa.ipc.open_stream(unpack(payload)[0]).read_all())
             else:
                 asked.setdefault((lo, hi), {})[b] = payload
         if not parts:

@@ -88,3 +88,10 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import training_order
 
     return training_order.write_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeats")
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import repeats
+
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
