@@ -245,7 +245,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     d = docs.select(F.col("text").alias("text_to_judge"), *keep)
-    schema = T.StructType(d.schema.fields[1:]).add(names[0], "string").add(names[1], "double")
+    schema = T.StructType(d.schema.fields[1:]).add(names[0], T.StringType()).add(names[1], T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, width = sent.value, max(1, len(sent.value.langs))

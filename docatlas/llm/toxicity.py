@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str
     """``keep`` columns with score and predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(F.col("text").alias("text_to_judge"), *keep)
-    schema = T.StructType(d.schema.fields[1:]).add("score", "double").add("predicted", "int")
+    schema = T.StructType(d.schema.fields[1:]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
