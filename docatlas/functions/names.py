@@ -168,16 +168,22 @@ def rule_headers(c: Column | str) -> Column:
         rows = [{"o": o, "k": k, "h": h} for o, s, k, h in rules if s == shape]
         return F.expr(dims.as_literal(rows, "array<struct<o:int,k:string,h:array<string>>>"))
 
+    whole: dict[str, list] = {}
+    for o, s, k, h in rules:
+        if s == "exact":
+            whole.setdefault(k, []).append({"o": o, "k": k, "h": h})
+    exact = F.expr(dims.as_literal(whole, "map<string,array<struct<o:int,k:string,h:array<string>>>>"))
     hits = [
         F.filter(table("prefix"), lambda r: F.startswith(low, r["k"])),
         F.filter(table("contains"), lambda r: F.contains(low, r["k"])),
-        F.filter(table("exact"), lambda r: low == r["k"]),
+        F.try_element_at(exact, low),
     ]
     for o, _, k, h in (r for r in rules if r[1] == "regex"):
         row = F.expr(dims.as_literal([{"o": o, "k": k, "h": h}],
                                      "array<struct<o:int,k:string,h:array<string>>>"))
         hits.append(F.when(low.rlike(f"^(?:{k})"), row))
-    found = F.concat(*[F.coalesce(x, F.filter(table("exact"), lambda r: F.lit(False))) for x in hits])
+    nothing = F.expr("cast(array() as array<struct<o:int,k:string,h:array<string>>>)")
+    found = F.concat(*[F.coalesce(x, nothing) for x in hits])
     return F.transform(F.array_sort(found), lambda r: F.struct(r["o"].alias("ord"), r["h"].alias("headers")))
 
 
