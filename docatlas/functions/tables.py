@@ -127,12 +127,12 @@ def definition_pairs(html: Column) -> Column:
             T.strip(_text(F.regexp_extract(x, r"(?is)^<dt\b[^>]*>(.*?)(?:</dt\s*>|(?=<dd\b)|\z)", 1))).alias("name"),
             F.when(x.rlike(r"(?i)<dd[\s>]"), T.strip(_text(dd))).alias("description"))
 
-    return F.filter(F.transform(F.slice(parts, 2, 50), pair), lambda p: p["description"].isNotNull())
+    return F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), pair), lambda p: p["description"].isNotNull())
 
 
 def table_pairs(html: Column) -> Column:
-    """(name, description) of rows 2..50 of a member table."""
-    rows = F.filter(F.slice(rows_of(html), 2, 49), lambda r: F.size(r) >= 2)
+    """(name, description) of the rows of a member table but the first."""
+    rows = F.filter(rows_of(html), lambda r, i: (i > 0) & (F.size(r) >= 2))
     return F.transform(rows, lambda r: F.struct(
         T.strip(_text(r[0])).alias("name"), T.strip(_text(r[1])).alias("description")))
 

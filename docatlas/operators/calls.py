@@ -28,29 +28,18 @@ def parse_options(calls: DataFrame) -> DataFrame:
     """E2 inside the row: options anywhere, the rest are arguments in order.
 
     A token is the value of ``--ret`` when an odd number of directly preceding
-    ``--ret`` tokens ends right before it; arrays are one call long."""
-    tokens = F.filter(F.split("args", " "), lambda t: t != "")
-    d = calls.withColumn("tokens", tokens)
-    # fold left to right: v = (token, is the value of --ret), open = a --ret waits for its value
-    flags = F.aggregate(
-        "tokens", F.struct(F.expr("cast(array() as array<struct<t:string,value:boolean>>)").alias("v"), F.lit(False).alias("open")),
-        lambda acc, t: F.struct(F.concat(acc["v"], F.array(F.struct(t.alias("t"), acc["open"].alias("value")))).alias("v"),
-                                ((t == "--ret") & ~acc["open"]).alias("open")))
-    d = d.withColumn("f", flags)
-    marked = F.col("f.v")
-
-    def flag(name: str) -> Column:
-        return F.exists(marked, lambda x: (x["t"] == name) & ~x["value"])
-
+    ``--ret`` tokens ends right before it."""
+    # matches go from left to right without overlap, so a value that looks like the option is a value
+    given = r"(?<![^ ])--ret +([^ ]+)"
+    d = calls.withColumns({"ret_values": F.regexp_extract_all("args", F.lit(given), F.lit(1)),
+                           "tokens": F.filter(F.split(F.regexp_replace("args", given, ""), " "), lambda t: t != "")})
     d = d.withColumns({
-        "arguments": F.transform(F.filter(marked, lambda x: ~x["value"] & ~x["t"].isin("--ret", "--wide", "--show-error")),
-                                 lambda x: x["t"]),
-        "ret_values": F.transform(F.filter(marked, lambda x: x["value"]), lambda x: x["t"]),
-        "wide": flag("--wide"), "show_error": flag("--show-error")})
+        "arguments": F.filter("tokens", lambda t: ~t.isin("--ret", "--wide", "--show-error")),
+        "wide": F.array_contains("tokens", "--wide"), "show_error": F.array_contains("tokens", "--show-error")})
     d = d.withColumn("return_type", F.coalesce(F.try_element_at("ret_values", F.lit(-1)), F.lit("u32")))
-    error = F.when(F.col("f.open"), "missing return type").when(
+    error = F.when(F.array_contains("tokens", "--ret"), "missing return type").when(
         ~F.col("return_type").isin(dims.RETURN_TYPES), "unknown return type")
-    return d.withColumn("option_error", error).drop("tokens", "f", "ret_values")
+    return d.withColumn("option_error", error).drop("tokens", "ret_values")
 
 
 def module_name(spec: Column | str) -> Column:
@@ -110,7 +99,8 @@ def typed(df: DataFrame, col: str) -> DataFrame:
 def type_arguments(calls: DataFrame) -> DataFrame:
     """One row per argument; the number of a 64-bit value keeps all digits."""
     keys = [c for c in calls.columns if c != "arguments"]
-    return typed(calls.select(*keys, F.posexplode("arguments").alias("arg_no", "raw")), "raw")
+    # the outer form: a plain explode would parse every call twice, once to filter by size
+    return typed(calls.select(*keys, F.posexplode_outer("arguments").alias("arg_no", "raw")).where("raw is not null"), "raw")
 
 
 def hexdump(df: DataFrame, col: str) -> DataFrame:

@@ -33,9 +33,10 @@ def with_history(log: DataFrame, key: str, ok: Column, seconds: int = 86400, ts:
     base = F.last(F.when(F.col("last_ok").isNotNull(), F.col("cum") - F.col("tail")), ignorenulls=True).over(by_key)
     s = s.withColumn("run_end", F.col("cum") - F.coalesce(base, F.lit(0)))
     s = s.withColumn("run_carry", F.coalesce(F.lag("run_end").over(by_key), F.lit(0)))
-    s = s.select(key, "_chunk", "rows_before", "end_before", "run_carry")
+    s = s.select(F.col(key).alias("_key_s"), F.col("_chunk").alias("_chunk_s"), "rows_before", "end_before", "run_carry")
 
-    d = d.join(s, [key, "_chunk"])
+    # null keys and null times are a key and a chunk like any other
+    d = d.join(s, F.col(key).eqNullSafe(F.col("_key_s")) & F.col("_chunk").eqNullSafe(F.col("_chunk_s"))).drop("_key_s", "_chunk_s")
     local = F.col("_rn") - 1 - F.coalesce("_last_ok", F.lit(0))
     run_before = local + F.when(F.col("_last_ok").isNull(), F.col("run_carry")).otherwise(0)
     d = d.withColumns({"rn": F.col("_rn") + F.col("rows_before"), "prev_us": F.coalesce("_prev", "end_before"),

@@ -26,20 +26,20 @@ def read_probe_log(df: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(log: DataFrame) -> DataFrame:
-    """Newest body per url, last status and last time.  304 and failed fetches
-    keep the earlier body.  One partial aggregate."""
-    has_body = F.when((F.col("status") == 200) & F.col("body").isNotNull(), F.struct("ts", "event_id"))
+    """Newest body per url, last status and last time, and when they were seen (so that
+    late rows merge rightly).  304 and failed fetches keep the earlier body.  One partial aggregate."""
+    at = F.struct("ts", "event_id")
+    has_body = F.when((F.col("status") == 200) & F.col("body").isNotNull(), at)
     return log.groupBy("url").agg(
-        F.max_by("body", has_body).alias("body"), F.max_by("status", F.struct("ts", "event_id")).alias("last_status"),
-        F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("fetches"))
+        F.max_by("body", has_body).alias("body"), F.max_by("status", at).alias("last_status"),
+        F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("fetches"), F.max(has_body).alias("body_at"), F.max(at).alias("last_at"))
 
 
 def merge_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     """Combine two snapshot tables (same columns); used per micro-batch."""
     return old.unionByName(new).groupBy("url").agg(
-        F.max_by("body", F.when(F.col("body").isNotNull(), F.col("last_ts"))).alias("body"),
-        F.max_by("last_status", "last_ts").alias("last_status"), F.max("last_ts").alias("last_ts"),
-        F.sum("fetches").alias("fetches"))
+        F.max_by("body", "body_at").alias("body"), F.max_by("last_status", "last_at").alias("last_status"),
+        F.max("last_ts").alias("last_ts"), F.sum("fetches").alias("fetches"), F.max("body_at").alias("body_at"), F.max("last_at").alias("last_at"))
 
 
 def cached_at(log: DataFrame) -> DataFrame:
@@ -54,11 +54,12 @@ def freshness(log: DataFrame, now: Column, ttl: int = CACHE_TTL) -> DataFrame:
 
 def revalidation(log: DataFrame) -> DataFrame:
     """Validators to send.  ``etag``/``last_modified`` belong to the newest cached
-    response (null when it had none); ``last_*`` to the newest response that had one."""
+    response ('' when it had none, null when nothing is cached); ``last_*`` to the newest
+    response that had one."""
     at = F.struct("ts", "event_id")
     newest = F.when(F.col("status") == 200, at)
     return log.groupBy("url").agg(
-        F.max_by("etag", newest).alias("etag"), F.max_by("last_modified", newest).alias("last_modified"),
+        F.max_by(F.coalesce("etag", F.lit("")), newest).alias("etag"), F.max_by(F.coalesce("last_modified", F.lit("")), newest).alias("last_modified"),
         F.max_by("etag", F.when(F.col("etag").isNotNull(), at)).alias("last_etag"),
         F.max_by("last_modified", F.when(F.col("last_modified").isNotNull(), at)).alias("last_last_modified"))
 

@@ -35,7 +35,7 @@ def with_context(b: DataFrame) -> DataFrame:
     """Section, heading and start markers of every block."""
     tag, hl = F.col("tag"), F.col("hlevel")
     # a heading counts when its content is one single string
-    single = F.col("inner").rlike(r"^(?:<[a-zA-Z][^>]*>){0,8}[^<]*(?:</[^>]*>){0,8}\s*\z")
+    single = F.col("inner").rlike(r"^(?:<[a-zA-Z][^>]*>)*+[^<]*+(?:</[^>]*>)*+\s*\z")
     head_text = F.when(hl.between(2, 4) & single, F.lower("text"))
     where = F.struct("pos", "parent", "hlevel", "level")
     b = b.withColumn("head_text", head_text)
@@ -114,10 +114,18 @@ def first_call(text: Column) -> Column:
 def language_of(css: Column, parent_css: Column, head: Column, content: Column) -> Column:
     """Class, class of the container, data attribute, then content.  Only the
     nearest container is asked, not all of them."""
+    def spelled(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("lang-")), F.replace(x, F.lit("lang-"), F.lit(""))).when(
+            F.contains(x, F.lit("language-")), F.replace(x, F.lit("language-"), F.lit("")))
+
+    def first_of(c: Column, name) -> Column:
+        return F.get(F.filter(F.transform(F.split(F.trim(c), r"\s+"), name), lambda x: x.isNotNull()), F.lit(0))
+
     def marked(c: Column) -> Column:
-        return T.extract(c, r"(?:^|\s)\S*?(?:lang-|language-)(\S+)")
+        return first_of(c, spelled)
 
-    own = F.coalesce(marked(css), T.extract(css, rf"(?:^|\s)({'|'.join(dims.LANGUAGE_CLASSES)})(?:\s|\z)"))
+    # classes are asked in their order
+    own = first_of(css, lambda x: F.coalesce(spelled(x), F.when(x.isin(dims.LANGUAGE_CLASSES), x)))
     data = T.extract(head, r"(?i)\sdata-lang(?:uage)?\s*=\s*[\"']?([^\"'\s>]+)")
     guess = F.when(F.lit(False), "c")
     for lang, patterns in dims.LANGUAGE_PATTERNS:
@@ -231,7 +239,7 @@ AGGREGATES = {
     "note_parts": lambda: collect(note_part().isNotNull(), note_part().alias("text")),
     "first_p": lambda: best(F.col("bare"), (F.col("tag") == "p") & (F.col("pos") > F.col("h1.pos"))),
     "member_items": lambda: collect(
-        F.col("opened") & inside("members"), "tag", F.col("bare").alias("text"), "hlevel",
+        F.col("opened") & inside("members"), F.col("in_members.pos").alias("kp"), "tag", F.col("bare").alias("text"), "hlevel",
         F.when(F.col("tag") == "dl", V.definition_pairs(F.col("raw"))).when(
             F.col("tag") == "table", V.table_pairs(F.col("raw"))).alias("pairs")),
     "sibling_ps": lambda: collect((F.col("tag") == "p") & (F.col("pos") > F.col("in_members.pos"))
@@ -315,8 +323,10 @@ def parameters_of(d: DataFrame) -> DataFrame:
     # descriptions per parameter: one ordered join with marks, split again, no nested scan
     flat = F.array_join(F.transform(rows, lambda r: F.when(r["param_name"].isNotNull(), F.lit(M1)).otherwise(F.concat(
         F.lit(M2), F.when(r["tag"] == "dd", T.clean_text(r["text"])).otherwise(r["text"])))), "")
-    texts = F.transform(F.slice(F.split(flat, M1), 2, 1000000), lambda x: F.array_join(
-        F.slice(F.split(x, M2), 2, 1000000), " "))
+    def behind_first(parts: Column) -> Column:
+        return F.slice(parts, F.lit(2), F.size(parts))
+
+    texts = F.transform(behind_first(F.split(flat, M1)), lambda x: F.array_join(behind_first(F.split(x, M2)), " "))
     d = d.withColumn("params", F.arrays_zip(starts.alias("s"), texts.alias("t")))
     # where value tables of a parameter begin: its first description paragraph
     first_at = F.map_from_entries(F.transform(F.filter(rows, lambda r: r["first_desc"]), lambda r: F.struct(
@@ -370,7 +380,9 @@ def looks_like_member(line: Column) -> Column:
 
 
 def members_of(d: DataFrame) -> DataFrame:
-    """Members from the section, else from the typedef block."""
+    """Members from the first section with items, else from the typedef block."""
+    first = F.get("member_items", F.lit(0))["kp"]
+    d = d.withColumn("member_items", F.filter("member_items", lambda it: it["kp"] == first))
     items = F.col("member_items")
     ps = F.transform("sibling_ps", lambda p: p["text"])
     # the paragraph after each sibling paragraph, looked up by position
@@ -387,7 +399,7 @@ def members_of(d: DataFrame) -> DataFrame:
         more = ((F.length(nxt) > 400) & ~nxt.endswith(".") & (F.length(nxt2) > 50)
                 & ~F.regexp_replace(nxt2, r"[_\[\]]", "").rlike(r"(?U)^[\p{L}\p{N}]+\z"))
         text = F.when(more, F.concat_ws(" ", nxt, nxt2)).otherwise(nxt)
-        desc = F.when(F.length(nxt) > F.length(line) + 10, F.substring(text, 1, 800)).otherwise(dims.MEMBER_DEFAULT)
+        desc = F.when(F.length(nxt) > F.length(line) + 10, text).otherwise(dims.MEMBER_DEFAULT)
         return F.when(looks_like_member(line), F.array(one(line, F.coalesce(desc, F.lit(dims.MEMBER_DEFAULT)))))
 
     def of_item(it: Column) -> Column:
@@ -395,7 +407,7 @@ def members_of(d: DataFrame) -> DataFrame:
         return F.coalesce(F.when(it["tag"] == "p", paragraph(it)), pairs,
                           F.filter(F.array(one(it["text"], it["text"])), lambda x: F.lit(False)))
 
-    section = F.flatten(F.transform(F.slice(items, 1, 50), of_item))
+    section = F.flatten(F.transform(items, of_item))
     d = d.withColumn("section_members", section)
 
     def default(name: Column) -> Column:

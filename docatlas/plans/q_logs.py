@@ -109,8 +109,7 @@ select url, arg_max(coalesce(etag, ''), ts) filter (status = 200) as etag, arg_m
   arg_max(etag, ts) filter (etag is not null) as last_etag, arg_max(last_modified, ts) filter (last_modified is not null) as last_last_modified
 from fetch_log_v group by url""")
 def t3(spark, sf):
-    return G.revalidation(fetches(spark, sf)).withColumns({
-        "etag": F.coalesce("etag", F.lit("")), "last_modified": F.coalesce("last_modified", F.lit(""))})
+    return G.revalidation(fetches(spark, sf))
 
 
 @query("t11_retry_schedule", FETCH + RUNS.format(key="url", log="fetch_log_v") + """
