@@ -274,6 +274,17 @@ def near_rows(n=150):
     return rows
 
 
+def test_shared_tokens():
+    token = np.array([1, 1, 1, 2, 2, 3, 3, 3, 9], dtype=np.uint64)
+    owner = np.array([7, 5, 6, 5, 7, 5, 5, 6, 5])
+    size = np.array([100, 100, 20, 100, 100, 100, 100, 20, 100])
+    got = [tuple(map(int, x)) for x in zip(*ngram_join.shared(token, owner, size))]
+    assert got == [(5, 7, 2, 11)]  # 6 is too small for both
+    many = np.arange(50)
+    a, b, n, need = ngram_join.shared(np.ones(50, dtype=np.uint64), many, np.full(50, 100))
+    assert len(a) == 49 and (n > need).all() and set(a) == {0}
+
+
 @pytest.mark.parametrize("block", [2000, 4])
 def test_near(spark, odd, empty, pairs, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)  # small blocks: links across blocks
