@@ -75,7 +75,7 @@ select agent, count(*) as requests, count_if(status = 200)::bigint as successes,
 union all select 'unseen', 0, 0, 0, 0.5""")
 def g5(spark, sf):
     log = probes(spark, sf)
-    agents = log.select("agent").distinct().unionByName(log.limit(1).select(F.lit("unseen").alias("agent")))
+    agents = log.select("agent").distinct().unionByName(spark.createDataFrame([("unseen",)], "agent string"))
     return G.rates_of(agents, log).select(
         "agent", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("successes", F.lit(0)).alias("successes"),
         F.coalesce(F.unix_micros("last_used"), F.lit(0)).alias("last_used"), "rate")
@@ -271,10 +271,10 @@ def j17(spark, sf):
 
 @query("e7_enriched_calls", EXPORTS + RESOLVED_SQL + f"""
 select {KEY_SQL}, rs.module, resolved, coalesce(doc_page, -1) as doc_page from rs left join
-  (select lower(symbol) as k, min(sym_id) as doc_page from symbols_v where sym_id % 3 <> 0 group by 1) on k = lower(coalesce(resolved, function))""")
+  (select lower(case when sym_id % 3 = 0 then concat('Unlisted', symbol) else symbol end) as k, min(sym_id) as doc_page from symbols_v group by 1) on k = lower(coalesce(resolved, function))""")
 def e7(spark, sf):
-    docs = view(spark, sf, "symbols_v").filter("sym_id % 3 <> 0").select(
-        F.col("symbol").alias("doc_function"), F.col("sym_id").alias("doc_page"))
+    name = F.expr("case when sym_id % 3 = 0 then concat('Unlisted', symbol) else symbol end")
+    docs = view(spark, sf, "symbols_v").select(name.alias("doc_function"), F.col("sym_id").alias("doc_page"))
     return K.enrich_calls(call_log(spark, sf), view(spark, sf, "exports_v"), docs).select(
         *KEYS, "module", "resolved", F.coalesce("doc_page", F.lit(-1)).alias("doc_page"))
 

@@ -278,24 +278,28 @@ union all select sym_id, 2, 'Ldr', 'LPVOID *', 'Ponteiro para dados do loader de
 from symbols_v where sym_id % 2 = 1"""
 
 
+# every page has one of the two forms
+ALL_MEMBERS_SQL = MEMBERS_SQL + " union all " + CODE_MEMBERS_SQL
+
+
 def structs(spark, sf):
     return view(spark, sf, "struct_pages_v")
 
 
-@query("p18_section_members", STRUCT + MEMBERS_SQL)
+@query("p18_section_members", STRUCT + ALL_MEMBERS_SQL)
 def p18(spark, sf):
-    return R.members_table(P.page_facts(structs(spark, sf).filter("page_id % 2 = 0"), "members"))
+    return R.members_table(P.page_facts(structs(spark, sf), "members"))
 
 
-@query("p19_code_members", STRUCT + f"select page_id, member_no, name, type from ({CODE_MEMBERS_SQL})")
+@query("p19_code_members", STRUCT + f"select page_id, member_no, name, type from ({ALL_MEMBERS_SQL})")
 def p19(spark, sf):
-    d = P.page_facts(structs(spark, sf).filter("page_id % 2 = 1"), "members")
+    d = P.page_facts(structs(spark, sf), "members")
     return R.members_table(d).select("page_id", "member_no", "name", "type")
 
 
-@query("p20_member_descriptions", STRUCT + f"select page_id, name, description from ({CODE_MEMBERS_SQL})")
+@query("p20_member_descriptions", STRUCT + f"select page_id, name, description from ({ALL_MEMBERS_SQL})")
 def p20(spark, sf):
-    d = P.page_facts(structs(spark, sf).filter("page_id % 2 = 1"), "members")
+    d = P.page_facts(structs(spark, sf), "members")
     return R.members_table(d).select("page_id", "name", "description")
 
 

@@ -109,32 +109,32 @@ from symbols_v"""
 
 def function_map_sql(d: Dialect) -> str:
     return """
-select symbol as function, min(case p_type when 'SMALL' then 'fileapi' when 'MEDIUM' then 'winuser'
+select case when sym_id % 3 = 0 then symbol else concat('Unlisted', symbol) end as function, min(case p_type when 'SMALL' then 'fileapi' when 'MEDIUM' then 'winuser'
   when 'LARGE' then 'winreg' when 'PROMO' then 'winbase' when 'ECONOMY' then 'wingdi'
   else 'memoryapi' end) as header
-from symbols_v where sym_id % 3 = 0 group by symbol"""
+from symbols_v group by 1"""
 
 
 def header_map_sql(d: Dialect) -> str:
     """(ord, header, function): ordered header lists, names in mixed case."""
     return """
 select sym_id as ord, case when p_size % 2 = 0 then 'handleapi' else 'heapapi' end as header,
-       concat(symbol, 'Item') as function
-from symbols_v where sym_id % 5 = 0
+       case when sym_id % 5 = 0 then concat(symbol, 'Item') else concat('Unlisted', symbol) end as function
+from symbols_v
 union all
-select sym_id as ord, 'profileapi' as header, symbol as function
-from symbols_v where sym_id % 7 = 0"""
+select sym_id as ord, 'profileapi' as header, case when sym_id % 7 = 0 then symbol else concat('Unlisted', symbol, 'Ex') end as function
+from symbols_v"""
 
 
 def catalog_sql(d: Dialect) -> str:
     return f"""
-select sym_id as ord, symbol as name,
+select sym_id as ord, case when sym_id % 4 = 3 then concat('Unlisted', symbol) else symbol end as name,
   case when sym_id % 7 = 0 then 'structure' when sym_id % 7 = 1 then 'macro' else 'function' end as type,
   'fileapi' as header,
   concat('https://learn.example.com/', case when sym_id % 2 = 0 then 'en-us' else 'pt-br' end,
          '/c/', {d.s('sym_id')}) as url,
   case when sym_id % 2 = 0 then 'en-us' else 'pt-br' end as language, p_name as description
-from symbols_v where sym_id % 4 <> 3"""
+from symbols_v"""
 
 
 def search_results_sql(d: Dialect) -> str:
@@ -163,7 +163,8 @@ select sym_id as page_id, case sym_id % 7
   else '{site}en-us/windows/win32/api/winbase/nf-winbase-createfiletransactedw' end as url
 from symbols_v
 union all
-select rank + 1000000 as page_id, url from search_results_v where symbol like 'Get%' or symbol like 'Nt%'"""
+select rank + 1000000 as page_id, case when symbol like 'Get%' or symbol like 'Nt%' then url else concat(url, '/moved') end as url
+from search_results_v"""
 
 
 def probe_log_sql(d: Dialect) -> str:
