@@ -44,13 +44,18 @@ def share(seed: str, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the place of each row in its file (_file, _row).  What is not a plain file scan is stored first."""
+def filed(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows have a place in a file; else a stored copy, whose rows have."""
     try:
-        return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        docs.select("_metadata.row_index")
+        return docs
     except AnalysisException:
-        d = stored(docs, "rows")
-        return d.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        return stored(docs, "rows")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row in its file (_file, _row).  What is not a plain file scan is stored first."""
+    return filed(docs).withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
 
 
 def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:

@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str
         known = weights.keys()
         for batch in batches:
             logits = [bias + sum(map(weights.__getitem__, sorted(features_of(t.as_py() or "") & known))) for t in batch.column(0)]
-            s = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
+            s = np.where(np.isneginf(logits), 0.0, 1 / (1 + np.exp(-np.clip(logits, -700, 700))))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())],
                                              [*batch.schema.names[1:], "score", "predicted"])
 
