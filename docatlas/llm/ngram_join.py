@@ -7,8 +7,11 @@ hash.  Two linked sets share a token among the first  n - ceil(0.8 n) + 1  of ea
 sets that share such a token (with sizes within 0.8 of each other) are brought together:
 
 1. equal sets become one; copies are never paired;
-2. sets meet at their leading tokens by hash range; each meeting adds a star of edges, not
-   all pairs; connected sets form a candidate class that contains all their links;
+2. sets meet at their leading tokens by hash range.  With m more leading tokens, linked sets
+   share m + 1 of them: where few sets have a token, common tokens are counted by pair and
+   pairs with too few are left (a passage that documents share is not enough); where many
+   have it, they become a star of edges, not all pairs.  Connected sets form a candidate
+   class that contains all their links;
 3. a candidate class, or a block of a large one, is joined in one group with a prefix tree
    over the ordered sets: a probe walks the tree, shares the partial overlap of common
    beginnings and leaves a subtree when the remaining lengths cannot reach the required
@@ -36,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docatlas.llm.common import may_be_in, stored, without
-from docatlas.llm.components import components
-from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, pack, runs, unpack
+from docatlas.llm.common import filed, located, may_be_in, stored, without
+from docatlas.llm.components import components, stars
+from docatlas.llm.packed import Layout, ask, chunked, narrow, pack, runs, unpack, widen
 
 WORDS = 5
 NEED, OF = 80, 100
 BLOCK_SETS, BLOCK_TOKENS = 2000, 1_500_000
+PAIRED = 32  # sets with a common token that are paired; more of them form a star
+TOKEN_BITS = 40  # of a token that travel; others choose the bucket
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,6 +87,45 @@ def leading(n: int) -> int:
     return n - -(-NEED * n // OF) + 1
 
 
+def meetings(n: int) -> int:
+    """How many common tokens among its first leading(n) + meetings(n) - 1 a set of n must have with any linked set
+    (the smaller number of the two sets counts)."""
+    return 1 + n // 10
+
+
+def shared(token: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(a, b, n, need): n common tokens of the pair (a, b), of the ``need`` that a linked pair has.
+
+    The sets of a token that few sets have are paired; those of other tokens become a star
+    of pairs that need nothing more.  Sets whose sizes are too far apart are not paired."""
+    by = np.lexsort((owner, size, token))
+    token, owner, size = token[by], owner[by], size[by]
+    new = np.append(True, (token[1:] != token[:-1]) | (OF * size[:-1] < NEED * size[1:]))
+    same = np.append(False, (token[1:] == token[:-1]) & (owner[1:] == owner[:-1]))  # the same set from two runs
+    group = np.cumsum(new) - 1
+    group, owner, size = group[~same], owner[~same], size[~same]
+    first = np.append(0, np.nonzero(np.diff(group))[0] + 1)
+    count = np.diff(np.append(first, len(group)))
+    out = []
+    for k in range(2, PAIRED + 1):
+        at = first[count == k]
+        if len(at):
+            i, j = np.triu_indices(k, 1)
+            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            near = OF * size[x] >= NEED * size[y]  # sizes rise within a group
+            out.append((owner[x[near]], owner[y[near]], np.ones(near.sum(), dtype=np.int64), 1 + size[x[near]] // 10))
+    for f, k in zip(first[count > PAIRED].tolist(), count[count > PAIRED].tolist()):
+        out.append((np.full(k - 1, owner[f]), owner[f + 1:f + k], np.full(k - 1, 1 << 40), np.zeros(k - 1, dtype=np.int64)))
+    if not out:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    a, b, n, need = map(np.concatenate, zip(*out))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    by = np.lexsort((b, a))
+    a, b, n, need = a[by], b[by], n[by], need[by]
+    at = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
+    return a[at], b[at], np.add.reduceat(n, at), np.minimum.reduceat(need, at)
+
+
 def ordered(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return s[np.argsort(slots[(s & np.uint64(len(slots) - 1)).astype(np.int64)], kind="stable")]
 
@@ -90,38 +134,60 @@ def ordered(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("children", "sets", "low", "high")
+    __slots__ = ("children", "sets", "low", "high", "parent")
+
+    def __init__(self, parent=None):
+        self.children, self.sets, self.low, self.high, self.parent = {}, [], 1 << 60, 0, parent
 
-    def __init__(self):
-        self.children, self.sets, self.low, self.high = {}, [], 1 << 60, 0
+    def rest(self, i: int, n: int) -> None:
+        self.sets.append(i)
+        self.low, self.high = min(self.low, n), max(self.high, n)
 
 
 class PrefixTree:
     """Ordered sets in a trie; a set rests at the first node that it has alone (or at its end)."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.root = sets, Node()
+        self.sets, self.root, self.leaf = sets, Node(), {}
+        self.first: dict[int, list[int]] = {}  # leading token -> sets
 
     def insert(self, i: int) -> None:
         own, node, depth = self.sets[i], self.root, 0
         n = len(own)
+        for token in own[:leading(n)].tolist():
+            self.first.setdefault(token, []).append(i)
         while True:
-            node.low, node.high = min(node.low, n), max(node.high, n)
             if depth == n or not node.children and not node.sets and node is not self.root:
-                node.sets.append(i)
+                node.rest(i, n)
+                self.leaf[i] = node
                 return
+            node.low, node.high = min(node.low, n), max(node.high, n)
             for j in [j for j in node.sets if len(self.sets[j]) > depth]:  # the set that was alone here moves down
                 node.sets.remove(j)
-                child = node.children.setdefault(int(self.sets[j][depth]), Node())
-                child.sets.append(j)
-                child.low, child.high = min(child.low, len(self.sets[j])), max(child.high, len(self.sets[j]))
-            node = node.children.setdefault(int(own[depth]), Node())
+                child = node.children.setdefault(int(self.sets[j][depth]), Node(node))
+                child.rest(j, len(self.sets[j]))
+                self.leaf[j] = child
+            node = node.children.setdefault(int(own[depth]), Node(node))
             depth += 1
 
-    def probe(self, x: np.ndarray, place: dict[int, int], skip) -> Iterator[int]:
-        """Sets that link with x; ``place`` has the position of each token of x; ``skip(i)`` says that i need not be compared."""
+    def probe(self, x: np.ndarray, skip) -> Iterator[int]:
+        """Sets that link with x, of those that meet one of its leading tokens; ``skip(i)`` says that i need not be compared."""
         n = len(x)
-        flags = None
+        tokens = x.tolist()
+        wanted = {i for t in tokens[:leading(n)] for i in self.first.get(t, ()) if not skip(i)}
+        if not wanted:
+            return
+        below: dict[Node, list[Node]] = {}  # the part of the tree that leads to wanted sets
+        for i in wanted:
+            node = self.leaf[i]
+            seen = node in below
+            below.setdefault(node, [])
+            while not seen and node.parent is not None:
+                seen = node.parent in below
+                below.setdefault(node.parent, []).append(node)
+                node = node.parent
+        place = dict(zip(tokens, range(n)))
+        flags = np.sort(x)
         stack = [(self.root, 0, 0, 0)]  # node, depth, overlap, tokens of x that are left behind
         while stack:
             node, depth, overlap, used = stack.pop()
@@ -132,25 +198,29 @@ class PrefixTree:
                 continue
             for i in node.sets:
                 y = self.sets[i]
-                if skip(i) or OF * min(n, len(y)) < NEED * max(n, len(y)):
+                if i not in wanted or skip(i) or OF * min(n, len(y)) < NEED * max(n, len(y)):
                     continue
                 if overlap + min(n - used, len(y) - depth) < -(-NEED * (n + len(y)) // (OF + NEED)):
                     continue
-                if flags is None:
-                    flags = np.sort(x)
                 rest = y[depth:]
                 at = np.minimum(np.searchsorted(flags, rest), n - 1)
                 both = overlap + int((flags[at] == rest).sum())
                 if OF * both >= NEED * (n + len(y) - both):
                     yield i
-            for token, child in node.children.items():
-                p = place.get(token)
+            for child in below[node]:
+                p = place.get(int(self.sets[(child.sets or [self._any(child)])[0]][depth]))
                 # order is global: what x has before this token cannot follow in the subtree
                 stack.append((child, depth + 1, overlap, used) if p is None else (child, depth + 1, overlap + 1, p + 1))
 
+    @staticmethod
+    def _any(node: Node) -> int:
+        while not node.sets:
+            node = next(iter(node.children.values()))
+        return node.sets[0]
+
 
 def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None = None, left: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Star edges that connect what links connect: among all sets, or between ``left`` sets and all others of other labels."""
+    """Stars around the smallest ids that connect what links connect: among all sets, or between ``left`` sets and all others of other labels."""
     up = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -171,9 +241,8 @@ def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None
         order = [i for i in order if left[i]]
     out = []
     for i in order:
-        place = {int(t): k for k, t in enumerate(sets[i].tolist())}
         mine = find(i)
-        for j in tree.probe(sets[i], place, lambda j: find(j) == mine):
+        for j in tree.probe(sets[i], lambda j: find(j) == mine):
             a, b = find(i), find(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
@@ -181,7 +250,9 @@ def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None
                 out.append((ids[i], ids[j]))
         if left is None:
             tree.insert(i)
-    return out
+    if not out:
+        return []
+    return list(zip(*(x.tolist() for x in stars(*np.array(out, dtype=np.int64).T))))
 
 
 # ------------------------------------------------------------------ the join
@@ -242,40 +313,43 @@ class Join:
 
     def candidates(self, order) -> DataFrame:
         """vertex (set_id), root: classes of sets that meet at a leading token."""
-        buckets = self.layout.buckets
+        buckets = max(16, self.layout.buckets // 4)  # few entries per document: fewer, larger messages
 
         def keys(_, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
             slots = order.value
-            tokens, owners, sizes, seen = [], [], [], set()
+            distinct: dict[int, np.ndarray] = {}
             for s in shingle_sets(bodies):
-                i = set_id(s)
-                if len(s) and i not in seen:
-                    seen.add(i)
-                    lead = ordered(s, slots)[:leading(len(s))]
-                    tokens.append(lead)
-                    owners.append(np.full(len(lead), i, dtype=np.int64))
-                    sizes.append(np.full(len(lead), len(s), dtype=np.int32))
-            if not tokens:
+                if len(s):
+                    distinct.setdefault(set_id(s), s)
+            if not distinct:
                 return
-            token, owner, size = map(np.concatenate, (tokens, owners, sizes))
-            bucket = (token >> np.uint64(40)).astype(np.int64) % buckets
-            by = np.lexsort((token, bucket))
-            token, owner, size, bucket = token[by], owner[by], size[by], bucket[by]
+            ids, sizes = np.array(list(distinct), dtype=np.int64), np.array(list(map(len, distinct.values())), dtype=np.int64)
+            leads = [ordered(s, slots)[:leading(len(s)) + meetings(len(s)) - 1] for s in distinct.values()]
+            token, owner = np.concatenate(leads), np.repeat(np.arange(len(ids)), list(map(len, leads)))
+            bucket = (token >> np.uint64(TOKEN_BITS)).astype(np.int64) % buckets
+            by = np.argsort(bucket, kind="stable")
+            token, owner, bucket = token[by], owner[by], bucket[by]
             ends = np.append(np.nonzero(np.diff(bucket))[0] + 1, len(bucket))
             for a, b in zip(np.append(0, ends[:-1]), ends):
-                yield int(bucket[a]), pack(token[a:b].tobytes(), owner[a:b].tobytes(), size[a:b].tobytes())
+                mine = np.unique(owner[a:b])
+                short = token[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BITS // 8]
+                yield int(bucket[a]), pack(short.tobytes(), narrow(np.searchsorted(mine, owner[a:b])), ids[mine].tobytes(), narrow(sizes[mine]))
 
         def meet(table: pa.Table) -> pa.Table:
-            parts = [unpack(p.as_py()) for p in table["payload"]]
-            token, owner, size = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in enumerate((np.uint64, np.int64, np.int32)))
-            by = np.lexsort((owner, size, token))
-            token, owner, size = token[by], owner[by], size[by].astype(np.int64)
-            new = np.append(True, (token[1:] != token[:-1]) | (OF * size[:-1] < NEED * size[1:]))  # sizes too far apart start anew
-            center = owner[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            pairs = np.unique(np.stack([center, owner], axis=1)[center != owner], axis=0)
-            return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-        return components(ask(self.docs, keys).groupBy("bucket").applyInArrow(meet, LINK))
+            token, owner, size = [], [], []
+            for p in table["payload"]:
+                short, at, ids, sizes = unpack(p.as_py())
+                wide = np.zeros((len(short) * 8 // TOKEN_BITS, 8), dtype=np.uint8)
+                wide[:, :TOKEN_BITS // 8] = np.frombuffer(short, dtype=np.uint8).reshape(-1, TOKEN_BITS // 8)
+                at = widen(at)
+                token.append(wide.view("<u8").reshape(-1))
+                owner.append(np.frombuffer(ids, dtype=np.int64)[at])
+                size.append(widen(sizes)[at])
+            a, b, n, need = shared(*map(np.concatenate, (token, owner, size)))
+            return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "need": pa.array(need)})
+
+        pairs = ask(self.docs, keys).groupBy("bucket").applyInArrow(meet, "a long, b long, n long, need long")
+        return components(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
 
     def sets(self, order, live: DataFrame) -> DataFrame:
         """set_id, n, tokens in global order of the live sets, once each."""
@@ -294,7 +368,7 @@ class Join:
         return first.join(live, "set_id")
 
     def components(self) -> DataFrame:
-        """set_id, root for every set that has a link."""
+        """set_id, root for every set that has a link (a root itself may be left out)."""
         rank = self.order()
         order = self.docs.sparkSession.sparkContext.broadcast(rank)
         classes = self.candidates(order).select(F.col("vertex").alias("set_id"), F.col("root").alias("class"))
@@ -308,10 +382,9 @@ class Join:
             links = link_groups(table["set_id"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()])
             return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-        links = sets.select("set_id", "tokens", "class", "block").groupBy("class", "block").applyInArrow(inside, LINK)
-        if not live.where("blocks > 1").take(1):
-            return components(links).select(F.col("vertex").alias("set_id"), "root")
-        links = stored(links, "links")
+        links = stored(sets.select("set_id", "tokens", "class", "block").groupBy("class", "block").applyInArrow(inside, LINK), "links")
+        if not live.where("blocks > 1").take(1):  # every class was joined as a whole: its stars are the components
+            return links.select(F.col("a").alias("set_id"), F.col("b").alias("root"))
         return components(links.unionByName(self._across(sets, links))).select(F.col("vertex").alias("set_id"), "root")
 
     @staticmethod
@@ -349,8 +422,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component."""
-    from docatlas.llm.common import located
-
+    docs = filed(docs)
     join = Join(docs)
     d = stored(join.labelled().where("root is not null"), "labelled")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "chunk", "row")
