@@ -2,10 +2,10 @@
 
 Fixed masks ignore some positions of a token window, so that a substituted word does not
 hide an overlap.  Masked windows of the benchmark and of the documents are hashed and
-joined; around every hit the two token sequences are compared position by position on the
-hit's diagonal.  A document row is contaminated by an item if some window of
-``window`` tokens (the whole item if it is shorter) that holds the hit agrees in at least
-``share`` of its positions.  DataFrame operations only.
+joined; the two token sequences are then compared position by position on the diagonals
+that have hits.  A document row is contaminated by an item if on such a diagonal some
+window of ``window`` tokens (the whole item if it is shorter) agrees in at least ``share``
+of its positions.  DataFrame operations only.
 
 * Tokens are maximal runs of letters and digits, lower-cased.
 * Items with fewer tokens than the shortest mask are looked up as a whole; items and
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docatlas.llm.common import located, may_be_in, without
+from docatlas.llm.common import located, may_be_in, stored, without
 
 #: Fixed masks; 1 = position is compared.
 MASKS = ("11101011", "110110011", "1011010101")
@@ -35,50 +35,56 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def masked(h: str, at: str, mask: str) -> Column:
+def masked(h: str, at: Column, number: int, mask: str) -> Column:
     """Hash of the compared positions of the window that starts at ``at``; positions behind the end are skipped."""
-    return F.xxhash64(F.lit(mask), *[F.get(F.col(h), F.col(at) + k) for k, bit in enumerate(mask) if bit == "1"])
+    return F.xxhash64(F.lit(number), *[F.get(F.col(h), at + k) for k, bit in enumerate(mask) if bit == "1"])
 
 
-def starts(h: str, shortest: int) -> Column:
-    last = F.size(h) - shortest
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def window_keys(h: str, masks: list[str]) -> Column:
+    """All masked hashes: position p and mask m stand at p * len(masks) + m."""
+    last = F.size(h) - min(map(len, masks))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda p: F.array(*[masked(h, p, k, m) for k, m in enumerate(masks)])))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(_file, _row, doc_id, item_id, matched, compared): the best overlap of each contaminated row with each item.
+    """(_place, _row, doc_id, item_id, matched, compared): the best overlap of each contaminated row with each item.
 
-    ``docs`` has _file, _row, doc_id, text."""
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("g")).where(F.size("g") > 0)
+    ``docs`` has _file, _row, doc_id, text; _place stands for the file."""
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("g")).where(F.size("g") > 0).withColumn("item", F.xxhash64("g"))
     least = min(map(len, MASKS))
     short = sorted(r[0] for r in items.where(F.size("g") < least).select(F.size("g")).distinct().collect())  # at most least - 1 numbers
     masks = [*MASKS, *("1" * n for n in short)]
-    whole = {m for m in masks if m not in MASKS}
-    seeds = items.select("item_id", "g", F.explode(starts("g", min(map(len, masks)))).alias("q"))
-    fits = [F.when((F.col("q") + len(m) <= F.size("g")) & ((F.size("g") == len(m)) if m in whole else F.lit(True)),
-                   F.struct(masked("g", "q", m).alias("key"), F.lit(len(m)).alias("span"))) for m in masks]
-    seeds = seeds.select("item_id", "g", "q", F.explode(F.array_compact(F.array(*fits))).alias("s")).select("item_id", "g", "q", "s.key", "s.span")
-
-    d = docs.select("_file", "_row", "doc_id", token_hashes(F.col("text")).alias("h"))
-    d = d.select("*", F.explode(starts("h", min(map(len, masks)))).alias("p"))
-    d = d.select("*", F.explode(F.array(*[masked("h", "p", m) for m in masks])).alias("key"))
+    m = F.lit(len(masks))
+    # outer explodes: plain ones would have their arrays computed twice, once to filter by size
+    seeds = items.dropDuplicates(["item"]).select("item", F.size("g").alias("n"), F.posexplode_outer(window_keys("g", masks)).alias("i", "key"))
+    span = F.element_at(F.array(*[F.lit(len(x)) for x in masks]), (F.col("i") % m) + 1)
+    fits = (F.floor(F.col("i") / m) + span <= F.col("n")) & ((F.col("i") % m < len(MASKS)) | (span == F.col("n")))
+    seeds = seeds.where(F.col("key").isNotNull() & fits).select("item", "key", F.floor(F.col("i") / m).cast("int").alias("q"))
+
+    place = docs.select(F.xxhash64("_file").alias("_place"), "_row", "doc_id", "text")
+    d = place.select("_place", "_row", token_hashes(F.col("text")).alias("h"))
+    d = d.select("_place", "_row", F.posexplode_outer(window_keys("h", masks)).alias("i", "key"))
     if seeds.count() <= broadcast_rows:
         hits = d.join(F.broadcast(seeds), "key")
     else:
         near = may_be_in(d, seeds, ["key"]).where("_near").drop("_near")
         hits = near.join(seeds, "key")
+    # all hits of one diagonal are one comparison
+    lines = stored(hits.select("_place", "_row", "item", (F.floor(F.col("i") / m).cast("int") - F.col("q")).alias("shift")).distinct(), "seed-hits")
+    near = may_be_in(place, lines, ["_place", "_row"]).where("_near").select("_place", "_row", "doc_id", token_hashes(F.col("text")).alias("h"))
+    pairs = lines.join(near, ["_place", "_row"]).join(items, "item")
 
     size = F.least(F.lit(window), F.size("g"))
-    shift = F.col("p") - F.col("q")
-    first, last = F.greatest(F.lit(0), F.col("q") + F.col("span") - size), F.least(F.col("q"), F.size("g") - size)
 
     def agree(s: Column) -> Column:
-        return F.size(F.filter(F.sequence(s, s + size - 1), lambda i: F.coalesce(F.get("g", i) == F.when(i + shift >= 0, F.get("h", i + shift)), F.lit(False))))
+        same = lambda i: F.coalesce(F.get("g", i) == F.when(i + F.col("shift") >= 0, F.get("h", i + F.col("shift"))), F.lit(False))
+        return F.size(F.filter(F.sequence(s, s + size - 1), same))
 
-    best = F.array_max(F.transform(F.sequence(first, last), agree))
-    found = hits.select("_file", "_row", "doc_id", "item_id", best.alias("matched"), size.alias("compared"))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("g") - size), agree))
+    found = pairs.select("_place", "_row", "doc_id", "item_id", best.alias("matched"), size.alias("compared"))
     found = found.where(F.col("matched") >= F.ceil(F.col("compared") * F.lit(share)))
-    return found.groupBy("_file", "_row", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
+    return found.groupBy("_place", "_row", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -89,5 +95,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, all columns kept."""
     d = located(docs)
-    gone = overlaps(d, benchmark, **options).select("_file", "_row").distinct()
-    return without(d, gone, ["_file", "_row"]).select(*docs.columns)
+    gone = stored(overlaps(d, benchmark, **options).select("_place", "_row").distinct(), "contaminated")
+    return without(d.withColumn("_place", F.xxhash64("_file")), gone, ["_place", "_row"]).select(*docs.columns)
