@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from docatlas.llm.common import BITS, located, may_be_in, shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: While the stream starts: state on disk; no pre-allocated files, since a store is small wherever there are many of them.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha(text: Column) -> Column:
@@ -39,17 +40,16 @@ def remember(stream: DataFrame, checkpoint: str) -> None:
 
     Calling it again with the same checkpoint adds only files that are new."""
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state = stream.groupBy("_digest").agg(F.max(F.struct("doc_id", "_file", "_row")).alias("keep"), F.count("*").alias("n"))
         (state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def recall(spark: SparkSession, checkpoint: str) -> DataFrame:
