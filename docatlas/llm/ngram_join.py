@@ -45,7 +45,7 @@ from docatlas.llm.packed import Layout, ask, chunked, narrow, pack, runs, unpack
 
 WORDS = 5
 NEED, OF = 80, 100
-BLOCK_SETS, BLOCK_TOKENS = 2000, 1_500_000
+BLOCK_SETS, BLOCK_TOKENS = 1000, 1_000_000
 PAIRED = 32  # sets with a common token that are paired; more of them form a star
 TOKEN_BITS = 40  # of a token that travel; others choose the bucket
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -148,13 +148,19 @@ class PrefixTree:
     """Ordered sets in a trie; a set rests at the first node that it has alone (or at its end)."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.root, self.leaf = sets, Node(), {}
+        self.root, self.leaf = Node(), {}
         self.first: dict[int, list[int]] = {}  # leading token -> sets
+        # tokens by small numbers, in one array
+        self.size = np.array(list(map(len, sets)), dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flags = np.zeros(len(names), dtype=bool)
+        self.sets = np.split(self.flat, self.start[1:])
 
     def insert(self, i: int) -> None:
         own, node, depth = self.sets[i], self.root, 0
         n = len(own)
-        for token in own[:leading(n)].tolist():
+        for token in own[:leading(n)].tolist():  # leading tokens of both sets meet if the sets link
             self.first.setdefault(token, []).append(i)
         while True:
             if depth == n or not node.children and not node.sets and node is not self.root:
@@ -170,13 +176,15 @@ class PrefixTree:
             node = node.children.setdefault(int(own[depth]), Node(node))
             depth += 1
 
-    def probe(self, x: np.ndarray, skip) -> Iterator[int]:
-        """Sets that link with x, of those that meet one of its leading tokens; ``skip(i)`` says that i need not be compared."""
-        n = len(x)
-        tokens = x.tolist()
-        wanted = {i for t in tokens[:leading(n)] for i in self.first.get(t, ()) if not skip(i)}
+    def probe(self, x: int, skip) -> list[int]:
+        """Sets that link with set x, of those that meet one of its leading tokens; ``skip(i)`` says that i need not be compared.
+
+        The walk gives the sets that lengths and partial overlaps cannot rule out; these are compared together."""
+        n = int(self.size[x])
+        tokens = self.sets[x].tolist()
+        wanted = {i for i in set().union(*(self.first.get(t, ()) for t in tokens[:leading(n)])) if not skip(i)}
         if not wanted:
-            return
+            return []
         below: dict[Node, list[Node]] = {}  # the part of the tree that leads to wanted sets
         for i in wanted:
             node = self.leaf[i]
@@ -187,7 +195,7 @@ class PrefixTree:
                 below.setdefault(node.parent, []).append(node)
                 node = node.parent
         place = dict(zip(tokens, range(n)))
-        flags = np.sort(x)
+        left = []
         stack = [(self.root, 0, 0, 0)]  # node, depth, overlap, tokens of x that are left behind
         while stack:
             node, depth, overlap, used = stack.pop()
@@ -197,20 +205,22 @@ class PrefixTree:
             if overlap + min(n - used, node.high - depth) < need:
                 continue
             for i in node.sets:
-                y = self.sets[i]
-                if i not in wanted or skip(i) or OF * min(n, len(y)) < NEED * max(n, len(y)):
-                    continue
-                if overlap + min(n - used, len(y) - depth) < -(-NEED * (n + len(y)) // (OF + NEED)):
-                    continue
-                rest = y[depth:]
-                at = np.minimum(np.searchsorted(flags, rest), n - 1)
-                both = overlap + int((flags[at] == rest).sum())
-                if OF * both >= NEED * (n + len(y) - both):
-                    yield i
+                m = int(self.size[i])
+                if i in wanted and OF * min(n, m) >= NEED * max(n, m) and overlap + min(n - used, m - depth) >= -(-NEED * (n + m) // (OF + NEED)):
+                    left.append(i)
             for child in below[node]:
                 p = place.get(int(self.sets[(child.sets or [self._any(child)])[0]][depth]))
                 # order is global: what x has before this token cannot follow in the subtree
                 stack.append((child, depth + 1, overlap, used) if p is None else (child, depth + 1, overlap + 1, p + 1))
+        if not left:
+            return []
+        at = np.array(left)
+        size = self.size[at]
+        before = np.cumsum(size) - size
+        self.flags[self.sets[x]] = True
+        both = np.add.reduceat(self.flags[self.flat[np.repeat(self.start[at] - before, size) + np.arange(size.sum())]].astype(np.int64), before)
+        self.flags[self.sets[x]] = False
+        return at[OF * both >= NEED * (n + size - both)].tolist()
 
     @staticmethod
     def _any(node: Node) -> int:
@@ -242,7 +252,7 @@ def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None
     out = []
     for i in order:
         mine = find(i)
-        for j in tree.probe(sets[i], lambda j: find(j) == mine):
+        for j in tree.probe(i, lambda j: find(j) == mine):
             a, b = find(i), find(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
