@@ -38,6 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH = 256
 SHARD_BYTES = 16 << 20
 ROUNDS = 6
+BROADCAST_RUNS = 100_000
 
 _PLAIN = re.compile(r" [^\s]+")
 _CODECS: dict[str, tuple] = {}
@@ -112,7 +113,7 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
             counts = np.array([len(b) // 2 for b in bodies], dtype=np.int64)
             ids = part.column(2)
             valid = np.array(ids.is_valid().to_pylist(), dtype=np.bool_)
-            payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), valid.tobytes(), counts.tobytes(), b"".join(bodies))
+            payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), valid.tobytes(), counts.tobytes(), b"".join(bodies), level=9)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lo], pa.int64()), pa.array([int((-(-counts // length)).sum())], pa.int64()),
                                               pa.array([payload], pa.binary())], ["chunk", "lo", "n", "payload"])
 
@@ -130,7 +131,9 @@ def numbered(runs_: DataFrame) -> tuple[DataFrame, int]:
     before = W.partitionBy("part").orderBy("chunk", "lo").rowsBetween(W.unboundedPreceding, -1)
     inside = d.select("part", "chunk", "lo", "n").withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
     starts = inside.join(F.broadcast(d.sparkSession.createDataFrame(firsts, "part int, base long")), "part").select("chunk", "lo", (F.col("base") + F.col("inside")).alias("first"))
-    return runs_.join(starts, ["chunk", "lo"]), at
+    # a small list of runs is sent to the payloads; beyond that both are shuffled
+    few = runs_.select("chunk").count() <= BROADCAST_RUNS
+    return runs_.join(F.broadcast(starts) if few else starts, ["chunk", "lo"]), at
 
 
 def target(folder: str) -> tuple[fs.FileSystem, str]:
@@ -170,7 +173,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, key: int = 20_240_6
                 shard = slot // per_shard
                 order = np.argsort(shard, kind="stable")
                 cuts = np.append(np.nonzero(np.diff(shard[order]))[0] + 1, n)
-                out = [(int(shard[order[a]]), pack(meta[order[a:b]].tobytes(), rows[order[a:b]].tobytes())) for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+                out = [(int(shard[order[a]]), pack(meta[order[a:b]].tobytes(), rows[order[a:b]].tobytes(), level=9)) for a, b in zip(np.append(0, cuts[:-1]), cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["shard", "payload"])
 
     def write(table: pa.Table) -> pa.Table:
