@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import vocabulary_file
-from docatlas.llm.packed import Layout, answer, ask, chunked, documents, finish, pack, unpack
+from docatlas.llm.packed import Layout, answer, ask, chunked, documents, finish, narrow, pack, unpack, widen
 
 VOCABULARY = "byte_bpe_50k.json"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -102,12 +102,12 @@ def by_bucket(words: Iterator[str], buckets: int) -> dict[int, list[str]]:
 
 def pack_words(words: list[str]) -> bytes:
     coded = [w.encode() for w in words]
-    return pack(np.array(list(map(len, coded)), dtype=np.uint32).tobytes(), b"".join(coded))
+    return pack(narrow(np.array(list(map(len, coded)), dtype=np.int64)), b"".join(coded))
 
 
 def unpack_words(data: bytes) -> list[str]:
     sizes, blob = unpack(data)
-    ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64).tolist()
+    ends = np.cumsum(widen(sizes)).tolist()
     return [blob[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
@@ -136,7 +136,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         out = []
         for at in asked:
             got = table.take(pa.array(at))
-            out.append(pack(lengths[at].astype(np.uint32).tobytes(), got.flatten().to_numpy().astype(np.int32).tobytes()))
+            out.append(pack(narrow(lengths[at]), narrow(got.flatten().to_numpy()), level=9))
         return out
 
     piece_of = d.sparkSession.sparkContext.broadcast(pieces(path))  # bounded: the fixed vocabulary
@@ -148,8 +148,10 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         lookup = piece_of.value
         for b, words in by_bucket(set().union(*split), buckets).items():
             sizes, flat = unpack(got[b])
-            ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64).tolist()
-            joined = list(map(lookup.__getitem__, np.frombuffer(flat, dtype=np.int32).tolist()))
+            ends = np.cumsum(widen(sizes)).tolist()
+            own = widen(flat)
+            joined = list(map(lookup.__getitem__, own.tolist()))
+            flat = own.astype(np.int32).tobytes()
             for w, lo, hi in zip(words, [0, *ends], ends):
                 coded[w] = flat[4 * lo:4 * hi]
                 plain[w] = b"".join(joined[lo:hi])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import stored
-from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, documents, finish, pack, runs, unpack
+from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, documents, finish, narrow, pack, runs, unpack, widen
 
 FOLDS = 10
 END = b""  # words are never empty
@@ -48,11 +48,11 @@ def fold(doc_id) -> int:
 
 
 def pack_words(words: list[bytes]) -> list[bytes]:
-    return [np.array(list(map(len, words)), dtype=np.uint32).tobytes(), b"".join(words)]
+    return [narrow(np.array(list(map(len, words)), dtype=np.int64)), b"".join(words)]
 
 
 def read_words(sizes: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64).tolist()
+    ends = np.cumsum(widen(sizes)).tolist()
     return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -224,7 +224,7 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 2e-5, test: float = 50
         for i, text in zip(ids, bodies):
             (learned if fold(i) > 0 else distinct).update(tokens(text))
         for b, words in by_bucket(distinct | learned.keys(), buckets).items():
-            yield b, pack(*pack_words(words), np.fromiter(map(learned.__getitem__, words), dtype=np.int64, count=len(words)).tobytes())
+            yield b, pack(*pack_words(words), narrow(np.fromiter(map(learned.__getitem__, words), dtype=np.int64, count=len(words))))
 
     def merge(table: pa.Table) -> pa.Table:
         """Answers (the training count of each word asked for) and one summary row: n, v, tokens seen once, words that may be frequent."""
@@ -236,12 +236,12 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 2e-5, test: float = 50
             places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
         total = np.zeros(len(number), dtype=np.int64)
         for at, (_, _, counts) in zip(places, asked):
-            total[at] += np.frombuffer(counts, dtype=np.int64)
+            total[at] += widen(counts)
         n = int(total.sum())
         often = total >= max(1.0, p_min * n)
         words = [w for w, x in zip(number, often.tolist()) if x]
         summary = pack(*pack_words(words), total[often].tobytes(), np.array([(total == 1).sum()], dtype=np.int64).tobytes())
-        out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(total[at].tobytes()) for at in places], pa.binary()))
+        out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(narrow(total[at])) for at in places], pa.binary()))
         own = pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "lo": [n], "hi": [int((total > 0).sum())], "payload": [summary]}, schema=out.schema)
         return pa.concat_tables([out, own])
 
@@ -273,7 +273,7 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 2e-5, test: float = 50
         counts = []
         for b, words in by_bucket(set().union(*split), buckets).items():
             place.update(zip(words, range(len(place), len(place) + len(words))))
-            counts.append(np.frombuffer(unpack(got[b])[0], dtype=np.int64))
+            counts.append(widen(unpack(got[b])[0]))
         count = np.concatenate(counts)
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         starts = np.cumsum(sizes) - sizes
