@@ -22,10 +22,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    ``tidy``: shuffle files of this write go at its end, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, old = shared_folder(df.sparkSession, name), conf.get(key, None)
+    if tidy:
+        conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.unset(key) if old is None else conf.set(key, old)
     return df.sparkSession.read.parquet(path)
 
 

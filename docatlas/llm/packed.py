@@ -121,8 +121,9 @@ def documents(d: DataFrame) -> DataFrame:
     return d.mapInArrow(run, MESSAGE)
 
 
-def finish(docs: DataFrame, answers: DataFrame, work: Callable[[list, list[str], dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``work(doc_ids, texts, answers by bucket)`` for every run that asked.
+def finish(docs: DataFrame, answers: DataFrame, work: Callable[..., pa.Table], schema: str, placed: bool = False) -> DataFrame:
+    """``work(doc_ids, texts, answers by bucket)`` for every run that asked; ``placed``: its (chunk, first, last row) also,
+    so that it can ask again.
 
     The documents of a chunk may have been split into runs differently than when they
     asked: rows are regrouped by the (first, last) row of the answers; runs without any
@@ -143,9 +144,9 @@ def finish(docs: DataFrame, answers: DataFrame, work: Callable[[list, list[str],
         for (lo, hi), got in sorted(asked.items()):
             at = [place[r] for r in range(lo, hi + 1) if r in place]
             seen.update(at)
-            out.append(work([ids[i] for i in at], [bodies[i] for i in at], got))
+            out.append(work([ids[i] for i in at], [bodies[i] for i in at], got, *([(table["chunk"][0].as_py(), lo, hi)] if placed else [])))
         rest = [i for i in range(len(ids)) if i not in seen]
-        if rest:
+        if rest and not placed:
             out.append(work([ids[i] for i in rest], [bodies[i] for i in rest], {}))
         return pa.concat_tables(out)
 

@@ -3,17 +3,18 @@
 Tokens are ASCII-lower-cased words, then one end.  The lexicon (every distinct training
 token with its count) is gathered by hash range and gives the root distribution; a token
 that was not seen in training is one event, whose mass is that of the tokens seen once.
-Variable-length contexts of up to ``depth`` tokens are counted level by level below the
-frequent contexts of the level before.  A context stays in the tree if it is frequent and
-its next-symbol distribution diverges from that of its own longest suffix
-(count-weighted Kullback-Leibler test); its suffixes stay with it.  Distributions are
-smoothed along the suffixes, and every token is scored in the state of the longest suffix
-of its history that is in the tree.
-
-* The tree is bounded: contexts and their stored symbols make up at least a share
-  ``p_min`` of all tokens, so each level has at most ``1 / p_min`` of either.  It is sent
-  to all tasks.  The lexicon grows with the corpus and is never sent anywhere whole:
-  documents ask for their words by chunk.
+Pairs of symbols are counted in the same exchange, longer n-grams in the next.  A context of
+up to ``depth`` symbols that occurs at least ``few`` times is a state of the tree if its
+next-symbol distribution diverges from that of its own longest suffix (count-weighted
+Kullback-Leibler test).  Every token is scored in the longest state that is a suffix of
+its history; the distribution of a state is smoothed along all suffixes of its context.
+
+* Nothing of the model is sent anywhere whole: lexicon, counts and states lie in hash
+  ranges, grow with the corpus, and documents ask for their own by chunk.  The divergence
+  of a context is a sum over its occurrences, so chunks send their parts of it.
+* Every pair of a state and a symbol counts, also one seen once.  ``p_min``, a least share
+  of all tokens for contexts, is 0 unless it is given.
+* N-grams are compared by 64-bit hashes, words by their bytes.
 * Null and empty texts consist of the end token.  A null doc_id is neither learned from
   nor held out.  No training row: N = V = 0, base_score is log10(0.1 / 0.1) = 0 per token
   and the unseen event has all mass (score 0).
@@ -22,9 +23,9 @@ of its history that is in the tree.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import stored
-from docatlas.llm.packed import MESSAGE, Layout, ask, chunked, documents, finish, narrow, pack, runs, unpack, widen
+from docatlas.llm.packed import MESSAGE, Layout, answer, ask, chunked, documents, finish, messages, narrow, pack, unpack, widen
 
 FOLDS = 10
 END = b""  # words are never empty
@@ -67,221 +68,307 @@ def by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
 
 # ------------------------------------------------------------------ the tree
 
+#: A divergence is summed as whole numbers of 1 / UNIT, so that its sum does not depend on the order.
+UNIT = 1024
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two 64-bit hashes (finalizer of splitmix64)."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each value among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.empty(len(x), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], at
+
+
+def pack_hashes(x: np.ndarray) -> bytes:
+    """Sorted hashes as differences, bytes of equal weight together."""
+    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def read_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def ranges(x: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted hashes (by their first bits; ``buckets`` is a power of two) that are not empty."""
+    own = (x >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+    ends = np.searchsorted(own, np.arange(buckets + 1)).tolist()
+    return ((b, slice(i, j)) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i)
+
 
 class Histories:
-    """Codes of the last d tokens at every position of some documents, over the frequent words.
-
-    Symbol numbers: 1.. the frequent words (the end among them), base - 1 the start of a
-    text; 0 is any other token.  A code is -1 where a token of the history is other or
-    lies before the start."""
-
-    def __init__(self, docs: list[list[bytes]], number: dict[bytes, int]):
-        self.base = len(number) + 2
-        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-        flat = np.fromiter((number.get(w, 0) for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        self.symbols = flat
-        # one start mark in front of every text
-        padded = np.insert(flat, starts, self.base - 1)
-        self.at = np.arange(len(flat)) + np.repeat(np.arange(1, len(docs) + 1), sizes)
-        self.padded = padded
-        self.room = self.at - np.repeat(starts + np.arange(len(docs)), sizes)  # symbols before a position, the start mark included
-
-    def codes(self, d: int) -> np.ndarray:
-        """Mixed-radix code of the d symbols before each position, newest last digit first."""
-        out, bad = np.zeros(len(self.at), dtype=np.int64), self.room < d
-        for k in range(d, 0, -1):
-            s = self.padded[np.maximum(self.at - k, 0)]
-            bad |= s == 0
-            out = out * self.base + s
-        return np.where(bad, -1, out)
+    """Hashed histories of the tokens of some documents: per depth d the d symbols before a
+    token (``contexts``), these and the token (``grams``), and whether there are so many
+    (``whole``).  A start mark stands before every text."""
 
+    def __init__(self, docs: list[list[bytes]], depth: int):
+        self.sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        number: dict[bytes, int] = {}
+        self.symbols = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), dtype=np.int64, count=int(self.sizes.sum()))
+        self.words = list(number)
+        hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self.words), dtype=np.uint64)
+        padded = np.insert(hashes[self.symbols], self.starts, np.uint64(1))
+        at = np.arange(len(self.symbols)) + np.repeat(np.arange(1, len(docs) + 1), self.sizes)
+        room = at - np.repeat(self.starts + np.arange(len(docs)), self.sizes)  # symbols before a token, the start mark included
+        self.contexts, self.grams, self.whole, run = [], [], [], padded
+        for d in range(1, depth + 1):
+            self.contexts.append(run[at - 1])
+            run = mix(np.concatenate([run[:1], run[:-1]]), padded)
+            self.grams.append(run[at])
+            self.whole.append(room >= d)
+
+    def context_sizes(self, count: np.ndarray, ends: int, grams: list[np.ndarray]) -> list[np.ndarray]:
+        """How often each context occurs: as often as it does as a gram, since only an end has no next symbol."""
+        before = [np.concatenate([[0], x[:-1]]) for x in (count, *grams[:-1])]
+        before[0][self.starts] = ends  # start marks
+        return [np.where(ok, x, 0) for ok, x in zip(self.whole, before)]
 
-class Tree:
-    """Per depth: sorted context codes with back-off weights, and sorted (context, symbol) pairs with probabilities."""
 
-    def __init__(self, number: dict[bytes, int]):
-        self.number, self.levels = number, []
+class Tree:
+    """Counts of grams and, per depth, contexts that are states: the whole tree or the part that some documents need."""
 
-    def add(self, codes: np.ndarray, back: np.ndarray, pair_context: np.ndarray, pair_symbol: np.ndarray, pair_prob: np.ndarray) -> None:
-        order = np.argsort(codes)
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        keys = rank[pair_context] * (len(self.number) + 2) + pair_symbol if len(pair_context) else np.zeros(0, dtype=np.int64)
-        by_key = np.argsort(keys)
-        self.levels.append((codes[order], back[order], keys[by_key], pair_prob[by_key]))
+    def __init__(self, prior: float, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, levels: list[tuple[np.ndarray]]):
+        self.prior, self.hashes, self.counts, self.sizes, self.levels = prior, hashes, counts, sizes, levels
 
     def refine(self, docs: list[list[bytes]], root: np.ndarray) -> np.ndarray:
-        """Probability of every token in the state of its longest suffix; ``root`` is the root's."""
-        p = root.copy()
-        if not any(len(codes) for codes, *_ in self.levels):
-            return p
-        h = Histories(docs, self.number)
-        for d, (codes, back, keys, probs) in enumerate(self.levels, 1):
-            if not len(codes):
-                break
-            own = h.codes(d)
-            i = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            hit = np.nonzero(codes[i] == own)[0]
-            i = i[hit]
-            key = i * h.base + h.symbols[hit]
-            stored_p = np.zeros(len(hit))
-            if len(keys):
-                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                stored_p = np.where((keys[k] == key) & (h.symbols[hit] > 0), probs[k], 0.0)
-            p[hit] = stored_p + back[i] * p[hit]
-        return p
-
-
-def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p_min: float, test: float, prior: float) -> Tree:
-    """Count contexts level by level over ``train`` (chunk, row, doc_id, text) and keep those that diverge."""
-    number = {w: i for i, w in enumerate(sorted(frequent), 1)}
-    tree, base, least = Tree(number), len(number) + 2, p_min * total
-    if not number:
-        return tree
-    share = np.zeros(base)
-    for w, i in number.items():
-        share[i] = frequent[w] / total
-    spark, parents = train.sparkSession, None
-    found = []  # per level: context code -> (size, {symbol: n})
-    for d in range(1, depth + 1):
-        sent = spark.sparkContext.broadcast((number, parents))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            num, up = sent.value
-            totals: Counter = Counter()
-            for *_, part in runs(batches):
-                docs = [tokens(t) for i, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()) if fold(i) > 0]
-                if not docs:
-                    continue
-                h = Histories(docs, num)
-                own, symbols = h.codes(d), h.symbols
-                at = own >= 0
-                if up is not None and len(up):
-                    tail = own % (len(num) + 2) ** (d - 1)
-                    at &= up[np.minimum(np.searchsorted(up, tail), len(up) - 1)] == tail
-                pairs, n = np.unique(np.stack([own[at], symbols[at]]), axis=1, return_counts=True) if d > 2 else _unique(own[at], symbols[at], len(num) + 2)
-                totals.update(dict(zip(zip(pairs[0].tolist(), pairs[1].tolist()), n.tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.int64()), pa.array([k[1] for k in totals], pa.int64()),
-                                              pa.array(list(totals.values()), pa.int64())], ["context", "symbol", "n"])
-
-        pairs = train.mapInArrow(count, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        own = F.filter(F.collect_list(F.when((F.col("n") >= least) & (F.col("symbol") > 0), F.struct("symbol", "n"))), lambda x: x.isNotNull())
-        got = pairs.groupBy("context").agg(F.sum("n").alias("size"), own.alias("own")).where(F.col("size") >= least).toArrow().to_pylist()  # at most 1 / p_min rows
-        found.append({r["context"]: (r["size"], {x["symbol"]: x["n"] for x in r["own"]}) for r in got})
-        parents = np.sort(np.array(list(found[-1]), dtype=np.int64))
-        sent.unpersist()
-        if not len(parents):
-            break
-
-    def chance(d: int, code: int, symbol: int) -> float:
-        """Empirical share of a symbol behind a context, from its longest counted suffix on."""
-        while d:
-            size, symbols = found[d - 1][code]
-            if symbol in symbols:
-                return symbols[symbol] / size
-            d -= 1
-            code %= base ** d
-        return share[symbol]
-
-    keep: list[set[int]] = [set() for _ in found]
-    for d in range(len(found), 0, -1):  # deepest first, so that a kept context keeps its suffixes
-        for code, (size, symbols) in found[d - 1].items():
-            gain = sum(n * np.log(n / size / chance(d - 1, code % base ** (d - 1), s)) for s, n in symbols.items())
-            if code in keep[d - 1] or gain >= max(test, 0.01 * size):
-                for k in range(d, 0, -1):
-                    keep[k - 1].add(code % base ** k)
-    for d, codes in enumerate(keep):
-        order = sorted(codes)
-        sizes = np.array([found[d][c][0] for c in order], dtype=float)
-        held = np.array([sum(found[d][c][1].values()) for c in order], dtype=float)
-        triples = [(i, s, n / (found[d][c][0] + prior)) for i, c in enumerate(order) for s, n in found[d][c][1].items()]
-        cols = list(zip(*triples)) or [(), (), ()]
-        tree.add(np.array(order, dtype=np.int64), (sizes - held + prior) / (sizes + prior), np.array(cols[0], dtype=np.int64),
-                 np.array(cols[1], dtype=np.int64), np.array(cols[2], dtype=float))
-    return tree
-
-
-def _unique(a: np.ndarray, b: np.ndarray, base: int):
-    keys, n = np.unique(a * base + b, return_counts=True)
-    return (keys // base, keys % base), n
+        """Probability of every token in its longest state; ``root`` is the root's."""
+        h = Histories(docs, len(self.levels))
+        seen = lambda keys, values, x: np.where(keys[i := np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x, values[i], 0) if len(keys) else np.zeros(len(x), dtype=np.int64)
+        states = [seen(c, np.ones(len(c), dtype=np.int64), x).astype(bool) & ok for (c,), x, ok in zip(self.levels, h.contexts, h.whole)]
+        sizes = [seen(*self.sizes, x) for x in h.contexts]
+        return interpolate(root, states, sizes, [seen(self.hashes, self.counts, x) for x in h.grams], self.prior)
+
+
+def interpolate(root: np.ndarray, states: list[np.ndarray], sizes: list[np.ndarray], counts: list[np.ndarray], prior: float) -> np.ndarray:
+    """From the root on along the suffixes of the longest state of each token."""
+    longest = np.zeros(len(root), dtype=np.int64)
+    for d, own in enumerate(states, 1):
+        longest[own] = d
+    p = root.copy()
+    for d, (size, n) in enumerate(zip(sizes, counts), 1):
+        at = longest >= d
+        p[at] = (n[at] + prior * p[at]) / (size[at] + prior)
+    return p
+
+
+def learned(h: Histories, ids: list) -> np.ndarray:
+    """Which tokens are learned from."""
+    return np.repeat(np.fromiter((fold(i) > 0 for i in ids), dtype=bool, count=len(ids)), h.sizes)
+
+
+def gather(arrays: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x[ok] for x, ok in zip(arrays, masks)])
+
+
+def spread(values: np.ndarray, masks: list[np.ndarray]) -> list[np.ndarray]:
+    """The reverse of ``gather``: 0 elsewhere."""
+    out, start = [], 0
+    for ok in masks:
+        own = np.zeros(len(ok), dtype=values.dtype)
+        n = int(ok.sum())
+        own[ok] = values[start:start + n]
+        start += n
+        out.append(own)
+    return out
+
+
+def counting(h: Histories, ids: list, buckets: int) -> dict[int, bytes]:
+    """Per bucket: distinct words and pairs of symbols with their training counts."""
+    train = learned(h, ids)
+    count = np.bincount(h.symbols[train], minlength=len(h.words))
+    number = {w: i for i, w in enumerate(h.words)}
+    words = by_bucket(h.words, buckets)
+    grams, at = distinct(h.grams[0])
+    own = np.bincount(at[train], minlength=len(grams))
+    parts = dict(ranges(grams, buckets))
+    nothing = slice(0, 0)
+    return {b: pack(*pack_words(ws := words.get(b, [])), narrow(count[[number[w] for w in ws]] if ws else count[:0]),
+                    pack_hashes(grams[parts.get(b, nothing)]), narrow(own[parts.get(b, nothing)])) for b in words.keys() | parts.keys()}
+
+
+class Counted:
+    """The documents of a run with the answers to ``counting``: training counts of tokens and pairs.
+
+    A context of n occurrences, whose longest suffix has m, diverges by n log(m / n) at most:
+    every continuation is at least as frequent behind the suffix.  Contexts that cannot reach
+    ``test`` are no states, and longer grams are asked for only where a state may need them;
+    whether they are depends on the gram alone, so that all its occurrences are counted."""
+
+    def __init__(self, bodies: list[str], got: dict[int, bytes], buckets: int, depth: int, total: int, least: float, test: float):
+        self.h = h = Histories([tokens(t) for t in bodies], depth)
+        self.buckets, self.total, self.least, self.test = buckets, max(1, total), least, test
+        answers = {b: unpack(p) for b, p in got.items() if b < buckets}
+        count = {}
+        for b, words in by_bucket(h.words, buckets).items():
+            count.update(zip(words, widen(answers[b][0]).tolist()))
+        self.count = np.fromiter(map(count.__getitem__, h.words), dtype=np.int64, count=len(h.words))[h.symbols]
+        self.ends = count[END]
+        pairs = np.concatenate([widen(answers[b][1]) for b in sorted(answers)])[distinct(h.grams[0])[1]]
+        self.grams = [pairs]
+        before = lambda x: np.concatenate([x[:1], x[:-1]])
+        rarest, self.wanted = [pairs], []  # the rarest pair of a gram
+        for d in range(2, depth + 1):
+            rarest.append(np.minimum(pairs, before(rarest[-1])))
+            suffix = before(rarest[d - 3]) if d > 2 else h.context_sizes(self.count, self.ends, self.grams)[0]
+            self.wanted.append(h.whole[d - 1] & (self.may_matter(before(rarest[d - 2]), suffix) | self.may_matter(rarest[d - 1], rarest[d - 2])))
+        self.longer, self.place = distinct(gather(h.grams[1:], self.wanted)) if depth > 1 else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    def may_matter(self, most: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Whether a context of at most ``most`` occurrences, its suffix of at most ``suffix``, or a longer one may be a state."""
+        n = np.maximum(np.minimum(most, suffix / np.e), 1e-9)
+        own = n * np.log(np.maximum(suffix, 1e-9) / n) + most / UNIT
+        return (most >= self.least) & ((own >= self.test) | (most / np.e + most / UNIT >= self.test))
+
+    def asks(self, ids: list) -> dict[int, bytes]:
+        """Per bucket: distinct grams of three and more symbols with their training counts."""
+        train = learned(self.h, ids)
+        own = np.bincount(self.place[gather([train] * len(self.wanted), self.wanted)] if self.wanted else self.place, minlength=len(self.longer))
+        return {self.buckets + b: pack(pack_hashes(self.longer[i]), narrow(own[i])) for b, i in ranges(self.longer, self.buckets)}
+
+    def told(self, got: dict[int, bytes]) -> Counted:
+        """With the answers to ``asks``."""
+        h = self.h
+        counts = np.concatenate([np.zeros(0, dtype=np.int64), *[widen(unpack(got[self.buckets + b])[0]) for b, _ in ranges(self.longer, self.buckets)]])
+        self.grams += spread(counts[self.place], self.wanted)
+        self.sizes = h.context_sizes(self.count, self.ends, self.grams)
+        self.often, suffix = [], self.total
+        for ok, n in zip(h.whole, self.sizes):
+            some = np.maximum(n, 1)
+            self.often.append(ok & (n >= self.least) & (n * np.log(np.maximum(suffix, 1) / some) + n / UNIT >= self.test))
+            suffix = n
+        self.contexts, self.at = distinct(gather(h.contexts, self.often))
+        return self
+
+    def divergence(self, ids: list) -> dict[int, bytes]:
+        """Per bucket: the contexts that may be states, their counts and what their occurrences here add to the divergence."""
+        train, gains, shorter = learned(self.h, ids), [], self.count / self.total
+        for n, size, ok in zip(self.grams, self.sizes, self.often):
+            own = n / np.maximum(size, 1)
+            use = train & ok
+            gain = np.zeros(len(use))
+            gain[use] = np.rint(UNIT * np.log(own[use] / shorter[use]))
+            gains.append(gain)
+            shorter = own
+        gain = np.bincount(self.at, weights=gather(gains, self.often), minlength=len(self.contexts)).astype(np.int64)
+        size = np.zeros(len(self.contexts), dtype=np.int64)
+        size[self.at] = gather(self.sizes, self.often)
+        gain = (gain << 1) ^ (gain >> 63)  # sign last
+        return {2 * self.buckets + b: pack(pack_hashes(self.contexts[i]), narrow(size[i]), narrow(gain[i])) for b, i in ranges(self.contexts, self.buckets)}
+
+    def states(self, got: dict[int, bytes]) -> list[np.ndarray]:
+        """Per depth: whether the context of a token is a state, from the answers to ``divergence``."""
+        bits = [np.unpackbits(np.frombuffer(unpack(got[2 * self.buckets + b])[0], dtype=np.uint8), count=i.stop - i.start).astype(bool) for b, i in ranges(self.contexts, self.buckets)]
+        return spread(np.concatenate([np.zeros(0, dtype=bool), *bits])[self.at], self.often)
+
+
+def diverging(asked: list[tuple[bytes, bytes, bytes]], test: float) -> list[np.ndarray]:
+    """Which contexts of the messages of one bucket are states."""
+    hashes = [read_hashes(x) for x, _, _ in asked]
+    _, at = distinct(np.concatenate(hashes))
+    size = np.zeros(len(at), dtype=np.int64)
+    size[at] = np.concatenate([widen(x) for _, x, _ in asked])
+    gain = np.zeros(len(at), dtype=np.int64)
+    coded = np.concatenate([widen(x) for _, _, x in asked])
+    np.add.at(gain, at, (coded >> 1) ^ -(coded & 1))
+    own = (gain >= UNIT * np.maximum(test, 0.01 * size))[at]
+    return np.split(own, np.cumsum([len(x) for x in hashes])[:-1])
+
+
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Total count of each hash, message by message."""
+    _, at = distinct(np.concatenate(hashes))
+    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at] if len(at) else np.zeros(0, dtype=np.int64)
+    return np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
+
+
+def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p_min: float, test: float, prior: float, few: int = 1) -> Tree:
+    """The whole tree of a small table (chunk, row, doc_id, text), for tests; ``frequent`` has the counts of its words."""
+    rows = [r for r in train.select("doc_id", "text").collect() if fold(r.doc_id) > 0]
+    h = Histories([tokens(r.text) for r in rows], depth)
+    ids, bodies = [r.doc_id for r in rows], [r.text for r in rows]
+    asked = {b: unpack(p) for b, p in counting(h, ids, 2).items()}
+    c = Counted(bodies, {b: pack(narrow(np.array([frequent[w] for w in read_words(x[0], x[1])], dtype=np.int64)), x[4]) for b, x in asked.items()}, 2, depth, total, max(few, p_min * total), test)
+    c.told({b: pack(unpack(p)[1]) for b, p in c.asks(ids).items()})
+    states = c.states({b: pack(np.packbits(diverging([tuple(unpack(p))], test)[0]).tobytes()) for b, p in c.divergence(ids).items()})
+    grams, first = np.unique(gather(h.grams, h.whole), return_index=True)
+    contexts, at = np.unique(gather(h.contexts, h.whole), return_index=True)
+    return Tree(prior, grams, gather(c.grams, h.whole)[first], (contexts, gather(c.sizes, h.whole)[at]), [(np.unique(x[ok]),) for x, ok in zip(h.contexts, states)])
 
 
 # ------------------------------------------------------------------ the operator
 
 
-def score(docs: DataFrame, depth: int = 3, p_min: float = 2e-5, test: float = 50.0, prior: float = 20.0) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.0, prior: float = 20.0, few: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    if p_min < 2e-5 or depth > 3:
-        raise ValueError("history codes have 63 bits: p_min is at least 2e-5 and depth at most 3")
     layout = Layout(docs)
     buckets = layout.buckets
     d = chunked(docs, layout)
 
     def keys(ids: list, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
-        learned: Counter = Counter()
-        distinct: set[bytes] = set()
-        for i, text in zip(ids, bodies):
-            (learned if fold(i) > 0 else distinct).update(tokens(text))
-        for b, words in by_bucket(distinct | learned.keys(), buckets).items():
-            yield b, pack(*pack_words(words), narrow(np.fromiter(map(learned.__getitem__, words), dtype=np.int64, count=len(words))))
+        yield from counting(Histories([tokens(t) for t in bodies], depth), ids, buckets).items()
 
     def merge(table: pa.Table) -> pa.Table:
-        """Answers (the training count of each word asked for) and one summary row: n, v, tokens seen once, words that may be frequent."""
+        """Answers (the training counts of each word and gram asked for) and one summary row: n, v, tokens seen once."""
         asked = [unpack(p.as_py()) for p in table["payload"]]
         number: dict[bytes, int] = {}
         places = []
-        for sizes, blob, _ in asked:
+        for sizes, blob, *_ in asked:
             words = read_words(sizes, blob)
             places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
         total = np.zeros(len(number), dtype=np.int64)
-        for at, (_, _, counts) in zip(places, asked):
+        for at, (_, _, counts, *_) in zip(places, asked):
             total[at] += widen(counts)
-        n = int(total.sum())
-        often = total >= max(1.0, p_min * n)
-        words = [w for w, x in zip(number, often.tolist()) if x]
-        summary = pack(*pack_words(words), total[often].tobytes(), np.array([(total == 1).sum()], dtype=np.int64).tobytes())
-        out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(narrow(total[at])) for at in places], pa.binary()))
-        own = pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "lo": [n], "hi": [int((total > 0).sum())], "payload": [summary]}, schema=out.schema)
+        grams = summed([read_hashes(x[3]) for x in asked], [widen(x[4]) for x in asked])
+        out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(narrow(total[at]), narrow(g)) for at, g in zip(places, grams)], pa.binary()))
+        own = pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "lo": [int(total.sum())], "hi": [int((total > 0).sum())],
+                        "payload": [int((total == 1).sum()).to_bytes(8, "big")]}, schema=out.schema)
         return pa.concat_tables([out, own])
 
-    answers = stored(ask(d, keys).groupBy("bucket").applyInArrow(merge, MESSAGE), "lm-lexicon")
-    summaries = answers.where("chunk is null")
+    answers = stored(ask(d, keys).groupBy("bucket").applyInArrow(merge, MESSAGE), "lm-counts", tidy=True)
+    once = F.conv(F.hex("payload"), 16, 10).cast("long")
+    head = answers.where("chunk is null").agg(F.sum("lo"), F.sum("hi"), F.sum(once)).head()
+    counts = answers.where("chunk is not null")
+    n, v, singles = head[0] or 0, head[1] or 0, max(1, head[2] or 0)
+    least = max(few, p_min * n)
+    per_token = np.log10(n + 0.1 * (v + 1))
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(np.frombuffer(unpack(p.as_py())[3], dtype=np.int64)[0]) for p in batch.column(2)], pa.int64())], ["n", "v", "once"])
+    def again(keys: Callable[[Counted, list, dict[int, bytes]], dict[int, bytes]], reply: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
+        """One more exchange: chunks ask by what they have been told."""
+        def more(ids: list, bodies: list[str], got: dict[int, bytes], place: tuple) -> pa.Table:
+            own = keys(Counted(bodies, got, buckets, depth, n, least, test), ids, got)
+            return pa.Table.from_batches([messages([(b, *place, p) for b, p in own.items()])])
 
-    head = summaries.select("lo", "hi", "payload").mapInArrow(once, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).head()
-    n, v, singles = head[0] or 0, head[1] or 0, max(1, head[2] or 0)
+        return stored(answer(finish(documents(d), counts, more, MESSAGE, placed=True), reply), name, tidy=True)
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0):
-                sizes, blob, counts, _ = unpack(p.as_py())
-                rows = [(w, c) for w, c in zip(read_words(sizes, blob), np.frombuffer(counts, dtype=np.int64).tolist()) if c >= p_min * n]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
+    def total(payloads: list[bytes]) -> list[bytes]:
+        asked = [unpack(p) for p in payloads]
+        return [pack(narrow(x)) for x in summed([read_hashes(x) for x, _ in asked], [widen(x) for _, x in asked])]
 
-    often = summaries.select("payload").mapInArrow(frequent, "word binary, n long").toArrow().to_pylist()  # at most 1 / p_min rows
-    tree = grow(d, {r["word"]: r["n"] for r in often}, n, depth, p_min, test, prior)
-    sent = d.sparkSession.sparkContext.broadcast(tree)
-    per_token = np.log10(n + 0.1 * (v + 1))
+    def judge(payloads: list[bytes]) -> list[bytes]:
+        return [pack(np.packbits(x).tobytes()) for x in diverging([tuple(unpack(p)) for p in payloads], test)]
+
+    counts = counts.unionByName(again(lambda own, ids, got: own.asks(ids), total, "lm-grams"))
+    counts = counts.unionByName(again(lambda own, ids, got: own.told(got).divergence(ids), judge, "lm-states"))
 
     def work(ids: list, bodies: list[str], got: dict[int, bytes]) -> pa.Table:
-        split = [tokens(text) for text in bodies]
-        place: dict[bytes, int] = {}
-        counts = []
-        for b, words in by_bucket(set().union(*split), buckets).items():
-            place.update(zip(words, range(len(place), len(place) + len(words))))
-            counts.append(widen(unpack(got[b])[0]))
-        count = np.concatenate(counts)
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        starts = np.cumsum(sizes) - sizes
-        c = count[np.fromiter((place[w] for own in split for w in own), dtype=np.int64, count=int(sizes.sum()))]
-        p = sent.value.refine(split, np.where(c > 0, c, singles) / (n + singles))
-        known, base, full = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - per_token, np.log10(p)))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) == 0 for i in ids], pa.bool_()), "n_tokens": pa.array(sizes),
+        own = Counted(bodies, got, buckets, depth, n, least, test).told(got)
+        c, h = own.count, own.h
+        p = interpolate(np.where(c > 0, c, singles) / (n + singles), own.states(got), own.sizes, own.grams, prior)
+        known, base, full = (np.add.reduceat(x, h.starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - per_token, np.log10(p)))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) == 0 for i in ids], pa.bool_()), "n_tokens": pa.array(h.sizes),
                          "n_known": pa.array(known), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
-    return finish(documents(d), answers.where("chunk is not null"), work,
+    return finish(documents(d), counts, work,
                   "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,6 +1,8 @@
 """Operators against brute force on an odd table, on empty tables and on their own special cases."""
+import collections
 import hashlib
 import itertools
+import math
 import os
 import random
 import zlib
@@ -341,6 +343,57 @@ def test_states_are_distributions(spark):
         assert np.isclose(total, 1)
 
 
+def suffix_scores(rows, depth, test, prior, few):
+    """Log10 score of each row of (id, text): counts, states and smoothing by dictionaries."""
+    start, texts = b"<start>", [(i, suffix_lm.tokens(t or "")) for i, t in rows]
+    c, size, gram = collections.Counter(), collections.Counter(), collections.Counter()
+    histories = lambda ws, k: [tuple(([start] + ws)[k + 1 - d:k + 1]) for d in range(1, min(depth, k + 1) + 1)]
+    for i, ws in texts:
+        for k, w in enumerate(ws if suffix_lm.fold(i) > 0 else []):
+            c[w] += 1
+            for h in histories(ws, k):
+                size[h] += 1
+                gram[h, w] += 1
+    n, singles = sum(c.values()), max(1, sum(x == 1 for x in c.values()))
+    share = lambda h, w: gram[h, w] / size[h] if h else c[w] / n
+    gain = collections.Counter()
+    for (h, w), x in gram.items():
+        gain[h] += x * math.log(share(h, w) / share(h[1:], w))
+    states = {h for h, x in size.items() if x >= few and gain[h] >= max(test, 0.01 * x)}
+    out = []
+    for i, ws in texts:
+        total = 0.0
+        for k, w in enumerate(ws):
+            p = (c[w] or singles) / (n + singles)
+            hs = histories(ws, k)
+            for h in hs[:max((len(h) for h in hs if h in states), default=0)]:
+                p = (gram[h, w] + prior * p) / (size[h] + prior)
+            total += math.log10(p)
+        out.append((i, round(total, 6)))
+    return out, len(states)
+
+
+def test_suffix_tree_states(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["a b c d", "a b", "e a", "f", "g h", "b c e f a"]) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(None, "a b"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for depth in (1, 3, 5):
+        want, n = suffix_scores(rows, depth, 5.0, 3.0, 4)
+        assert n > 5
+        same([(r.doc_id, round(r.score, 6)) for r in suffix_lm.score(d, depth=depth, test=5.0, prior=3.0, few=4).collect()], want)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts that occur five times in 300,000 tokens are states."""
+    rng = random.Random(13)
+    parts = [f"w{k} x{k}" for k in range(4000)] * 5
+    rng.shuffle(parts)
+    rows = [(i, " ".join(parts[i::1000] + ["the of and"] * 90)) for i in range(1000)]
+    pairs = [(5000 + i, f"w{i} x{i}") for i in range(200) if suffix_lm.fold(5000 + i) == 0]
+    got = [r for r in suffix_lm.score(spark.createDataFrame(rows + pairs, "doc_id long, text string")).collect() if r.doc_id >= 5000]
+    assert got[0].train_tokens > 250_000 and np.mean([r.score - r.base_score for r in got]) > 2
+
+
 # ------------------------------------------------------------------ 10
 
 
