@@ -1,15 +1,16 @@
 """Operator 6: benchmark decontamination by spaced-seed hashing.
 
-Fixed masks ignore some positions of a token window, so that a substituted word does not
-hide an overlap.  Masked windows of the benchmark and of the documents are hashed and
+Fixed masks ignore some positions of a token window, so that substituted words do not
+hide an overlap: for every length of items, each set of places that may differ is left
+out by some mask at some place, so no overlap is lost.  Masked windows of the benchmark and of the documents are hashed and
 joined; the two token sequences are then compared position by position on the diagonals
 that have hits.  A document row is contaminated by an item if on such a diagonal some
 window of ``window`` tokens (the whole item if it is shorter) agrees in at least ``share``
 of its positions.  DataFrame operations only.
 
 * Tokens are maximal runs of letters and digits, lower-cased.
-* Items with fewer tokens than the shortest mask are looked up as a whole; items and
-  documents without tokens match nothing.  Null text counts as empty.
+* Masks for items shorter than ``window`` are added only if the benchmark has such items;
+  items and documents without tokens match nothing.  Null text counts as empty.
 * The hashed benchmark is broadcast only up to ``broadcast_rows`` rows; beyond that, a
   bounded bit filter thins the document windows and the rest is joined by shuffle.
 * Repeated item ids are treated as one item with several texts; repeated document rows
@@ -18,6 +19,9 @@ of its positions.  DataFrame operations only.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,19 @@ SHARE = 0.8
 BROADCAST_ROWS = 500_000
 
 
+def covering(lengths: list[int], window: int, share: float) -> dict[str, set[int]]:
+    """Masks beside MASKS, each with the lengths of items that need it: every set of places that may differ is left out by a mask."""
+    more: dict[str, set[int]] = {}
+    for n in lengths:
+        own = [{q + k for k, bit in enumerate(m) if bit == "1"} for m in MASKS for q in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - math.ceil(n * share)):
+            if not any(places.isdisjoint(gone) for places in own):
+                mask = "".join("0" if k in gone else "1" for k in range(n)).strip("0")
+                own += [{q + k for k, bit in enumerate(mask) if bit == "1"} for q in range(n - len(mask) + 1)]
+                more.setdefault(mask, set()).add(n)
+    return more
+
+
 def token_hashes(text: Column) -> Column:
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     return F.transform(tokens, lambda t: F.xxhash64(t))
@@ -52,14 +69,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
     ``docs`` has _file, _row, doc_id, text; _place stands for the file."""
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("g")).where(F.size("g") > 0).withColumn("item", F.xxhash64("g"))
-    least = min(map(len, MASKS))
-    short = sorted(r[0] for r in items.where(F.size("g") < least).select(F.size("g")).distinct().collect())  # at most least - 1 numbers
-    masks = [*MASKS, *("1" * n for n in short)]
+    compared = F.least(F.lit(window), F.size("g"))
+    lengths = sorted(r[0] for r in items.select(compared).distinct().collect())  # at most ``window`` numbers
+    more = covering(lengths, window, share)
+    masks = [*MASKS, *more]
     m = F.lit(len(masks))
     # outer explodes: plain ones would have their arrays computed twice, once to filter by size
     seeds = items.dropDuplicates(["item"]).select("item", F.size("g").alias("n"), F.posexplode_outer(window_keys("g", masks)).alias("i", "key"))
     span = F.element_at(F.array(*[F.lit(len(x)) for x in masks]), (F.col("i") % m) + 1)
-    fits = (F.floor(F.col("i") / m) + span <= F.col("n")) & ((F.col("i") % m < len(MASKS)) | (span == F.col("n")))
+    needed = F.element_at(F.array(*[F.array(*map(F.lit, sorted(more.get(x, lengths or [0])))) for x in masks]), (F.col("i") % m) + 1)
+    fits = (F.floor(F.col("i") / m) + span <= F.col("n")) & F.array_contains(needed, F.least(F.lit(window), F.col("n")))
     seeds = seeds.where(F.col("key").isNotNull() & fits).select("item", "key", F.floor(F.col("i") / m).cast("int").alias("q"))
 
     place = docs.select(F.xxhash64("_file").alias("_place"), "_row", "doc_id", "text")

@@ -231,6 +231,22 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_substitution(spark):
+    """All places that may differ, for items of every length up to the window."""
+    docs, items = [], []
+    for n in range(1, 17):
+        words = [f"t{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        size = min(13, n)
+        for gone in itertools.combinations(range(size), size - math.ceil(0.8 * size)):
+            docs.append((len(docs), "before " + " ".join("other" if k in gone or k >= size else w for k, w in enumerate(words)) + " behind"))
+    docs += [(len(docs) + k, " ".join(t.split()[2:])) for k, (_, t) in enumerate(items)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    for rows in (10 ** 6, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, broadcast_rows=rows).collect()} == want
+
+
 # ------------------------------------------------------------------ 7
 
 
