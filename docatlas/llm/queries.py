@@ -95,3 +95,10 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import repeats
 
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import periodic_runs
+
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
