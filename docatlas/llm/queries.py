@@ -102,3 +102,10 @@ def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import periodic_runs
 
     return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import conversations
+
+    return conversations.report(table(spark, sf_dir, "conversations"))
