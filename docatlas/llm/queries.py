@@ -109,3 +109,17 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docatlas.llm import conversations
 
     return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_vector_dedup", """
+with recursive pairs as (
+  select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.93),
+reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, p.y from reach r join pairs p on r.y = p.x),
+low as (select x as vec_id, min(y) as component_id from reach group by 1),
+n as (select x as vec_id, count(*) as n_links from pairs group by 1)
+select l.vec_id, coalesce(n.n_links, 0) as n_links, l.component_id, l.vec_id = l.component_id as kept from low l left join n using (vec_id)""")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docatlas.llm import vector_dedup
+
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
