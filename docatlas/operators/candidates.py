@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docatlas import dims
 from docatlas.functions import names as N
+from docatlas.operators.rule_joins import pattern_headers
 
 BASE_US = dims.SITE + "/en-us"
 BASE_BR = dims.SITE + "/pt-br"
@@ -21,8 +22,11 @@ def base_url(lang: str) -> str:
     return BASE_BR if lang == "br" else BASE_US
 
 
-def match_url_rules(symbols: DataFrame) -> DataFrame:
-    """(symbol, ord, header_ord, header) in rule order."""
+def match_url_rules(symbols: DataFrame, url_rules: DataFrame | None = None) -> DataFrame:
+    """(symbol, ord, header_ord, header) in rule order.  The built-in patterns are tested inside the row; a
+    table ``url_rules`` (ord, pattern, headers) of any length is joined by literal parts of its patterns."""
+    if url_rules is not None:
+        return pattern_headers(symbols, url_rules)
     return (symbols.withColumn("r", F.explode(N.rule_headers("symbol")))
             .select("symbol", F.col("r.ord").alias("ord"),
                     F.posexplode("r.headers").alias("header_ord", "header")))

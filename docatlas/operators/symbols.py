@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docatlas import dims
 from docatlas.functions import names as N
+from docatlas.operators.rule_joins import keyword_modules
 
 
 def read_symbols(df: DataFrame, col: str = "symbol") -> tuple[DataFrame, DataFrame]:
@@ -61,6 +62,9 @@ def expand_names(df: DataFrame, col: str = "symbol") -> DataFrame:
     return df.withColumn("v", F.explode(N.name_variants(col))).select("*", "v.tag", "v.key").drop("v")
 
 
-def detect_dll(df: DataFrame, col: str = "symbol") -> DataFrame:
-    """J1 + J2 as one projection."""
-    return df.withColumn("dll", N.module_of(col))
+def detect_dll(df: DataFrame, dll_rules: DataFrame | None = None, col: str = "symbol") -> DataFrame:
+    """J1 + J2.  The built-in keywords are one projection; a table ``dll_rules`` (ord, key, dll) of any
+    length is joined by grams of its keywords."""
+    if dll_rules is None:
+        return df.withColumn("dll", N.module_of(col))
+    return keyword_modules(df, dll_rules, col).withColumn("dll", F.coalesce("dll", N.family_module(col)))

@@ -190,6 +190,26 @@ def module_counts(spark, sf):
         F.count(F.lit(1)).alias("symbols"), F.count_distinct("symbol").alias("names"))
 
 
+RULE_TABLE_CTE = with_views("names_v", "dll_rules_v") + """, d as (select distinct symbol, lower(symbol) as low from names_v),
+k as (select key, min(ord) as ord, arg_max(dll, ord) as dll from dll_rules_v group by key),
+j1 as (select symbol, arg_max(dll, length(key) * 100000000 - ord) as dll from d join k on contains(low, key) group by symbol)
+"""
+
+
+@query("j1_rule_table", RULE_TABLE_CTE + f"select symbol, coalesce(j1.dll, {FAMILY_SQL}) as dll from d left join j1 using (symbol)")
+def j1_rule_table(spark, sf):
+    return S.detect_dll(distinct_names(spark, sf), view(spark, sf, "dll_rules_v"))
+
+
+@query("j8_rule_table", with_views("names_v", "url_rules_v") + """, d as (select distinct symbol, lower(symbol) as low from names_v),
+r as (select pattern, min(ord) as ord, string_split(arg_max(header_list, ord), ' ') as headers from url_rules_v group by pattern),
+hits as (select symbol, ord, headers from d join r on regexp_matches(low, '^(?:' || pattern || ')'))
+select symbol, ord, i::int - 1 as header_ord, headers[i] as header from (select *, unnest(range(1, len(headers) + 1)) as i from hits)""")
+def j8_rule_table(spark, sf):
+    rules = view(spark, sf, "url_rules_v").select("ord", "pattern", F.split("header_list", " ").alias("headers"))
+    return C.match_url_rules(distinct_names(spark, sf), rules)
+
+
 # ------------------------------------------------------------------ evidence
 
 MAP_VIEWS = with_views("names_v", "header_map_v", "function_map_v")

@@ -211,7 +211,36 @@ def exports_sql(d: Dialect) -> str:
 select distinct {module} as module, concat(symbol, {suffix}) as function from symbols_v"""
 
 
+def dll_rules_sql(d: Dialect) -> str:
+    """Keywords cut out of the symbols, in mixed case and with repeated keys."""
+    return f"""
+select sym_id as ord, case when sym_id % 11 = 0 then substr(symbol, 1, 4)
+    else substr(lower(symbol), cast(1 + sym_id % 6 as int), cast(2 + p_size % 7 as int)) end as key,
+  concat(lower(p_type), '-', {d.s('p_size % 5')}, '.dll') as dll
+from symbols_v"""
+
+
+def url_rules_sql(d: Dialect) -> str:
+    """Patterns of all shapes over the symbols: whole names, beginnings, parts, sequences, classes and alternatives."""
+    low, take = "lower(symbol)", lambda a, n: f"substr(lower(symbol), {a}, {n})"
+    return f"""
+select sym_id as ord, case sym_id % 9
+    when 0 then concat('^', {low}, '$')
+    when 1 then concat('^', {take(1, 5)}, '.*')
+    when 2 then concat('.*', {take(4, 4)}, '.*')
+    when 3 then concat({take(1, 3)}, '.*', {take(7, 3)}, '.*')
+    when 4 then concat('(', {take(1, 4)}, '|', {take(1, 2)}, 'x)[a-z]+', {take(8, 2)}, '$')
+    when 5 then concat({take(1, 4)}, 's?', {take(5, 2)}, '+')
+    when 6 then concat('[', {take(1, 1)}, 'q].*', {take(6, 3)})
+    when 7 then concat({take(1, 6)}, '|', {take(2, 3)})
+    else concat('^', {take(1, 7)}) end as pattern,
+  concat(lower(p_type), ' ', lower(p_brand)) as header_list
+from symbols_v"""
+
+
 VIEWS = {
+    "dll_rules_v": (["symbols_v"], dll_rules_sql),
+    "url_rules_v": (["symbols_v"], url_rules_sql),
     "symbols_v": (["part"], symbols_sql),
     "names_v": (["symbols_v"], names_sql),
     "doc_pages_v": (["symbols_v"], doc_pages_sql),
