@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docatlas.functions import names as N
-from docatlas.operators.chunks import with_history
+from docatlas.operators.chunks import ROWS, last_before, with_history
 
 # Cache life time, session gap, retry delays, health thresholds.
 CACHE_TTL, USED_TTL, SESSION_GAP = 3600, 7200, 600
@@ -69,9 +69,9 @@ def retry_delay(attempt: Column) -> Column:
     return F.least(F.lit(RETRY_BASE) * F.pow(F.lit(RETRY_FACTOR), attempt - 1), F.lit(RETRY_MAX))
 
 
-def retry_schedule(log: DataFrame, key: str = "url", seconds: int = 86400) -> DataFrame:
+def retry_schedule(log: DataFrame, key: str = "url", rows: int = ROWS) -> DataFrame:
     """Rows that follow failures of the same key: expected delay, actual gap."""
-    d = with_history(log, key, F.col("status") == 200, seconds).filter("run_before > 0")
+    d = with_history(log, key, F.col("status") == 200, rows=rows).filter("run_before > 0")
     gap = (F.unix_micros("ts") - F.col("prev_us")) / F.lit(1000000.0)
     delay = retry_delay(F.col("run_before"))
     return d.select("event_id", key, F.col("run_before").alias("attempt"), F.round(delay, 6).alias("delay"),
@@ -79,28 +79,59 @@ def retry_schedule(log: DataFrame, key: str = "url", seconds: int = 86400) -> Da
 
 
 def fetch_delay(attempt: Column) -> Column:
+    """Wait after try number ``attempt`` (from 0) of a page fetch."""
     return F.lit(FETCH_BASE) * F.pow(F.lit(2.0), attempt)
 
 
+def fetch_schedule(log: DataFrame, key: str = "url", rows: int = ROWS) -> DataFrame:
+    """Rows that follow failures of the same key, as tries of page fetches: every fetch has
+    ``FETCH_TRIES`` tries, so a run of failures is cut into fetches; ``due`` is the earliest time of the row."""
+    d = with_history(log, key, F.col("status") == 200, rows=rows).filter("run_before > 0")
+    tried = ((F.col("run_before") - 1) % FETCH_TRIES).cast("int")
+    delay = fetch_delay(tried)
+    return d.select("event_id", key, tried.alias("tried"), delay.alias("delay"), (tried == FETCH_TRIES - 1).alias("gave_up"),
+                    (F.col("prev_us") + (delay * 1000000).cast("long")).alias("due_us"))
+
+
 def start_delay(rank: Column) -> Column:
+    """Staggered start of the candidate at ``rank`` (from 1)."""
     return F.lit(START_STAGGER) * (rank - 1)
 
 
-def failure_runs(log: DataFrame, key: str = "agent", seconds: int = 86400) -> DataFrame:
+def start_schedule(cands: DataFrame) -> DataFrame:
+    """``cands`` (..., rank) with the seconds after which each may start."""
+    return cands.withColumn("start_after", F.round(start_delay(F.col("rank")), 6))
+
+
+def per_request(log: DataFrame, ttl: int = CACHE_TTL, rows: int = ROWS) -> DataFrame:
+    """T2 and T3 as of each request: what the cache knew when the request was made.
+
+    ``cached_us``, ``etag`` and ``last_modified`` belong to the newest earlier response that was cached
+    ('' when it had no validator, null when nothing was cached); ``last_*`` to the newest earlier response
+    that had one; ``fresh``: the cached response was younger than ``ttl`` (strictly), so no request was due."""
+    cached = F.when(F.col("status") == 200, F.struct(
+        F.unix_micros("ts").alias("us"), F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified")))
+    d = last_before(log, "url", {"cached": cached, "last_etag": F.col("etag"), "last_last_modified": F.col("last_modified")}, rows=rows)
+    age = F.unix_micros("ts") - F.col("cached.us")
+    return d.select("event_id", "url", F.col("cached.us").alias("cached_us"), F.coalesce(age < ttl * 1000000, F.lit(False)).alias("fresh"),
+                    "cached.etag", "cached.last_modified", "last_etag", "last_last_modified")
+
+
+def failure_runs(log: DataFrame, key: str = "agent", rows: int = ROWS) -> DataFrame:
     """Longest failure run per agent, rows at which it would be rotated away."""
-    d = with_history(log, key, F.col("status") == 200, seconds)
+    d = with_history(log, key, F.col("status") == 200, rows=rows)
     return d.groupBy(key).agg(F.max("run").alias("longest"), F.count_if(F.col("run") >= AGENT_FAILURES).alias("rotations"))
 
 
-def rotation_groups(log: DataFrame, key: str = "agent", seconds: int = 86400) -> DataFrame:
+def rotation_groups(log: DataFrame, key: str = "agent", rows: int = ROWS) -> DataFrame:
     """A new group after every five requests."""
-    d = with_history(log, key, F.col("status") == 200, seconds)
+    d = with_history(log, key, F.col("status") == 200, rows=rows)
     return d.select("event_id", key, F.floor((F.col("rn") - 1) / AGENT_REQUESTS).alias("rotation"))
 
 
-def agent_states(log: DataFrame, seconds: int = 86400) -> DataFrame:
+def agent_states(log: DataFrame, rows: int = ROWS) -> DataFrame:
     """T5 batch twin (W6 + W7): per request its rotation group, failure run, rotate flag."""
-    d = with_history(log, "agent", F.col("status") == 200, seconds)
+    d = with_history(log, "agent", F.col("status") == 200, rows=rows)
     return d.select("event_id", "agent", F.floor((F.col("rn") - 1) / AGENT_REQUESTS).alias("rotation"), "run",
                     ((F.col("rn") % AGENT_REQUESTS == 0) | (F.col("run") >= AGENT_FAILURES)).alias("rotate"))
 

@@ -120,6 +120,31 @@ def t11(spark, sf):
     return G.retry_schedule(fetches(spark, sf))
 
 
+@query("t11_fetch_schedule", FETCH + RUNS.format(key="url", log="fetch_log_v") + """
+select event_id, url, ((run_before - 1) % 2)::int as tried, case when run_before % 2 = 1 then 1.0 else 2.0 end::double as delay,
+  run_before % 2 = 0 as gave_up, prev_us + case when run_before % 2 = 1 then 1000000 else 2000000 end as due_us from runs where run_before > 0""")
+def t11_fetch(spark, sf):
+    return G.fetch_schedule(fetches(spark, sf))
+
+
+AS_OF = FETCH + """, w as (select *,
+  last_value(case when status = 200 then {'us': epoch_us(ts), 'e': coalesce(etag, ''), 'm': coalesce(last_modified, '')} end ignore nulls) over b as c,
+  last_value(etag ignore nulls) over b as last_etag, last_value(last_modified ignore nulls) over b as last_last_modified
+  from fetch_log_v window b as (partition by url order by ts, event_id rows between unbounded preceding and 1 preceding))
+"""
+
+
+@query("t2_freshness_per_request", AS_OF + """
+select event_id, url, coalesce(c.us, -1) as cached_us, coalesce(epoch_us(ts) - c.us < 7200 * 1000000::bigint, false) as fresh from w""")
+def t2_requests(spark, sf):
+    return G.per_request(fetches(spark, sf), G.USED_TTL).select("event_id", "url", F.coalesce("cached_us", F.lit(-1)).alias("cached_us"), "fresh")
+
+
+@query("t3_validators_per_request", AS_OF + "select event_id, url, c.e as etag, c.m as last_modified, last_etag, last_last_modified from w")
+def t3_requests(spark, sf):
+    return G.per_request(fetches(spark, sf)).select("event_id", "url", "etag", "last_modified", "last_etag", "last_last_modified")
+
+
 @query("t6_tumbling_windows", PROBE + """
 select host, epoch_us(time_bucket(interval 1 hour, ts)) as start_us, count(*) as requests, count_if(status >= 500)::bigint as failures,
   sum(case when status >= 500 then 1.0 when status = 429 then 0.5 else 0.0 end)::double as weighted from probe_log_v group by 1, 2""")

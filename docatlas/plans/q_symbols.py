@@ -9,6 +9,7 @@ from docatlas.functions import names as N
 from docatlas.functions import text as T
 from docatlas.operators import candidates as C
 from docatlas.operators import evidence as E
+from docatlas.operators import logs as G
 from docatlas.operators import lookups as L
 from docatlas.operators import symbols as S
 from docatlas.plans.registry import query, values
@@ -394,6 +395,11 @@ def f5(spark, sf):
     return C.url_candidates(with_module(spark, sf)).select("symbol", "rank", "url")
 
 
+@query("t11_start_schedule", CAND_SQL + "select symbol, url, round((rank - 1) * 0.1, 6)::double as start_after from cand")
+def start_schedule(spark, sf):
+    return G.start_schedule(C.url_candidates(with_module(spark, sf))).select("symbol", "url", "start_after")
+
+
 @query("f6_legacy_urls", CAND_SQL + "select symbol, rank, url from cand where symbol in (select symbol from f6)")
 def f6(spark, sf):
     keep = F.lower("symbol").isin("urldownloadtofile", "ftpputfile")
