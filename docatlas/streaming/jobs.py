@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,13 +129,120 @@ def agent_stream(log: DataFrame) -> DataFrame:
         AgentProcessor(), outputStructType=AGENT_STATE, outputMode="Append", timeMode="None")
 
 
+# ------------------------------------------------------------------ T6, T7: what is still open
+
+
+def open_state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+    """The state after the last batch: what an append-mode stream has not put out yet."""
+    reader = spark.read.format("statestore")
+    return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Windows after the watermark, as ``outcome_windows`` gives them.  Counters of one kind have one name in
+    the state, so the counts are told apart by size: no window has more failures than requests."""
+    d = open_state(spark, checkpoint).select("key", F.inline(F.array("value")).alias("a", "b", "c"))
+    numbers = {c: dict(d.dtypes)[c] for c in "abc"}
+    first, second = (c for c in "abc" if numbers[c] == "bigint")
+    weighted = next(c for c in "abc" if numbers[c] == "double")
+    return d.select("key.host", F.col("key.window.start").alias("start"), F.col("key.window.end").alias("end"),
+                    F.greatest(first, second).alias("requests"), F.least(first, second).alias("failures"), F.col(weighted).alias("weighted"))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sessions after the watermark, as ``client_sessions`` gives them."""
+    return open_state(spark, checkpoint).select("key.agent", F.col("value.session_window.start").alias("start"),
+                                                F.col("value.max").alias("last_ts"), F.col("value.count").alias("requests"))
+
+
 # ------------------------------------------------------------------ T8-T10
 
+KEPT_FETCH = "url_key string, event_id long, us long"
+
+
+def first_in_ttl(times: np.ndarray, ttl_us: int, kept: int | None) -> tuple[list[int], int | None]:
+    """Places of the rows that stay among sorted ``times``: the first at least a ttl after the one kept before, and so on."""
+    out, at = [], 0 if kept is None else int(np.searchsorted(times, kept + ttl_us))
+    while at < len(times):
+        out.append(at)
+        kept = int(times[at])
+        at = int(np.searchsorted(times, kept + ttl_us))
+    return out, kept
+
+
+class TtlProcessor(StatefulProcessor):
+    """Keyed state with event-time expiry.
+
+    Rows wait for the watermark, so that they are judged in time order whatever file they came in.
+    Rows within the ttl of the last kept one never wait, so a hot url's list is short; a url that
+    is not seen for a ttl leaves no state."""
+
+    def __init__(self, ttl: int):
+        self.ttl_us = ttl * 1000000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "us long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long")
+
+    def remember(self, rows: list[tuple]) -> None:
+        self.waiting.put(rows) if rows else self.waiting.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        held = list(self.waiting.get())
+        low = min((r[0] for r in held), default=None)
+        for pdf in rows:
+            new = pdf if kept is None else pdf[pdf["us"] >= kept + self.ttl_us]
+            held += zip(new["us"].tolist(), new["event_id"].tolist())
+        if held:
+            self.remember(held)
+            least = min(r[0] for r in held)
+            if low is None or least < low:
+                self.handle.registerTimer(-(-least // 1000))
+        yield pd.DataFrame([], columns=["url_key", "event_id", "us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((r[0], r[1]) for r in self.waiting.get())
+        ripe = [r for r in held if r[0] <= now]
+        chosen, kept = first_in_ttl(np.array([r[0] for r in ripe], dtype=np.int64), self.ttl_us, kept)
+        rest = [r for r in held if r[0] > now and (kept is None or r[0] >= kept + self.ttl_us)]
+        self.remember(rest)
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        if kept is not None and kept + self.ttl_us <= now and not rest:
+            self.kept.clear()
+        elif kept is not None:
+            self.kept.update((kept,))
+            if not rest:
+                self.handle.registerTimer(-(-(kept + self.ttl_us) // 1000))
+        yield pd.DataFrame([(key[0], ripe[i][1], ripe[i][0]) for i in chosen], columns=["url_key", "event_id", "us"])
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_fetches(log: DataFrame, ttl: int = G.CACHE_TTL, delay: str = "10 minutes") -> DataFrame:
+    """url_key, event_id, us of the fetches that stay: per url the first one, then the first at least ``ttl`` seconds
+    after that, and so on; exact for rows at most ``delay`` late, whatever the files and batches.  Ties by event_id."""
+    rows = log.select(N.url_key("url").alias("url_key"), "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.withWatermark("ts", delay).groupBy("url_key").transformWithStateInPandas(
+        TtlProcessor(ttl), outputStructType=KEPT_FETCH, outputMode="Append", timeMode="EventTime")
+
+
+def waiting_fetches(spark: SparkSession, checkpoint: str, ttl: int = G.CACHE_TTL) -> DataFrame:
+    """What stays of the rows that still wait for the watermark, as if no row were to come."""
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "event_id"])
+        kept = pdf["kept"].iloc[0]
+        chosen, _ = first_in_ttl(pdf["us"].to_numpy(), ttl * 1000000, None if pd.isna(kept) else int(kept))
+        return pdf.iloc[chosen][["url_key", "event_id", "us"]]
 
-def dedupe_fetches(log: DataFrame, ttl: int = G.CACHE_TTL) -> DataFrame:
-    """One row per url key inside the ttl.  Nothing expires inside one micro-batch."""
-    return (log.withColumn("url_key", N.url_key("url")).withWatermark("ts", f"{ttl} seconds")
-            .dropDuplicatesWithinWatermark(["url_key"]))
+    rows = open_state(spark, checkpoint, "waiting").select(F.col("key.url_key").alias("url_key"), "list_element.*")
+    kept = open_state(spark, checkpoint, "kept").select(F.col("key.url_key").alias("url_key"), F.col("value.us").alias("kept"))
+    return rows.join(kept, "url_key", "left").groupBy("url_key").applyInPandas(judge, KEPT_FETCH)
 
 
 def enrich_stream(symbols: DataFrame, key_map: DataFrame) -> DataFrame:

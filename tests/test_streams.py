@@ -1,4 +1,6 @@
 """Batch = stream over several small files; late and repeated rows."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,14 +79,50 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert [(r.requests, r.failures) for r in out.collect()] == [(1, 0)]
 
 
-def test_dedupe_expires(spark, tmp_path):
+def in_ttl(rows, ttl):
+    kept, last = [], {}
+    for us, event, url in sorted(rows):
+        if url not in last or us - last[url] >= ttl * 1000000:
+            kept.append(event)
+            last[url] = us
+    return kept
+
+
+def test_dedupe_expires(spark, tmp_path, rocks):
     folder = str(tmp_path / "in")
     for row in [(1, "u", "2024-01-01 00:00:00"), (2, "u", "2024-01-01 00:30:00"), (3, "v", "2024-01-01 03:00:00"),
                 (5, "w", "2024-01-01 03:30:00"), (4, "u", "2024-01-01 06:00:00")]:
         d = spark.createDataFrame([row], "event_id long, url string, t string").withColumn("ts", F.to_timestamp("t"))
         d.coalesce(1).write.mode("append").parquet(folder)
     out = drain(spark, J.dedupe_fetches(streamed(spark, folder), 3600), tmp_path)
-    assert sorted(r.event_id for r in out.collect()) == [1, 3, 4, 5]
+    assert sorted(r.event_id for r in out.unionByName(J.waiting_fetches(spark, str(tmp_path / "cp"), 3600)).collect()) == [1, 3, 4, 5]
+
+
+def test_dedupe_is_exact_over_files(spark, tmp_path, rocks):
+    """Rows within the delay may come in any file; urls come out again a ttl later, not a batch later."""
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 40_000) * 1000 + 0.0, rng.choice("uuuuvw")) for _ in range(400))
+    rows = [(i, u, t / 1000) for i, (t, u) in enumerate(rows)]
+    late = sorted(rows, key=lambda r: r[2] + rng.choice([0, 0, 900]))
+    folder = str(tmp_path / "in")
+    for k in range(6):
+        part = [r for i, r in enumerate(late) if i * 6 // len(late) == k]
+        rng.shuffle(part)
+        d = spark.createDataFrame(part, "event_id long, url string, sec double").withColumn("ts", F.timestamp_seconds("sec"))
+        d.coalesce(1).write.mode("append").parquet(folder)
+    us = {r.event_id: r.us for r in spark.read.parquet(folder).select("event_id", F.unix_micros("ts").alias("us")).collect()}
+    out = drain(spark, J.dedupe_fetches(streamed(spark, folder), 3600, "1000 seconds"), tmp_path)
+    rest = J.waiting_fetches(spark, str(tmp_path / "cp"), 3600)
+    assert sorted(r.event_id for r in out.unionByName(rest).collect()) == sorted(in_ttl([(us[i], i, u) for i, u, _ in rows], 3600))
+    assert out.count() > 20
+
+
+def test_windows_and_sessions_are_whole_with_the_open_ones(spark, log, tmp_path):
+    batch = spark.read.parquet(log)
+    done = drain(spark, G.outcome_windows(streamed(spark, log), "1 hour", delay="10 minutes"), tmp_path / "w")
+    same(done.unionByName(J.open_windows(spark, str(tmp_path / "w" / "cp"))), G.outcome_windows(batch, "1 hour"))
+    done = drain(spark, G.client_sessions(streamed(spark, log), delay="10 minutes"), tmp_path / "s")
+    same(done.unionByName(J.open_sessions(spark, str(tmp_path / "s" / "cp"))), G.client_sessions(batch))
 
 
 def test_ingest_replaces_by_url(spark, tmp_path):
