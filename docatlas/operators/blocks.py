@@ -2,8 +2,10 @@
 
 The page is cut at block tags by ``split`` with look-ahead, so the explode yields
 one row per block and not one per token, and every later step is a window on
-(page_id, pos).  ``html`` is shuffled once by page_id; all windows and the final
-aggregate reuse that partitioning.  ``page_id`` must identify one page.
+(page, pos).  ``html`` is shuffled once by page; all windows and the final
+aggregate reuse that partitioning.  ``page`` is a digest of the columns that are read
+(page_id, html and, if asked for, url): two pages of one page_id stay apart, and rows that
+are equal in all of them are one page.
 
 Structure policy on broken html: inline tags never change depth; p, li, dt, dd,
 tr, td, th end at the next block boundary; container tags count by their open and
@@ -59,18 +61,21 @@ def pieces(html: Column) -> Column:
 
 
 def by_page(pages: DataFrame) -> DataFrame:
-    """The one exchange.  The stage after it is heavy on CPU per byte, so it keeps
-    the configured number of partitions instead of being coalesced by size."""
+    """The one exchange, by ``page``; of equal rows one stays.  The stage after it is heavy on CPU per
+    byte, so it keeps the configured number of partitions instead of being coalesced by size."""
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(n, "page_id")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in pages.columns]
+    d = pages.withColumn("page", F.unhex(F.md5(F.concat_ws("\u0002", *parts)))).repartition(n, "page")
+    copy = F.row_number().over(W.partitionBy("page").orderBy("page"))
+    return d.withColumn("copy", copy).where("copy = 1").drop("copy")
 
 
 def raw_blocks(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per piece: page_id, pos, raw (+ carried page columns)."""
+    """One row per piece: page, page_id, pos, raw (+ carried page columns)."""
     keep = list(carry or [])
     if not keep:
         pages = by_page(pages.select("page_id", "html")).withColumn("html", visible_html(F.col("html")))
-    return (pages.select("page_id", *keep, F.posexplode_outer(pieces(F.col("html"))).alias("pos", "raw"))
+    return (pages.select("page", "page_id", *keep, F.posexplode_outer(pieces(F.col("html"))).alias("pos", "raw"))
             .filter("pos is not null"))
 
 
@@ -92,7 +97,7 @@ def describe(b: DataFrame) -> DataFrame:
 
 
 def page_order():
-    return W.partitionBy("page_id").orderBy("pos")
+    return W.partitionBy("page").orderBy("pos")
 
 
 def with_depth(b: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def with_parent(b: DataFrame) -> DataFrame:
         F.struct(F.col("level").alias("key"), F.lit(False).alias("opener")),
         F.struct(F.col("depth").alias("key"), F.lit(True).alias("opener")),
     )).otherwise(F.array(F.struct(F.col("level").alias("key"), F.lit(False).alias("opener"))))
-    w = W.partitionBy("page_id", "key").orderBy("pos", "opener")
+    w = W.partitionBy("page", "key").orderBy("pos", "opener")
     mine = F.last(F.when(F.col("opener"), F.struct("pos", "tag", "css")), ignorenulls=True).over(w)
     return (b.withColumn("role", F.explode(roles)).select("*", "role.key", "role.opener").drop("role")
             .withColumn("up", mine).filter(~F.col("opener"))
@@ -151,10 +156,10 @@ def with_neighbours(b: DataFrame) -> DataFrame:
 
 
 def joined_text(b: DataFrame, keys: list[str], sep: str) -> DataFrame:
-    """G1: ordered text of a group; groups are bounded by one page."""
+    """G1: ordered text and number of blocks of a group; groups are bounded by one page."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return b.groupBy(*keys).agg(parts.alias("parts")).select(
-        *keys, F.array_join(F.transform("parts", lambda p: p["text"]), sep).alias("text"))
+        *keys, F.array_join(F.transform("parts", lambda p: p["text"]), sep).alias("text"), F.size("parts").cast("long").alias("blocks"))
 
 
 def missing_sections(b: DataFrame) -> DataFrame:
@@ -165,6 +170,6 @@ def missing_sections(b: DataFrame) -> DataFrame:
     wanted = ["parameters", "return", "remarks"]
     flags = [F.coalesce(F.bool_or(F.col("hlevel").between(2, 4) & F.lower("text").rlike(dims.HEADINGS[s])),
                         F.lit(False)).alias(s) for s in wanted]
-    per_page = b.groupBy("page_id").agg(*flags)
+    per_page = b.groupBy("page").agg(F.first("page_id").alias("page_id"), *flags)
     absent = F.filter(F.array(*[F.when(~F.col(s), s) for s in wanted]), lambda x: x.isNotNull())
     return per_page.select("page_id", F.explode(absent).alias("section"))

@@ -1,6 +1,6 @@
 """Facts of a documentation page, all from one pass over its blocks.
 
-Plan shape: html --exchange(page_id)--> blocks --windows--> one aggregate per
+Plan shape: html --exchange(page)--> blocks --windows--> one aggregate per
 page.  No joins: every section is a filtered, page-bounded collection in the same
 aggregate, so asking for one fact prunes the others and asking for all of them
 costs no further shuffle.
@@ -8,6 +8,8 @@ costs no further shuffle.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,21 +113,33 @@ def first_call(text: Column) -> Column:
     return F.when(~F.upper(word).isin("IF", "FOR", "WHILE", "SWITCH"), word)
 
 
-def language_of(css: Column, parent_css: Column, head: Column, content: Column) -> Column:
-    """Class, class of the container, data attribute, then content.  Only the
-    nearest container is asked, not all of them."""
-    def spelled(x: Column) -> Column:
-        return F.when(F.contains(x, F.lit("lang-")), F.replace(x, F.lit("lang-"), F.lit(""))).when(
-            F.contains(x, F.lit("language-")), F.replace(x, F.lit("language-"), F.lit("")))
+def spelled(x: Column) -> Column:
+    return F.when(F.contains(x, F.lit("lang-")), F.replace(x, F.lit("lang-"), F.lit(""))).when(
+        F.contains(x, F.lit("language-")), F.replace(x, F.lit("language-"), F.lit("")))
+
+
+def first_class(css: Column, name) -> Column:
+    """``name`` of the first class that has one; classes are asked in their order."""
+    return F.get(F.filter(F.transform(F.split(F.trim(css), r"\s+"), name), lambda x: x.isNotNull()), F.lit(0))
+
+
+def marked_language(css: Column) -> Column:
+    return F.when(F.contains(css, F.lit("lang")), first_class(css, spelled))
+
 
-    def first_of(c: Column, name) -> Column:
-        return F.get(F.filter(F.transform(F.split(F.trim(c), r"\s+"), name), lambda x: x.isNotNull()), F.lit(0))
+def language_around(pos: Column) -> Column:
+    """The mark of the nearest container that is still open at ``pos``, over all containers.
 
-    def marked(c: Column) -> Column:
-        return first_of(c, spelled)
+    A container that opened at depth d is open as long as no row after it is at a lower depth."""
+    def still_open(m: Column) -> Column:
+        return (m["pos"] < pos) & ~F.exists("depths", lambda r: (r["pos"] > m["pos"]) & (r["pos"] < pos) & (r["depth"] < m["depth"]))
 
-    # classes are asked in their order
-    own = first_of(css, lambda x: F.coalesce(spelled(x), F.when(x.isin(dims.LANGUAGE_CLASSES), x)))
+    return F.when(F.size("marks") > 0, F.try_element_at(F.filter("marks", still_open), F.lit(-1))["mark"])
+
+
+def language_of(css: Column, around: Column, head: Column, content: Column) -> Column:
+    """Class, mark of the containers (nearest first), data attribute, then content."""
+    own = first_class(css, lambda x: F.coalesce(spelled(x), F.when(x.isin(dims.LANGUAGE_CLASSES), x)))
     data = T.extract(head, r"(?i)\sdata-lang(?:uage)?\s*=\s*[\"']?([^\"'\s>]+)")
     guess = F.when(F.lit(False), "c")
     for lang, patterns in dims.LANGUAGE_PATTERNS:
@@ -133,7 +147,7 @@ def language_of(css: Column, parent_css: Column, head: Column, content: Column)
         for p in patterns:
             cond = cond | content.rlike(p)
         guess = guess.when(cond, lang)
-    return F.coalesce(own, marked(parent_css), data, guess.otherwise("c"))
+    return F.coalesce(own, around, data, guess.otherwise("c"))
 
 
 def collect(cond: Column, *fields: Column | str) -> Column:
@@ -141,10 +155,10 @@ def collect(cond: Column, *fields: Column | str) -> Column:
     return F.array_sort(F.collect_list(F.when(cond, F.struct("pos", *fields))))
 
 
-def page_level(pages: DataFrame, need: set[str]) -> DataFrame:
+def page_level(pages: DataFrame, need: set[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Exchange, visible html and the facts of the whole page text (P16, P2c),
     carried through the blocks as short columns."""
-    p = B.by_page(pages.select("page_id", "url", "html"))
+    p = B.by_page(pages.select("page_id", *(["url"] if "url" in need else []), *keep, "html"))
     p = p.withColumn("no_elements", ~F.col("html").rlike(r"<[a-zA-Z]"))
     p = p.withColumn("html", B.visible_html(F.col("html")))
     if not need & {"arch", "text_dll"}:
@@ -158,9 +172,9 @@ def page_level(pages: DataFrame, need: set[str]) -> DataFrame:
     return p.withColumn("arch", F.when(F.size("arch") == 0, F.array(F.lit("x86"), F.lit("x64"))).otherwise(F.col("arch")))
 
 
-def context_blocks(pages: DataFrame, need: set[str] = frozenset()) -> DataFrame:
-    carry = ["url", "no_elements"] + (["arch", "text_dll"] if need & {"arch", "text_dll"} else [])
-    return with_markers(with_context(B.blocks(page_level(pages, need), carry)))
+def context_blocks(pages: DataFrame, need: set[str] = frozenset(), keep: tuple[str, ...] = ()) -> DataFrame:
+    carry = (["url"] if "url" in need else []) + ["no_elements"] + (["arch", "text_dll"] if need & {"arch", "text_dll"} else [])
+    return with_markers(with_context(B.blocks(page_level(pages, need, keep), carry + list(keep))))
 
 
 def best(value: Column, cond: Column | None = None) -> Column:
@@ -174,6 +188,13 @@ def section_rows(s: str) -> Column:
     return collect(inside(s, deep=True), F.col(f"in_{s}")["pos"].alias("kp"), sibling.alias("sib"), "tag", "text")
 
 
+def code_texts() -> Column:
+    """Texts of the code in a block, in order: the whole of ``pre``, else each ``code`` element."""
+    inner = F.regexp_extract_all("inner", F.lit(r"(?is)<code\b[^>]*>(.*?)(?:</code\s*>|\z)"), F.lit(1))
+    return F.when(F.col("tag") == "pre", F.array("text")).when(
+        F.col("has_code") & F.col("inner").contains("{"), F.transform(inner, B.text_of)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def in_focus() -> Column:
     return F.coalesce((F.col("pos") >= F.col("focus.pos")) & ~F.coalesce("left_focus", F.lit(False)), F.lit(False))
 
@@ -223,8 +244,10 @@ AGGREGATES = {
     "table_dll": lambda: best(F.when((F.col("tag") == "table") & F.col("text").rlike("(?i)Library|DLL|Minimum"),
                                      T.extract(F.col("text"), rf"(?i){MODULE}"))),
     "focus_rows": lambda: collect(in_focus(), "text"),
-    "focus_at": lambda: best(F.struct("css", "parent_css", "head"), F.col("pos") == F.col("focus.pos")),
-    "syntax": lambda: best(F.struct("bare", "css", "parent_css", "head"), (F.col("tag") == "pre") & F.col("bare").contains("(")
+    "focus_at": lambda: best(F.struct("css", "pos", "head"), F.col("pos") == F.col("focus.pos")),
+    "marks": lambda: collect((F.col("delta") > 0) & F.col("mark").isNotNull(), "depth", "mark"),
+    "depths": lambda: collect((F.col("delta") != 0) & F.col("any_mark"), "depth"),
+    "syntax": lambda: best(F.struct("bare", "css", "pos", "head"), (F.col("tag") == "pre") & F.col("bare").contains("(")
                            & F.col("bare").contains(")") & inside("syntax", deep=True)),
     "param_kp": lambda: F.min(F.when(F.col("param_name").isNotNull(), F.col("in_parameters.pos"))),
     "param_rows": lambda: collect(F.col("param_name").isNotNull() | F.col("is_desc"), F.col("in_parameters.pos").alias("kp"),
@@ -246,22 +269,27 @@ AGGREGATES = {
                                   & (F.col("parent") == F.col("in_members.parent")), F.col("bare").alias("text")),
     "all_ps": lambda: collect((F.col("tag") == "p") & (F.length("bare") > 0), F.col("bare").alias("text")),
     "code_members": lambda: best(F.col("coded"), F.size("coded") > 0),
-    "definition_code": lambda: best(F.col("text"), (F.col("tag") == "pre") & F.col("text").rlike("typedef|struct")
-                                    & F.col("text").contains("{") & F.col("text").contains("}")),
+    "definition_code": lambda: best(F.get(F.filter("codes", lambda c: c.rlike("typedef|struct") & c.contains("{") & c.contains("}")), F.lit(0))),
 }
 
 
-def raw_facts(pages: DataFrame, need: set[str]) -> DataFrame:
+def raw_facts(pages: DataFrame, need: set[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """The one aggregate per page, limited to the named collections."""
-    b = context_blocks(pages, need)
+    b = context_blocks(pages, need, keep)
     if need & {"value_tables", "return_tables"}:
         b = b.withColumn("rows", F.when(F.col("tag") == "table", V.rows_of(F.col("raw"))))
         b = b.withColumn("entries", F.when(F.col("tag") == "table", V.value_entries(F.col("rows"))).when(
             F.col("tag").isin("ul", "ol"), V.list_entries(F.col("raw"))))
+    if "marks" in need:
+        b = b.withColumn("mark", F.when(F.col("delta") > 0, marked_language(F.col("css"))))
+        b = b.withColumn("any_mark", F.max(F.col("mark").isNotNull()).over(B.page_order()))
+    if need & {"code_members", "definition_code"}:
+        b = b.withColumn("codes", code_texts())
     if "code_members" in need:
-        coded = (F.col("tag") == "pre") & F.col("text").rlike(r"typedef") & F.col("text").contains("{")
-        b = b.withColumn("coded", F.when(coded, V.code_members(F.col("text"))))
-    return b.groupBy("page_id").agg(*[AGGREGATES[n]().alias(n) for n in sorted(need)])
+        found = F.filter(F.transform(F.filter("codes", lambda c: c.contains("typedef") & c.contains("{") & c.contains("}")), V.code_members), lambda m: F.size(m) > 0)
+        b = b.withColumn("coded", F.get(found, F.lit(0)))
+    facts = [AGGREGATES[n]().alias(n) for n in sorted(need)]
+    return b.groupBy("page").agg(*[F.first(c).alias(c) for c in ("page_id", *keep)], *facts).drop("page")
 
 
 # --------------------------------------------------------------- per-page columns
@@ -354,21 +382,27 @@ def parameters_of(d: DataFrame) -> DataFrame:
     return d.withColumn("parameters", F.transform("params", one))
 
 
-def with_description(d: DataFrame) -> DataFrame:
-    """Plain paragraphs (at most 10), then entered note sections, joined and cleaned.
+def with_description(d: DataFrame, paragraphs: int | None = None) -> DataFrame:
+    """Plain paragraphs, then entered note sections, joined and cleaned; all of them, or the first
+    ``paragraphs`` plain ones, and notes only if there are fewer.
 
-    A nested paragraph equal to an earlier part is dropped, a sibling one is kept.
-    Of twenty parts left after dropping repeats among nested ones at least ten
-    survive the second test, so twenty are enough."""
+    A nested paragraph equal to an earlier part is dropped, a sibling one is kept."""
     keys = F.array_distinct(F.transform("plain_parts", lambda p: F.concat(
         F.when(p["sib"], p["pos"].cast("string")).otherwise(""), F.lit(M1), p["text"])))
-    d = d.withColumn("plain", F.transform(F.slice(keys, 1, 20), lambda k: F.struct(
+    if paragraphs is not None:
+        # of twice as many parts, at least that many survive the second test
+        keys = F.slice(keys, 1, 2 * paragraphs)
+    d = d.withColumn("plain", F.transform(keys, lambda k: F.struct(
         (F.substring_index(k, M1, 1) != "").alias("sib"), F.substring_index(k, M1, -1).alias("text"))))
-    kept = F.filter("plain", lambda p, i: p["sib"] | ~F.exists(
-        F.slice("plain", 1, i), lambda q: q["sib"] & (q["text"] == p["text"])))
-    d = d.withColumn("parts", F.slice(F.transform(kept, lambda p: p["text"]), 1, 10))
-    notes = F.transform("note_parts", lambda p: p["text"])
-    d = d.withColumn("parts", F.when(F.size("parts") >= 10, F.col("parts")).otherwise(F.concat("parts", notes)))
+    # texts of the siblings, nested ones blank: the first place of a text tells whether it came before
+    d = d.withColumn("sibling_texts", F.transform("plain", lambda p: F.when(p["sib"], p["text"]).otherwise("")))
+    kept = F.filter("plain", lambda p, i: p["sib"] | ~F.array_position("sibling_texts", p["text"]).between(1, i))
+    parts, notes = F.transform(kept, lambda p: p["text"]), F.transform("note_parts", lambda p: p["text"])
+    if paragraphs is None:
+        d = d.withColumn("parts", F.concat(parts, notes))
+    else:
+        d = d.withColumn("parts", F.slice(parts, 1, paragraphs))
+        d = d.withColumn("parts", F.when(F.size("parts") >= paragraphs, F.col("parts")).otherwise(F.concat("parts", notes)))
     return d.withColumn("description", F.when(F.col("h1_text").isNull(), "").when(
         F.size("parts") > 0, T.clean_text(F.array_join("parts", " "))).otherwise(F.coalesce("first_p", F.lit(""))))
 
@@ -454,9 +488,9 @@ def with_signature(d: DataFrame) -> DataFrame:
     d = d.withColumn("focus_text", T.strip(F.array_join(F.transform("focus_rows", lambda x: x["text"]), "")))
     use = F.col("focus_text").contains("(") & F.col("focus_text").contains(")")
     d = d.withColumn("source", F.when(use, F.struct(
-        F.col("focus_text").alias("bare"), "focus_at.css", "focus_at.parent_css", "focus_at.head")).otherwise(F.col("syntax")))
+        F.col("focus_text").alias("bare"), "focus_at.css", "focus_at.pos", "focus_at.head")).otherwise(F.col("syntax")))
     d = T.with_signature(d, F.col("source.bare"), "signature")
-    language = language_of(F.col("source.css"), F.col("source.parent_css"), F.col("source.head"), F.col("source.bare"))
+    language = language_of(F.col("source.css"), language_around(F.col("source.pos")), F.col("source.head"), F.col("source.bare"))
     return d.withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn(
         "signature_language", F.when(F.col("source").isNull(), "c").otherwise(language))
 
@@ -486,7 +520,7 @@ def with_return(d: DataFrame) -> DataFrame:
 
 # fact -> (collections it needs, step that adds it)
 NAME = {"h1_text", "title_text", "code_call", "url", "no_elements"}
-SIGNATURE = {"focus_rows", "focus_at", "syntax"}
+SIGNATURE = {"focus_rows", "focus_at", "syntax", "marks", "depths"}
 FACTS = {
     "url": ({"url"}, None),
     "name": (NAME, with_name),
@@ -506,18 +540,20 @@ FACTS = {
 }
 
 
-def page_facts(pages: DataFrame, *facts: str) -> DataFrame:
-    """One row per page with the named facts (all when none is named)."""
+def page_facts(pages: DataFrame, *facts: str, paragraphs: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page with the named facts (all when none is named).  ``paragraphs``: at most so
+    many in a description (the original's limit was 10); all without it.  ``keep``: further columns of
+    ``pages`` that go along."""
     facts = facts or tuple(FACTS)
     need = set().union(*(FACTS[f][0] for f in facts))
-    d = raw_facts(pages, need)
+    d = raw_facts(pages, need, keep)
     steps = []
     if need & SIGNATURE:
         steps.append(with_signature)
     for f in facts:
-        step = FACTS[f][1]
+        step = partial(with_description, paragraphs=paragraphs) if f == "description" else FACTS[f][1]
         if step is not None and step not in steps:
             steps.append(step)
     for step in steps:
         d = step(d)
-    return d.select("page_id", *facts)
+    return d.select("page_id", *keep, *facts)

@@ -36,13 +36,14 @@ def as_record(df: DataFrame, given: dict[str, Column], *keys: str) -> DataFrame:
     return df.select(*keys, *cols)
 
 
-def doc_records(pages: DataFrame) -> DataFrame:
-    """One record per page, from one exchange by page_id.
+def doc_records(pages: DataFrame, *keep: str, paragraphs: int | None = None) -> DataFrame:
+    """One record per page, from one exchange.  ``keep``: further columns of ``pages`` that go along;
+    ``paragraphs``: at most so many in a description.
 
     Structures (N1 on the bare title word) get members instead of parameters;
     everything else is a function record."""
     d = P.page_facts(pages, "url", "name", "dll", "architectures", "signature", "signature_language", "return_type",
-                     "parameters", "return_description", "remarks", "description", "members", "definition")
+                     "parameters", "return_description", "remarks", "description", "members", "definition", paragraphs=paragraphs, keep=keep)
     bare = F.regexp_extract("name", r"(?U)^(?:(?:Função|Function|Estrutura|Structure)\s+)?(\S+)", 1)
     d = d.withColumn("is_struct", N.symbol_kind(bare) == "structure")
     d = d.withColumn("kind", F.when(F.col("is_struct"), "struct").otherwise("function"))
@@ -72,7 +73,7 @@ def doc_records(pages: DataFrame) -> DataFrame:
         "symbol_info": info, "kind": F.col("kind"), "surface": N.page_surface("url"), "header": F.lit("unknown"),
         "members": F.when(struct, F.col("members")), "member_count": F.when(struct, F.size("members")),
     }
-    return as_record(d, given, "page_id")
+    return as_record(d, given, "page_id", *keep)
 
 
 def not_found_records(symbols: DataFrame, lang: str = "us") -> DataFrame:

@@ -92,9 +92,7 @@ select page_id, tag, md5(string_agg(text, ' ' order by pos)) as digest, count(*)
 where tag in ('p', 'h1', 'title') group by all""")
 def g1(spark, sf):
     b = B.describe(B.raw_blocks(view(spark, sf, "pages"))).filter(F.col("tag").isin("p", "h1", "title"))
-    text = B.joined_text(b, ["page_id", "tag"], " ").withColumn("digest", F.md5("text")).drop("text")
-    n = b.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("blocks"))
-    return text.join(n, ["page_id", "tag"])
+    return B.joined_text(b, ["page_id", "tag"], " ").withColumn("digest", F.md5("text")).drop("text")
 
 
 STRIP = r"regexp_replace({0}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+\z', '', 'g')"
@@ -122,7 +120,7 @@ def p16_raw(spark, sf):
 , k as (select *, row_number() over (partition by page_id order by i) as rn from p where length(t) > 5
   and not regexp_matches(lower(t), '{"|".join(dims.SKIP_PHRASES)}'))
 select page_id, md5(trim(regexp_replace(string_agg(t, ' ' order by i), '[\s\x{{a0}}]+', ' ', 'g'))) as digest
-from k where rn <= 10 group by page_id""")
+from k group by page_id""")
 def p17_raw(spark, sf):
     d = P.page_facts(view(spark, sf, "pages"), "description")
     return d.select("page_id", F.md5("description").alias("digest"))

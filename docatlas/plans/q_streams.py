@@ -110,6 +110,7 @@ def t9_stream(spark, sf):
 
 @query("t10_stream_ingest", QP.DOC + QP.RECORDS_SQL)
 def t10_stream(spark, sf):
+    """Every page comes once, as the newest of its url."""
     path = J.shared_folder(spark, "t10")
     unique = F.concat("url", F.lit("?id="), F.col("page_id").cast("string"))
     pages = view(spark, sf, "doc_pages_v", stream=True).withColumn("url", unique)

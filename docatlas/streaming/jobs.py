@@ -21,6 +21,7 @@ from docatlas import dims
 from docatlas.functions import names as N
 from docatlas.operators import logs as G
 from docatlas.operators import records as R
+from docatlas.streaming.upserts import Generations
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,28 +44,29 @@ def run_available(out: DataFrame, path: str, checkpoint: str, mode: str = "appen
     query.awaitTermination()
 
 
-def batch_tables(stream: DataFrame, path: str, checkpoint: str, job: Callable[[DataFrame], DataFrame],
-                 available_now: bool = True) -> StreamingQuery:
-    """``job`` per micro-batch, written under its own batch id (a rerun replaces it)."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        job(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+# ------------------------------------------------------------------ T1
+
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def into_table(stream: DataFrame, table: Generations, checkpoint: str, job: Callable[[DataFrame, int], DataFrame],
+               available_now: bool = True) -> StreamingQuery:
+    """``job(batch, id)`` of every micro-batch, upserted; a batch that runs twice is added once."""
+    writer = stream.writeStream.foreachBatch(lambda batch, k: table.add(job(batch, k), k)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-# ------------------------------------------------------------------ T1
+def snapshots(spark: SparkSession, path: str) -> Generations:
+    """The newest body per url as an upserted table."""
+    return Generations(spark, path, lambda d: G.merge_snapshots(d.limit(0), d))
 
 
 def snapshot_stream(log: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Each batch adds its own small snapshot; nothing is rewritten."""
-    return batch_tables(log, path, checkpoint, G.latest_snapshot, available_now)
+    """Each batch adds its own small snapshot; batches are compacted as they gather."""
+    return into_table(log, snapshots(log.sparkSession, path), checkpoint, lambda batch, _: G.latest_snapshot(batch), available_now)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Merge of all batch snapshots (newest wins), combined before the shuffle."""
-    parts = spark.read.parquet(path).drop("batch_id")
-    return G.merge_snapshots(parts.limit(0), parts)
+    """Merge of the live snapshots (newest wins), combined before the shuffle."""
+    return snapshots(spark, path).read()
 
 
 # ------------------------------------------------------------------ T4, T5
@@ -272,14 +274,32 @@ def enrich_stream(symbols: DataFrame, key_map: DataFrame) -> DataFrame:
         N.header_candidates("symbol", "dll").alias("candidates"))
 
 
+def newest_record(records: DataFrame) -> DataFrame:
+    """One record per url key: the newest fetch, of one fetch time the newest batch, then the largest page_id."""
+    cols = [c for c in records.columns if c != "url_key"]
+    newest = F.max_by(F.struct(*cols), F.struct("fetched_at", "batch", "page_id"))
+    return records.groupBy("url_key").agg(newest.alias("r")).select("url_key", "r.*")
+
+
+def page_records(spark: SparkSession, path: str) -> Generations:
+    """The newest record per url as an upserted table."""
+    return Generations(spark, path, newest_record)
+
+
 def ingest_pages(pages: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """New page files -> records per batch, keyed by url."""
-    return batch_tables(pages, path, checkpoint, lambda batch: R.doc_records(batch).withColumn("url_key", N.url_key("url")),
-                        available_now)
+    """New page files (page_id, url, html and, if known, fetched_at) -> the newest record per url.
+
+    Of the pages of one url in a batch only the newest is parsed."""
+    def job(batch: DataFrame, k: int) -> DataFrame:
+        if "fetched_at" not in batch.columns:
+            batch = batch.withColumn("fetched_at", F.lit(None).cast("timestamp"))
+        row = F.struct("fetched_at", "page_id", "html")
+        newest = batch.groupBy("url").agg(F.max(row).alias("n"))
+        return R.doc_records(newest.select("url", "n.*"), "fetched_at").withColumns({"url_key": N.url_key("url"), "batch": F.lit(k).cast("long")})
+
+    return into_table(pages, page_records(pages.sparkSession, path), checkpoint, job, available_now)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Newest record per url key over all batches."""
-    d = spark.read.parquet(path)
-    cols = [c for c in d.columns if c not in ("url_key", "batch_id")]
-    return d.groupBy("url_key").agg(F.max_by(F.struct(*cols), F.struct("batch_id", "page_id")).alias("r")).select("url_key", "r.*")
+    return page_records(spark, path).read().drop("batch")

@@ -242,9 +242,42 @@ def test_description_enters_notes_and_stops(spark):
     assert facts(spark, html, "description").description == "Short description. Inner text. Remark paragraph."
 
 
-def test_description_keeps_ten(spark):
-    html = "<h1>F</h1>" + "".join(f"<p>Paragraph {i} text.</p>" for i in range(15))
-    assert facts(spark, html, "description").description.count("Paragraph") == 10
+def test_description_keeps_all_or_the_first(spark):
+    html = "<h1>F</h1>" + "".join(f"<p>Paragraph {i} text.</p>" for i in range(30)) + "<h2>Note</h2><p>A longer note text.</p>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    whole, ten = P.page_facts(pages, "description").first().description, P.page_facts(pages, "description", paragraphs=10).first().description
+    assert whole.count("Paragraph") == 30 and whole.endswith("note text.")
+    assert ten.count("Paragraph") == 10 and "Paragraph 9 " in ten and "note" not in ten
+
+
+def test_language_of_any_container(spark):
+    def language(html):
+        return facts(spark, html, "signature_language").signature_language
+
+    code = "<pre>BOOL f(DWORD x);</pre>"
+    page = "<h1>F</h1><div class='{}'><div class='{}'><section><h2>Syntax</h2>" + code + "</section></div></div>"
+    assert language(page.format("lang-csharp", "x")) == "csharp"
+    assert language(page.format("lang-csharp", "language-js")) == "js"
+    assert language(page.format("y", "x")) == "cpp"
+    closed = "<h1>F</h1><div class='lang-csharp'><div class='lang-js'>z</div><p>a</p></div><div><h2>Syntax</h2>" + code + "</div>"
+    assert language(closed) == "cpp"
+    assert language(closed.replace("<div><h2>", "<div class='a lang-vb'><div class='lang-js'>q</div><h2>")) == "vb"
+
+
+def test_members_of_code_elements(spark):
+    text = "typedef struct { DWORD cb;\n LPVOID p; } T;".replace("{ ", "{\n")
+    for tag in ("pre", "code", "pre><code"):
+        end = "</code></pre>" if ">" in tag else f"</{tag}>"
+        pages = spark.createDataFrame([(1, "u", f"<h1>T structure</h1><p>Text <code>x</code> and <{tag}>{text}{end}</p>")], "page_id long, url string, html string")
+        d = P.page_facts(pages, "members", "definition").first()
+        assert [m["name"] for m in d.members] == ["cb", "p"] and "typedef" in d.definition
+
+
+def test_pages_of_one_id_stay_apart(spark):
+    rows = [(1, "u1", "<h1>A function (a.h)</h1>"), (1, "u2", "<h1>B function (b.h)</h1>"), (1, "u2", "<h1>B function (b.h)</h1>"), (2, "u1", "<h1>A function (a.h)</h1>"), (None, None, "<h1>C</h1>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.url, r.name) for r in P.page_facts(pages, "url", "name").collect()), key=str)
+    assert got == [(1, "u1", "A (a.h)"), (1, "u2", "B (b.h)"), (2, "u1", "A (a.h)"), (None, None, "C")]
 
 
 def test_remarks_take_nested_text_and_lists(spark):

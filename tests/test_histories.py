@@ -56,5 +56,5 @@ def test_option_values(spark):
 
 def test_class_order(spark):
     d = spark.createDataFrame([("cpp lang-x", ""), ("highlight-lang-y", ""), ("other", "a language-z"), ("other", "")], "css string, up string")
-    got = [r[0] for r in d.select(P.language_of(F.col("css"), F.col("up"), F.lit("<pre>"), F.lit("?"))).collect()]
+    got = [r[0] for r in d.select(P.language_of(F.col("css"), P.marked_language(F.col("up")), F.lit("<pre>"), F.lit("?"))).collect()]
     assert got == ["cpp", "highlight-y", "z", "c"]

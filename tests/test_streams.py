@@ -1,4 +1,5 @@
 """Batch = stream over several small files; late and repeated rows."""
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from docatlas.operators import logs as G
 from docatlas.plans import q_logs as QL
 from docatlas.plans.views import spark_view
 from docatlas.streaming import jobs as J
+from docatlas.streaming.upserts import Generations
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,14 +128,56 @@ def test_windows_and_sessions_are_whole_with_the_open_ones(spark, log, tmp_path)
 
 
 def test_ingest_replaces_by_url(spark, tmp_path):
+    """The newest fetch of a url stays, whatever batch or page_id it came with; one page_id of two urls is two pages."""
     folder = str(tmp_path / "in")
-    for i, title in enumerate(["Old function (a.h)", "New function (a.h)"]):
-        d = spark.createDataFrame([(i, "https://x/en-us/a", f"<h1>{title}</h1>")], "page_id long, url string, html string")
-        d.coalesce(1).write.mode("append").parquet(folder)
+    rows = [[(9, "https://x/en-us/a", "Old", 10.0), (9, "https://x/en-us/b", "Other", 1.0)], [(1, "https://x/en-us/a", "New", 20.0), (0, "https://x/en-us/a", "Older", 5.0)],
+            [(7, "https://x/en-us/a", "Late", 15.0)]]
+    for part in rows:
+        d = spark.createDataFrame([(i, u, f"<h1>{t} function (a.h)</h1>", s) for i, u, t, s in part], "page_id long, url string, html string, sec double")
+        d.withColumn("fetched_at", F.timestamp_seconds("sec")).drop("sec").coalesce(1).write.mode("append").parquet(folder)
     q = J.ingest_pages(streamed(spark, folder), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
-    got = J.read_records(spark, str(tmp_path / "out")).collect()
-    assert len(got) == 1 and got[0].name in ("New (a.h)", "Old (a.h)")
+    got = {r.url[-1]: (r.page_id, r.name) for r in J.read_records(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a": (1, "New (a.h)"), "b": (9, "Other (a.h)")}
+
+
+def files_below(path):
+    return [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+
+
+def test_a_hundred_batches_are_few_files(spark, tmp_path):
+    path, fan = str(tmp_path / "t"), 4
+    table = Generations(spark, path, lambda d: d.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at")), fan)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    most = 0
+    for i in range(100):
+        batch = spark.range(i % 7, i % 7 + 3, 1, 1).select((F.col("id") % 8).alias("k"), F.lit(f"v{i}").alias("v"), F.lit(i).alias("at"))
+        assert table.add(batch, i)
+        assert not table.add(batch, i)
+        live = table.manifest()["live"]
+        most = max(most, len(live))
+        assert set(table.folder.names("data")) >= {n for _, n in live} and len(table.folder.names("manifest")) <= 2
+    want = {}
+    for i in range(100):
+        want.update({k % 8: f"v{i}" for k in range(i % 7, i % 7 + 3)})
+    assert {r.k: r.v for r in table.read().collect()} == want
+    assert most <= (fan - 1) * 4 + 1 and len(files_below(path)) < 60
+
+
+def test_a_rerun_or_dead_batch_changes_nothing(spark, tmp_path):
+    table = Generations(spark, str(tmp_path / "t"), lambda d: d.groupBy("k").agg(F.sum("n").alias("n")))
+    one = spark.createDataFrame([("a", 1)], "k string, n long")
+    table.add(one, 0)
+    before = table.manifest()
+    table.written(one)  # a writer that died before its manifest
+    assert not table.add(one, 0) and table.manifest() == before
+    assert [tuple(r) for r in Generations(spark, table.path, table.merge).read().collect()] == [("a", 1)]
+    table.add(one, 1)
+    assert [tuple(r) for r in table.read().collect()] == [("a", 2)]
+    assert set(table.folder.names("data")) == {n for _, n in table.manifest()["live"]}
+    with pytest.raises(RuntimeError):
+        table.folder.write_once(f"manifest/{table.versions()[-1]}", "{}")
 
 
 @pytest.fixture
