@@ -202,8 +202,8 @@ def module_header_list(dll: Column | str) -> Column:
     return F.coalesce(F.try_element_at(lookup, F.lower(col_of(dll))), F.expr("array()"))
 
 
-def header_candidates(c: Column | str, dll: Column | str) -> Column:
-    """primary -> pattern -> module -> common, first occurrences, at most 8."""
+def header_candidates(c: Column | str, dll: Column | str, most: int | None = None) -> Column:
+    """primary -> pattern -> module -> common, first occurrences; all of them, or the first ``most``."""
     primary = primary_header(dll)
     tiers = F.concat(
         F.when(primary.isNotNull(), F.array(primary)).otherwise(F.expr("array()")),
@@ -211,7 +211,8 @@ def header_candidates(c: Column | str, dll: Column | str) -> Column:
         module_header_list(dll),
         F.expr("array('" + "','".join(dims.COMMON_HEADERS) + "')"),
     )
-    return F.slice(F.array_distinct(tiers), 1, dims.MAX_HEADERS)
+    every = F.array_distinct(tiers)
+    return every if most is None else F.slice(every, 1, most)
 
 
 def win32_url(base: Column, header: Column, name: Column) -> Column:

@@ -6,7 +6,7 @@ need no shuffle; only the distinct-name step before it does."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,15 +43,15 @@ def module_candidates(symbols: DataFrame) -> DataFrame:
         "symbol", "dll", F.col("r.o").alias("ord"), F.col("r.h").alias("header"))
 
 
-def header_candidates(symbols: DataFrame) -> DataFrame:
-    """(symbol, dll, rank, header)."""
-    return symbols.select("symbol", "dll", F.posexplode(N.header_candidates("symbol", "dll")).alias(
+def header_candidates(symbols: DataFrame, most: int | None = None) -> DataFrame:
+    """(symbol, dll, rank, header); ``most``: so many headers a symbol (the original's limit was 8)."""
+    return symbols.select("symbol", "dll", F.posexplode(N.header_candidates("symbol", "dll", most)).alias(
         "rank", "header")).withColumn("rank", F.col("rank") + 1)
 
 
-def url_candidates(symbols: DataFrame, base: str = BASE_US) -> DataFrame:
-    """(symbol, dll, rank, url), ranks from 1 without gaps."""
-    with_headers = symbols.withColumn("headers", N.header_candidates("symbol", "dll"))
+def url_candidates(symbols: DataFrame, base: str = BASE_US, most: int | None = None) -> DataFrame:
+    """(symbol, dll, rank, url), ranks from 1 without gaps; ``most`` headers a symbol."""
+    with_headers = symbols.withColumn("headers", N.header_candidates("symbol", "dll", most))
     return with_headers.select(
         "symbol", "dll",
         F.posexplode(N.candidate_urls("symbol", F.col("headers"), F.lit(base))).alias("rank", "url"),
@@ -66,23 +66,22 @@ def dedupe_ranked(df: DataFrame, keys: list[str], value: str, rank: str = "rank"
     return first.withColumn(rank, F.row_number().over(w))
 
 
-def probe_budget(cands: DataFrame) -> DataFrame:
-    """cands(symbol, dll, rank, url, valid) -> probed rows with their tier.
-    A symbol has a few dozen candidates by construction."""
+def probe_budget(cands: DataFrame, first: int = dims.PROBE_FIRST, total: int | None = None) -> DataFrame:
+    """cands(symbol, dll, rank, url, valid) -> probed rows with their tier: ranks up to ``first`` always, the
+    others (up to ``total``, if given; the original's was 25) when no earlier one is valid and the symbol's module is
+    known or its name is important.  A symbol has a few hundred candidates at most by construction."""
     w = W.partitionBy("symbol", "dll")
-    hit = F.max((F.col("rank") <= dims.PROBE_FIRST) & F.col("valid")).over(w)
+    hit = F.max((F.col("rank") <= first) & F.col("valid")).over(w)
     more = F.col("dll").isNotNull() | N.is_important("symbol")
-    tier = F.when(F.col("rank") <= dims.PROBE_FIRST, 1).when(
-        (F.col("rank") <= dims.PROBE_TOTAL) & ~F.col("tier1_hit") & more, 2)
-    return (cands.filter(F.col("rank") <= dims.PROBE_TOTAL).withColumn("tier1_hit", hit)
-            .withColumn("tier", tier).filter(F.col("tier").isNotNull()))
+    tier = F.when(F.col("rank") <= first, 1).when(~F.col("tier1_hit") & more, 2)
+    asked = cands if total is None else cands.filter(F.col("rank") <= total)
+    return asked.withColumn("tier1_hit", hit).withColumn("tier", tier).filter(F.col("tier").isNotNull())
 
 
-def within_budget(cands: DataFrame) -> DataFrame:
-    """F9 where only the first hit matters: a plain filter, no window."""
-    more = F.col("dll").isNotNull() | N.is_important("attempt" if "attempt" in cands.columns else "symbol")
-    return cands.filter((F.col("rank") <= dims.PROBE_FIRST)
-                        | ((F.col("rank") <= dims.PROBE_TOTAL) & more))
+def within_budget(rank: Column, name: Column | str, dll: Column, first: int = dims.PROBE_FIRST, total: int | None = None) -> Column:
+    """F9 where only the first hit matters: a plain condition, no window."""
+    more = dll.isNotNull() | N.is_important(name)
+    return (rank <= first) | (more if total is None else more & (rank <= total))
 
 
 def first_valid(cands: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,6 +60,22 @@ def header_evidence(symbols: DataFrame, key_map: DataFrame) -> DataFrame:
     return hits.withColumn("e", F.explode(rows)).select("symbol", "dll", "e.*")
 
 
+def best_in_row(hits: Column, symbol: Column | str, dll: Column | str) -> Column:
+    """F3 inside a row: (neg, ord, header) of the best header of ``hits`` (array of ord, header, score), or of the
+    fallback where there is none, with the module bonus; scores add up per header, ``neg`` is the negative sum."""
+    bonus = N.bonus_header(dll)
+    rows = F.concat(F.when(F.size(hits) > 0, hits).otherwise(N.fallback_evidence(symbol)), F.array_compact(F.array(
+        F.when(bonus.isNotNull(), F.struct(F.lit(9).alias("ord"), bonus.alias("header"), F.lit(dims.SCORE_MODULE).alias("score"))))))
+
+    def scored(every: Column) -> Column:
+        return F.transform(every, lambda r: F.struct(
+            (-F.round(F.aggregate(F.filter(every, lambda q: q["header"] == r["header"]), F.lit(0.0), lambda a, q: a + q["score"]), 6)).alias("neg"),
+            r["ord"].alias("ord"), r["header"].alias("header")))
+
+    # one evaluation of the rows: they are named by an array of one element
+    return F.get(F.transform(F.array(rows), lambda every: F.array_min(scored(every))), F.lit(0))
+
+
 def score_headers(evidence: DataFrame) -> DataFrame:
     """Additive score per (symbol, header); combines before the shuffle."""
     return evidence.groupBy("symbol", "dll", "header").agg(

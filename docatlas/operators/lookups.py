@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docatlas import dims
@@ -10,21 +10,28 @@ from docatlas.functions import names as N
 from docatlas.functions.text import any_word
 
 
+def catalog_names(catalog: DataFrame, lang: str = "en-us") -> DataFrame:
+    """(key, wanted, any): the first entry of each lower-case name in the wanted language, and in any."""
+    row = F.struct("ord", "name", "url", "language")
+    return catalog.filter(F.col("type").isin("function", "macro")).groupBy(F.lower("name").alias("key")).agg(
+        F.min_by(row, F.when(F.col("language") == lang, F.col("ord"))).alias("wanted"), F.min_by(row, "ord").alias("any"))
+
+
+def catalog_probes(name: Column) -> list[Column]:
+    """Spellings under which J10 asks the catalog, in order."""
+    low = F.lower(name)
+    return [low, F.concat(low, F.lit("a")), F.concat(low, F.lit("w")), N.aw_base(name)]
+
+
 def lookup_catalog(symbols: DataFrame, catalog: DataFrame, lang: str = "en-us") -> DataFrame:
     """Best catalog row per symbol.
 
     The catalog is first reduced to one row per lower-case name (first entry in
     the wanted language, first in any), so a name with many entries costs one
     row in the join."""
-    ok = F.col("type").isin("function", "macro")
-    row = F.struct("ord", "name", "url", "language")
-    per_name = catalog.filter(ok).groupBy(F.lower("name").alias("key")).agg(
-        F.min_by(row, F.when(F.col("language") == lang, F.col("ord"))).alias("wanted"),
-        F.min_by(row, "ord").alias("any"))
-    low = F.lower("symbol")
-    probes = F.filter(F.array(*[F.struct(F.lit(i).alias("prio"), k.alias("key")) for i, k in enumerate(
-        [low, F.concat(low, F.lit("a")), F.concat(low, F.lit("w")), N.aw_base("symbol")])]),
-        lambda r: r["key"].isNotNull())
+    per_name = catalog_names(catalog, lang)
+    probes = F.filter(F.array(*[F.struct(F.lit(i).alias("prio"), k.alias("key")) for i, k in enumerate(catalog_probes(F.col("symbol")))]),
+                      lambda r: r["key"].isNotNull())
     hit = F.coalesce(F.col("wanted"), F.when(F.col("prio") == 0, F.col("any")))
     return (symbols.select("symbol").distinct().withColumn("p", F.explode(probes))
             .select("symbol", "p.*").join(per_name, "key").withColumn("hit", hit)

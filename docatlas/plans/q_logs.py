@@ -32,6 +32,14 @@ def s7(spark, sf):
         "event_id", "host", "url_key", F.unix_micros("ts").alias("us"), "status", "content_type", "agent", "latency")
 
 
+@query("f1_valid_pages_head", PROBE + """
+select event_id from probe_log_v where status = 200 and contains(lower(content_type), 'html')
+  and regexp_matches(lower(body_head[1:20]), 'function|syntax|parameters|api')""")
+def f1_head(spark, sf):
+    """With a limit in bytes (the rows are ASCII)."""
+    return X.valid_pages(probes(spark, sf), "fast", 20).select("event_id")
+
+
 @query("f1_valid_pages", PROBE + """
 , fast as (select event_id from probe_log_v where status = 200 and contains(lower(content_type), 'html')
   and regexp_matches(lower(body_head), 'function|syntax|parameters|api'))

@@ -38,7 +38,7 @@ def resolve_sql(lang: str) -> str:
   and lower(b.attempt) in ({DENY})))
 , asks as (select symbol as origin, level, attempt, attempt as asked, dll, 2 as step, 0 as off from tries
   union all select symbol, level, attempt, attempt || 'A', dll, 6, 0 from tries where not regexp_matches(attempt, '[AW]\\z')
-  union all select symbol, level, attempt, attempt || 'W', dll, 6, 100 from tries where not regexp_matches(attempt, '[AW]\\z'))
+  union all select symbol, level, attempt, attempt || 'W', dll, 6, 1000000 from tries where not regexp_matches(attempt, '[AW]\\z'))
 , m as (select distinct asked || '|' || coalesce(dll, '') as symbol, lower(asked) as low, dll from asks)
 , d as (select symbol, low from m)
 {evidence}{Q.SCORED_CTE}{Q.HEADERS_CTE}{Q.URLS_CTE.replace(C.BASE_US + "/windows", base + "/windows")}
@@ -56,7 +56,7 @@ def resolve_sql(lang: str) -> str:
   from (select symbol, header as h from rk where rank = 1 and score > 0.3))
 , cs as (
   select origin, level, attempt, step, rank + off as rank, url, true as needs from asks join cand on cand.symbol = asked || '|' || coalesce(dll, '')
-    where rank <= 12 or (rank <= 25 and (dll is not null or regexp_matches(lower(asked), '^(create|get|set|open|close|read|write|nt|zw)')))
+    where rank <= 12 or ((dll is not null or regexp_matches(lower(asked), '^(create|get|set|open|close|read|write|nt|zw)')))
   union all select t.symbol, level, attempt, 1, 1, hit.m[3], true from tries t join hit on hit.symbol = attempt
   union all select t.symbol, level, attempt, 3, 1, url, true from tries t join pred on pred.symbol = attempt || '|' || coalesce(dll, '')
   union all select t.symbol, level, t.attempt, 4, 1, url, true from tries t join cat on cat.attempt = t.attempt
@@ -67,7 +67,7 @@ def resolve_sql(lang: str) -> str:
 , pk as (select url as page_url, min(page_id) as page_id from crawl_v group by url)
 , hits2 as (select tw.*, page_id from tw left join pk using (page_url) where page_id is not null or not needs)
 , best as (select origin as symbol, arg_min((level, step, attempt, page_url, case when needs then page_id end),
-  level * 1000000 + step * 10000 + rank * 10 + twin) as b from hits2 group by origin)
+  (level, step, rank, twin)) as b from hits2 group by origin)
 , resolved as (select d0.symbol, b is not null as found, b[1] as level, b[2] as step, b[3] as attempt, b[4] as url, b[5] as page_id
   from d0 left join best using (symbol))
 """
@@ -111,10 +111,7 @@ def j16(spark, sf):
 select n.sym_id, n.symbol, found as documented from names_v n join resolved r on n.symbol = r.symbol""")
 def j15(spark, sf):
     names = view(spark, sf, "names_v").filter(N.valid_symbol("symbol"))
-    r = resolved(spark, sf)
-    yes = X.documented(names, r).withColumn("documented", F.lit(True))
-    no = names.join(X.not_found(names, r), "symbol", "left_semi").withColumn("documented", F.lit(False))
-    return yes.unionByName(no).select("sym_id", "symbol", "documented")
+    return X.coverage(names, resolved(spark, sf)).select("sym_id", "symbol", "documented")
 
 
 @query("x3_not_found_records", resolve_sql("us") + f"""
@@ -126,9 +123,11 @@ def x3(spark, sf):
 
 
 @query("g4_coverage_report", resolve_sql("us") + f"""
-, k as (select {Q.KIND_SQL.format('symbol')} as kind, coalesce(step, -1) as step, found from resolved)
-select coalesce(kind, '*') as kind, coalesce(step, -9) as step, grouping_id(kind, step)::int as grouping, count(*) as symbols,
-  count_if(found)::bigint as found, round(avg(found::int::double), 6) as rate from k group by rollup (kind, step)""")
+, k as (select {Q.KIND_SQL.format('symbol')} as kind, coalesce(step, -1) as step, case when not found then 'none' when contains(url, 'en-us') then 'en-us' else 'pt-br' end as language,
+  coalesce(nullif(regexp_extract(url, '/(?:api|ddi)/([^/]+)/', 1), ''), 'none') as header, found from resolved)
+select coalesce(kind, '*') as kind, coalesce(step, -9) as step, coalesce(language, '*') as language, coalesce(header, '*') as header,
+  grouping_id(kind, step, language, header)::int as grouping, count(*) as symbols, count_if(found)::bigint as found, round(avg(found::int::double), 6) as rate
+from k group by grouping sets ((kind, step), (kind), (step), (language), (language, header), (header), ())""")
 def g4(spark, sf):
     return X.coverage_report(resolved(spark, sf))
 

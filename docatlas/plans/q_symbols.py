@@ -340,7 +340,7 @@ HEADERS_CTE = RULES_CTE + J9_CTE + f""", tiers as (
   union all select symbol, 2, ord, 0, header from j9 where ord >= 0
   union all select symbol, 3, i, 0, header from d, {values(list(enumerate(dims.COMMON_HEADERS)), 'c(i, header)')}))
 , f4 as (select symbol, header, row_number() over (partition by symbol order by pos) as rank from (
-  select symbol, header, min(tier * 1000000 + a * 1000 + b) as pos from tiers group by all) qualify rank <= 8)
+  select symbol, header, min(tier * 1000000 + a * 1000 + b) as pos from tiers group by all))
 """
 BASE = C.BASE_US
 URLS_CTE = f""", f5 as (
@@ -355,7 +355,7 @@ URLS_CTE = f""", f5 as (
 , f7 as (select symbol, vi * 5 + hi as pos, '{BASE}/windows-hardware/drivers/ddi/' || h || '/nf-' || h || '-' || n as url
   from (select symbol, unnest(v) as n, unnest(range(len(v))) as vi from nat),
        {values([(0, 'ntdef'), (1, 'winternl'), (2, 'ntddk'), (3, 'ntifs'), (4, 'wdm')], 'h(hi, h)')})
-  union all select symbol, 9000 + len(v) - vi, '{BASE}/windows/win32/api/winternl/nf-winternl-' || n
+  union all select symbol, 900000 + len(v) - vi, '{BASE}/windows/win32/api/winternl/nf-winternl-' || n
   from (select symbol, v, unnest(v) as n, unnest(range(len(v))) as vi from nat))
 , cand as (select symbol, url, row_number() over (partition by symbol order by pos) as rank from (
   select symbol, url, min(pos) as pos from (select * from f5 union all select * from f6 union all select * from f7)
@@ -447,12 +447,23 @@ def flagged(spark, sf):
 @query("f9_probe_budget", CAND_SQL + VALID_SQL + """
 , t as (select *, bool_or(valid and rank <= 12) over (partition by symbol) as hit from v)
 select symbol, rank, url, case when rank <= 12 then 1 else 2 end as tier from t
-where rank <= 12 or (rank <= 25 and not hit and (dll is not null or
+where rank <= 12 or (not hit and (dll is not null or
   regexp_matches(lower(symbol), '^(create|get|set|open|close|read|write|nt|zw)')))""")
 def f9(spark, sf):
     return C.probe_budget(flagged(spark, sf)).select("symbol", "rank", "url", "tier")
 
 
+@query("f9_probe_budget_limits", CAND_SQL.replace("min(tier * 1000000 + a * 1000 + b) as pos from tiers group by all))", "min(tier * 1000000 + a * 1000 + b) as pos from tiers group by all) qualify rank <= 8)") + VALID_SQL + """
+, t as (select *, bool_or(valid and rank <= 12) over (partition by symbol) as hit from v)
+select symbol, rank, url, case when rank <= 12 then 1 else 2 end as tier from t
+where rank <= 12 or (rank <= 25 and not hit and (dll is not null or
+  regexp_matches(lower(symbol), '^(create|get|set|open|close|read|write|nt|zw)')))""")
+def f9_limits(spark, sf):
+    """With the original's limits: 8 headers, 25 ranks."""
+    cands = C.url_candidates(with_module(spark, sf), most=8).withColumn("valid", (F.length("url") * 7 + F.col("rank") * 3) % 11 == 0)
+    return C.probe_budget(cands, total=25).select("symbol", "rank", "url", "tier")
+
+
 @query("f10_first_valid", CAND_SQL + VALID_SQL +
        "select symbol, arg_min(url, rank) as url, min(rank) as rank from v where valid group by symbol")
 def f10(spark, sf):

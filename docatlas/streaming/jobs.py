@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from docatlas import dims
 from docatlas.functions import names as N
+from docatlas.operators import evidence as E
 from docatlas.operators import logs as G
 from docatlas.operators import records as R
 from docatlas.streaming.upserts import Generations
@@ -260,14 +261,7 @@ def enrich_stream(symbols: DataFrame, key_map: DataFrame) -> DataFrame:
     hits = F.array_compact(F.array(*[F.when(F.col(f"h_{t}").isNotNull(), F.struct(
         F.lit(i).alias("ord"), F.col(f"h_{t}").alias("header"), F.lit(s).alias("score")))
         for i, (t, _, s) in enumerate(probes)]))
-    bonus = N.bonus_header("dll")
-    rows = F.concat(F.when(F.size(hits) > 0, hits).otherwise(N.fallback_evidence("symbol")), F.array_compact(F.array(
-        F.when(bonus.isNotNull(), F.struct(F.lit(9).alias("ord"), bonus.alias("header"), F.lit(dims.SCORE_MODULE).alias("score"))))))
-    d = d.withColumn("rows", rows)
-    scored = F.transform("rows", lambda r: F.struct(
-        (-F.round(F.aggregate(F.filter("rows", lambda q: q["header"] == r["header"]), F.lit(0.0), lambda a, q: a + q["score"]), 6)).alias("neg"),
-        r["ord"].alias("ord"), r["header"].alias("header")))
-    d = d.withColumn("best", F.array_min(scored))
+    d = d.withColumn("best", E.best_in_row(hits, "symbol", "dll"))
     return d.select(
         *symbols.columns, "dll", N.symbol_kind("symbol").alias("symbol_type"), F.col("best.header").alias("header"),
         (-F.col("best.neg")).alias("score"), N.template_url("symbol", F.col("best.header")).alias("url"),

@@ -169,8 +169,24 @@ def test_valid_page_counts_bytes(spark):
     rows = [(1, 200, "text/HTML", "é" * 1020 + " api"), (2, 200, "text/html", "é" * 1023 + " api"), (3, 200, "x", "function"),
             (4, 404, "text/html", "function"), (5, 200, "text/html", "Routine")]
     log = spark.createDataFrame(rows, "id int, status int, content_type string, body_head string")
-    assert [r.id for r in X.valid_pages(log, "fast").collect()] == [1]
-    assert [r.id for r in X.valid_pages(log, "slow").collect()] == [3, 5]
+    assert [r.id for r in X.valid_pages(log, "fast", 2048).collect()] == [1]
+    assert [r.id for r in X.valid_pages(log, "slow", 1024).collect()] == [3, 5]
+    assert [r.id for r in X.valid_pages(log, "fast").collect()] == [1, 2]
+    assert [r.id for r in X.valid_pages(log, "slow").collect()] == [1, 2, 3, 5]
+
+
+def test_limits_are_arguments(spark):
+    d = spark.createDataFrame([("CreateFileW", "kernel32.dll")], "symbol string, dll string")
+    every = [r.header for r in C.header_candidates(d).orderBy("rank").collect()]
+    assert len(every) > 25 and [r.header for r in C.header_candidates(d, 8).orderBy("rank").collect()] == every[:8]
+    urls = C.url_candidates(d).withColumn("valid", F.lit(False))
+    assert C.probe_budget(urls).count() == urls.count() > 50 and C.probe_budget(urls, total=25).count() == 25
+    page = urls.where("rank = 40").select(F.lit(7).cast("long").alias("page_id"), "url")
+    none = {"search_results": "symbol string, rank long, url string, title string", "key_map": "key string, header string", "function_map": "function string, header string",
+            "catalog": "ord long, name string, type string, header string, url string, language string, description string"}
+    empty = [spark.createDataFrame([], ddl) for ddl in none.values()]
+    assert X.resolve(d.select("symbol"), *empty, page).first().page_id == 7
+    assert not X.resolve(d.select("symbol"), *empty, page, total=25).first().found
 
 
 # ------------------------------------------------------------------ pages

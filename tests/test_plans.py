@@ -2,8 +2,10 @@
 from pyspark.sql import functions as F
 
 from docatlas.operators import candidates as C
+from docatlas.operators import evidence as E
 from docatlas.operators import lookups as L
 from docatlas.operators import pages as P
+from docatlas.operators import resolve as X
 from docatlas.operators import symbols as S
 from docatlas.plans.views import spark_view
 
@@ -58,3 +60,18 @@ def test_first_valid_is_one_aggregate(spark):
     log = spark_view(spark, SF, "search_results_v").withColumn("valid", F.lit(True))
     p = plan(C.first_valid(log))
     assert "min_by" in p and count(p, "Window") == 0
+
+
+def test_resolution_is_one_attempt_table(spark, tmp_path):
+    """Six tables are read once each; one join of lookups, one with the crawl."""
+    views = {"names": spark_view(spark, SF, "names_v").select("symbol"), "results": spark_view(spark, SF, "search_results_v"),
+             "map": E.expand_map(spark_view(spark, SF, "header_map_v")), "functions": spark_view(spark, SF, "function_map_v"),
+             "catalog": spark_view(spark, SF, "catalog_v"), "crawl": spark_view(spark, SF, "crawl_v")}
+    for name, df in views.items():
+        df.write.parquet(str(tmp_path / name))
+    names, results, key_map, functions, catalog, crawl = (spark.read.parquet(str(tmp_path / name)) for name in views)
+    p = plan(X.resolve(names, results, key_map, functions, catalog, crawl))
+    assert count(p, "FileScan") <= 8 and sum("Exchange hashpartitioning" in line for line in p.split("\n")) <= 10
+    assert sum("Join" in line for line in p.split("\n")) <= 2
+    p = plan(X.coverage(names, X.resolve(names, results, key_map, functions, catalog, crawl)))
+    assert count(p, "FileScan") <= 8
