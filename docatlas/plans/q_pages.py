@@ -11,8 +11,11 @@ from docatlas.operators import pages as P
 from docatlas.operators import records as R
 from docatlas.plans.q_symbols import KIND_SQL
 from docatlas.plans.registry import query
+from docatlas.plans.views import Dialect, doc_url
 from docatlas.plans.views import spark_view as view
 from docatlas.plans.views import with_views
+from docatlas.sources import tables as S
+from docatlas.streaming.jobs import shared_folder
 
 # ------------------------------------------------------------------ raw pages
 
@@ -146,7 +149,22 @@ SIGNATURE_SQL = "concat('BOOL ', symbol, '(', chr(10), '  [in] HANDLE hItem,', c
 fact("p1_page_name", "name", "concat(symbol, ' (fileapi.h)')")
 fact("p2_page_module", "dll", "concat(lower(p_type), '.dll')")
 fact("p3_signature", "signature", SIGNATURE_SQL)
-fact("p4_code_language", "signature_language", "'cpp'")
+
+
+#: Language marks on the code, on its container, two containers up, in a data attribute, or none.
+MARKED = {"<pre><code class=\"lang-cpp\">": [("<pre class='lang-csharp'><code>", "csharp"), ("<div class='language-vb'><pre><code>", "vb"),
+          ("<div class='x lang-js'><section class='y'><pre><code>", "js"), ("<pre data-lang='go'><code>", "go"), ("<pre><code>", "cpp")]}
+
+
+@query("p4_code_language", DOC + "select sym_id as page_id, ['csharp', 'vb', 'js', 'go', 'cpp'][sym_id % 5 + 1] as signature_language from symbols_v")
+def p4(spark, sf):
+    (plain, ways), = MARKED.items()
+    html = F.col("html")
+    for k, (way, _) in enumerate(ways):
+        html = F.when(F.col("page_id") % 5 == k, F.replace(F.col("html"), F.lit(plain), F.lit(way))).otherwise(html)
+    return P.page_facts(docs(spark, sf).withColumn("html", html), "signature_language")
+
+
 fact("p15_remarks", "remarks", "case when sym_id % 5 = 0 then '' else concat('Remark about ', p_name, ' usage.') end")
 fact("p17_description", "description", "concat('Handles the ', p_name, ' object.')")
 
@@ -257,9 +275,11 @@ def p14(spark, sf):
     return P.page_facts(return_pages(spark, sf), "return_description", "return_type")
 
 
-@query("p16_architectures", DOC + "select sym_id as page_id, 'x86,x64' as arch from symbols_v")
+@query("p16_architectures", DOC + "select sym_id as page_id, ['x86,x64', 'x64', 'x86', 'x64,x86'][sym_id % 4 + 1] as arch from symbols_v")
 def p16(spark, sf):
-    return P.page_facts(docs(spark, sf), "architectures").select("page_id", F.array_join("architectures", ",").alias("arch"))
+    note = F.expr("case page_id % 4 when 0 then '' when 1 then ' on 64-bit' when 2 then ' on the desktop' else ' on X64 and 32-bit' end")
+    d = docs(spark, sf).withColumn("html", F.replace(F.col("html"), F.lit(" item in use."), F.concat(F.lit(" item in use"), note, F.lit("."))))
+    return P.page_facts(d, "architectures").select("page_id", F.array_join("architectures", ",").alias("arch"))
 
 
 MEMBERS_SQL = """
@@ -352,18 +372,58 @@ def f13(spark, sf):
         "page_id", "pos", F.length("text").alias("n"))
 
 
-@query("s10_functions", DOC + RECORDS_SQL.replace("select page_id, url,", "select page_id,", 1).split(",\n  concat('Handles")[0] +
-       " from doc_pages_v join symbols_v on page_id = sym_id")
-def s10(spark, sf):
-    keep = [c for c in FLAT if c not in ("url", "description", "documentation_found", "documentation_language",
-                                         "symbol_type", "kind", "surface")]
-    return R.functions_table(R.doc_records(docs(spark, sf))).select(*keep)
+MARKDOWN_SQL = f"""concat('# ', symbol, ' (fileapi.h)', n, n, '## Basic Information', n, n, '- **DLL**: ', lower(p_type), '.dll', n,
+'- **Calling Convention**: __stdcall', n, '- **Parameter Count**: 2', n, '- **Architectures**: x86, x64', n,
+'- **Return Type**: BOOL', n, n, '## Signature', n, n, '```cpp', n, {SIGNATURE_SQL}, n, '```', n, n, '## Description', n, n,
+'Handles the ', p_name, ' object.', n, n, '## Parameters', n, n, '### hItem', n, 'A handle to the ', p_name, ' item in use.', n, n,
+'### dwDesiredAccess', n, 'The access mode requested for the item.', n, n, '#### Valores', n, n, '| Value | Meaning |', n,
+'|-------|---------|', n, '| `', upper(p_type), '_ACCESS (0x', cast(p_size as varchar), ')` | Access of ', p_brand, ' |', n, n, n,
+'## Return Value', n, n, '- Nonzero when the call succeeds.',
+case when sym_id % 5 = 0 then '' else concat(n, '## Remarks', n, n, 'Remark about ', p_name, ' usage.') end)"""
+
 
+@query("s9_markdown", DOC + f"select case when contains(url, 'en-us') then 'en-us' else 'pt-br' end as language, body from (select {doc_url(Dialect(False))} as url, {MARKDOWN_SQL} as body from (select *, chr(10) as n from symbols_v))")
+def s9(spark, sf):
+    """Written as text and read back whole."""
+    path = shared_folder(spark, "s9")
+    S.write_markdown(R.doc_records(docs(spark, sf)), path, "us", show_remarks=True)
+    return S.read_markdown(spark, path)
 
-@query("g2_record_counts", DOC + """
-select sym_id as page_id, 2 as parameter_count, 0 as member_count, 1 as value_tables from symbols_v""")
+
+@query("s10_tables", with_views("doc_pages_v", "struct_pages_v") + f"""
+select 'functions' as kind, sym_id as page_id, 0 as a, 0 as b, concat(symbol, ' (fileapi.h)') as name, '2 ' || lower(p_type) || '.dll' as text from symbols_v
+union all select 'functions', sym_id + 100000000, 0, 0, upper(symbol) || '_INFO structure (fileapi.h)', '0 kernel32.dll' from symbols_v
+union all select 'parameters', sym_id, i, 0, case i when 0 then 'hItem' else 'dwDesiredAccess' end, case i when 0 then 'HANDLE' else 'DWORD' end from symbols_v, range(2) r(i)
+union all select 'param_values', sym_id, 1, 0, concat(upper(p_type), '_ACCESS (0x', p_size, ')'), concat('Access of ', p_brand) from symbols_v
+union all select 'members', page_id + 100000000, member_no, 0, name, description from ({ALL_MEMBERS_SQL})""")
+def s10(spark, sf):
+    """The four tables of functions and structures, written together and read back."""
+    path = shared_folder(spark, "s10")
+    other = structs(spark, sf).withColumn("page_id", F.col("page_id") + 100000000)
+    S.write_tables(R.doc_records(docs(spark, sf).unionByName(other)), path)
+    t = S.read_tables(spark, path)
+    zero = F.lit(0)
+
+    def rows(kind, a, b, name, text):
+        return t[kind].select(F.lit(kind).alias("kind"), "page_id", a.alias("a"), b.alias("b"), name.alias("name"), text.alias("text"))
+
+    c = F.col
+    return (rows("functions", zero, zero, c("name"), F.concat_ws(" ", c("parameter_count").cast("string"), "dll"))
+            .unionByName(rows("parameters", c("param_no"), zero, c("name"), c("type")))
+            .unionByName(rows("param_values", c("param_no"), c("entry_no"), c("value"), c("meaning")))
+            .unionByName(rows("members", c("member_no"), zero, c("name"), c("description"))))
+
+
+@query("g2_record_counts", with_views("doc_pages_v", "struct_pages_v") + """
+select sym_id as page_id, 2 + (sym_id % 3)::int as parameter_count, 0 as member_count, 1 as value_tables from symbols_v
+union all select sym_id + 100000000, 0, case when sym_id % 2 = 0 then 2 else 3 end, 0 from symbols_v""")
 def g2(spark, sf):
-    return R.record_counts(R.doc_records(docs(spark, sf)))
+    """Functions with two to four parameters, structures with two or three members."""
+    more = F.expr("repeat('<p><code>[in] nMore</code></p><p>Another parameter of the call here.</p>', cast(page_id % 3 as int))")
+    start = F.lit("<p><code>[in] hItem</code></p>")
+    functions = docs(spark, sf).withColumn("html", F.replace(F.col("html"), start, F.concat(more, start)))
+    other = structs(spark, sf).withColumn("page_id", F.col("page_id") + 100000000)
+    return R.record_counts(R.doc_records(functions.unionByName(other)))
 
 
 @query("g9_constant_dictionary", DOC + """
@@ -377,16 +437,6 @@ def g9(spark, sf):
     return R.constant_dictionary(R.param_values_table(P.page_facts(docs(spark, sf), "parameters")))
 
 
-MARKDOWN_SQL = f"""concat('# ', symbol, ' (fileapi.h)', n, n, '## Basic Information', n, n, '- **DLL**: ', lower(p_type), '.dll', n,
-'- **Calling Convention**: __stdcall', n, '- **Parameter Count**: 2', n, '- **Architectures**: x86, x64', n,
-'- **Return Type**: BOOL', n, n, '## Signature', n, n, '```cpp', n, {SIGNATURE_SQL}, n, '```', n, n, '## Description', n, n,
-'Handles the ', p_name, ' object.', n, n, '## Parameters', n, n, '### hItem', n, 'A handle to the ', p_name, ' item in use.', n, n,
-'### dwDesiredAccess', n, 'The access mode requested for the item.', n, n, '#### Valores', n, n, '| Value | Meaning |', n,
-'|-------|---------|', n, '| `', upper(p_type), '_ACCESS (0x', cast(p_size as varchar), ')` | Access of ', p_brand, ' |', n, n, n,
-'## Return Value', n, n, '- Nonzero when the call succeeds.',
-case when sym_id % 5 = 0 then '' else concat(n, '## Remarks', n, n, 'Remark about ', p_name, ' usage.') end)"""
-
-
 @query("m1_markdown", DOC + f"select sym_id as page_id, {MARKDOWN_SQL} as body from (select *, chr(10) as n from symbols_v)")
 def m1(spark, sf):
     return R.doc_records(docs(spark, sf)).select("page_id", R.markdown_body("us", show_remarks=True).alias("body"))

@@ -18,42 +18,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAN = 8
-
-
-class Folder:
-    """The few file operations that a manifest needs, by Spark's own file systems."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path
-        root = self.jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+from docatlas.sources.folders import Folder
 
-    def names(self, name: str) -> list[str]:
-        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at(name))) if self.fs.exists(self.at(name)) else []
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.at(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write_once(self, name: str, text: str) -> None:
-        """The file appears whole under its name, or not at all; an error if the name is taken."""
-        draft = f"{name}.{uuid.uuid4().hex}.draft"
-        stream = self.fs.create(self.at(draft), False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.fs.exists(self.at(name)) or not self.fs.rename(self.at(draft), self.at(name)):
-            self.fs.delete(self.at(draft), False)
-            raise RuntimeError(f"{self.path}/{name} was written by another writer")
-
-    def drop(self, name: str) -> None:
-        self.fs.delete(self.at(name), True)
+FAN = 8
 
 
 class Generations:
