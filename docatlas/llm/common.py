@@ -53,10 +53,15 @@ def share(seed: str, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def metadata(docs: DataFrame) -> Column:
+    """The file metadata of ``docs``, also where a column of its own has that name; an error if it is no plain file scan."""
+    return docs.metadataColumn("_metadata") if "_metadata" in docs.columns else F.col("_metadata")
+
+
 def filed(docs: DataFrame) -> DataFrame:
     """``docs`` if its rows have a place in a file; else a stored copy, whose rows have."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(metadata(docs)["row_index"])
         return docs
     except AnalysisException:
         return stored(docs, "rows")
@@ -64,7 +69,20 @@ def filed(docs: DataFrame) -> DataFrame:
 
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with the place of each row in its file (_file, _row).  What is not a plain file scan is stored first."""
-    return filed(docs).withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    d = filed(docs)
+    return d.withColumns({"_file": metadata(d)["file_path"], "_row": metadata(d)["row_index"]})
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _file, _row and all columns of ``docs`` in one struct ``_user``, so that none can clash with an
+    operator's own; ``unboxed`` takes them out again."""
+    d = filed(docs)
+    every = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in d.columns])
+    return d.select("doc_id", "text", metadata(d)["file_path"].alias("_file"), metadata(d)["row_index"].alias("_row"), every.alias("_user"))
+
+
+def unboxed(d: DataFrame) -> DataFrame:
+    return d.select("_user.*")
 
 
 def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:

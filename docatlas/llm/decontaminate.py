@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docatlas.llm.common import located, may_be_in, stored, without
+from docatlas.llm.common import boxed, located, may_be_in, stored, unboxed, without
 
 #: Fixed masks; 1 = position is compared.
 MASKS = ("11101011", "110110011", "1011010101")
@@ -112,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, all columns kept."""
-    d = located(docs)
+    """The rows of ``docs`` that overlap with no item, all columns kept, whatever their names."""
+    d = boxed(docs)
     gone = stored(overlaps(d, benchmark, **options).select("_place", "_row").distinct(), "contaminated")
-    return without(d.withColumn("_place", F.xxhash64("_file")), gone, ["_place", "_row"]).select(*docs.columns)
+    return unboxed(without(d.select(F.xxhash64("_file").alias("_place"), "_row", "_user"), gone, ["_place", "_row"]))

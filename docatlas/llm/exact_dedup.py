@@ -11,8 +11,8 @@ operations are used.
 * Equal texts are identical after no change; null counts as empty.
 * Among equal texts the largest doc_id stays (null is smallest); of rows that repeat the
   same doc_id and text, the last in (file, row) order.  Exactly one row stays.
-* Empty tables give empty results; other columns are carried by ``kept_rows`` only and
-  must not be named ``_file``, ``_row``, ``_digest`` or ``_near``.
+* Empty tables give empty results; other columns are carried by ``kept_rows`` only, and
+  may have any names.
 * Hot groups: the state combines before the shuffle; joins on the digest have one row
   per digest on one side, so that adaptive execution can split a hot one.
 """
@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docatlas.llm.common import BITS, located, may_be_in, shared_folder, stored
+from docatlas.llm.common import BITS, boxed, located, may_be_in, shared_folder, stored, unboxed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: While the stream starts: state on disk; no pre-allocated files, since a store is small wherever there are many of them.
@@ -67,9 +67,9 @@ class Dedup:
     """Decisions over the parquet table at ``path``, read by the stream and, for comparisons, by batch plans."""
 
     def __init__(self, spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha, bytes_per_batch: int = 64 << 30, bits: int = BITS):
+        path = path.rstrip("/")
         docs = spark.read.parquet(path)
-        self.docs = docs
-        self.rows = prepared(located(docs), digest)
+        self.rows = prepared(boxed(docs), digest)
         source = spark.readStream.schema(docs.select("doc_id", "text").schema).option("maxBytesPerTrigger", str(bytes_per_batch))
         pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, since a stream's plain path cannot be a single file
         stream = located(source.parquet(pattern)).select("doc_id", "text", "_file", "_row")
@@ -112,12 +112,12 @@ class Dedup:
         return single.unionByName(groups)
 
     def kept_rows(self) -> DataFrame:
-        """The rows that stay, with the columns of ``docs``.  Only rows that a hit may concern are shuffled."""
-        columns = self.docs.columns
+        """The rows that stay, with all their columns.  Only rows that a hit may concern are shuffled."""
         kept = (F.col("_file") == F.col("keep._file")) & (F.col("_row") == F.col("keep._row"))
         gone = self.decisions().where(~kept).select("_file", "_row")
-        near = self.flagged.where("_near").join(gone, ["_file", "_row"], "left_anti").select(*columns)
-        return self.flagged.where("not _near").select(*columns).unionByName(near)
+        rows = self.flagged.select("_file", "_row", "_near", "_user")
+        near = rows.where("_near").join(gone, ["_file", "_row"], "left_anti").select("_user")
+        return unboxed(rows.where("not _near").select("_user").unionByName(near))
 
 
 def dedup_report(spark: SparkSession, path: str, **options) -> DataFrame:

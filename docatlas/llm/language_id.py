@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docatlas.llm.common import remainder, share, vocabulary_file
+from docatlas.llm.common import boxed, remainder, share, stored, unboxed, vocabulary_file, without
 
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
@@ -301,8 +301,11 @@ def identify(docs: DataFrame, pieces_path: str | None = None, rows_per_lang: int
 
 
 def accepted(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` that have a language: some letter, and a posterior of at least ``least``."""
+    """The rows of ``docs`` that have a language: some letter, and a posterior of at least ``least``; all columns are kept,
+    whatever their names.  Only texts and places go through Python; rows that are not accepted are dropped by place."""
     fold = remainder(4)
     model = train(docs.where((fold >= 0) & (fold != 2)), **options)
-    judged = predict(docs, model, docs.columns, ("lang_pred_", "score_"))
-    return judged.where((F.col("lang_pred_") != "und") & (F.col("score_") >= least)).select(*docs.columns)
+    rows = boxed(docs).withColumn("_place", F.xxhash64("_file"))
+    judged = predict(rows, model, ["_place", "_row"])
+    gone = stored(judged.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("_place", "_row"), "not-accepted")
+    return unboxed(without(rows.select("_place", "_row", "_user"), gone, ["_place", "_row"]))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docatlas.llm.common import filed, located, may_be_in, stored, without
+from docatlas.llm.common import boxed, filed, may_be_in, stored, unboxed, without
 from docatlas.llm.components import components, stars
 from docatlas.llm.packed import Layout, ask, chunked, narrow, pack, runs, unpack, widen
 
@@ -431,13 +431,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component."""
+    """``docs`` with one row of each component; all columns are kept, whatever their names."""
     docs = filed(docs)
     join = Join(docs)
     d = stored(join.labelled().where("root is not null"), "labelled")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "chunk", "row")
     stay = d.groupBy("root").agg(F.min(key).alias("stay"))
     gone = d.join(stay, "root").where(key != F.col("stay")).select("chunk", "row")
-    rows = located(docs)
-    rows = rows.withColumns({"chunk_": F.xxhash64("_file", F.floor(F.col("_row") / join.layout.chunk_rows)), "row_": F.col("_row")})
-    return without(rows, gone.select(F.col("chunk").alias("chunk_"), F.col("row").alias("row_")), ["chunk_", "row_"]).select(*docs.columns)
+    rows = boxed(docs)
+    rows = rows.select(F.xxhash64("_file", F.floor(F.col("_row") / join.layout.chunk_rows)).alias("chunk"), F.col("_row").alias("row"), "_user")
+    return unboxed(without(rows, gone, ["chunk", "row"]))

@@ -68,7 +68,7 @@ class Layout:
 
 def chunked(docs: DataFrame, layout: Layout) -> DataFrame:
     """chunk, row, doc_id, text (null: empty) of every row."""
-    d = located(docs.select("doc_id", "text"))
+    d = located(docs).select("doc_id", "text", "_file", "_row")
     chunk = F.xxhash64("_file", F.floor(F.col("_row") / layout.chunk_rows))
     return d.select(chunk.alias("chunk"), F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
