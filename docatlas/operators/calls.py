@@ -10,7 +10,6 @@ from docatlas.functions.names import col_of
 from docatlas.operators.lookups import resolve_calls
 
 INT = r"(?i)^\s*[+-]?(0|0(_?0)*|[1-9](_?[0-9])*|0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+)\s*\z"
-DIGITS = "0123456789abcdef"
 
 
 def split_specs(calls: DataFrame) -> DataFrame:
@@ -53,51 +52,72 @@ def normalise_module(calls: DataFrame) -> DataFrame:
     return calls.withColumn("module", module_name("module_spec"))
 
 
-def integer_value(token: Column) -> Column:
-    """Integer literal -> DECIMAL(38,0), null when it is none.  Decimal, 0x, 0o and 0b,
-    signs, ``_`` between digits and blanks around are accepted, leading zeros are not."""
-    t = F.lower(F.replace(F.trim(token), F.lit("_"), F.lit("")))
-    negative = t.startswith("-")
-    body = F.regexp_replace(t, r"^[+-]", "")
+#: Base -> (digits of one chunk, digits that a plain 64-bit conversion holds).  A chunk is below 10^9.
+CHUNKS = {16: (7, 15), 8: (9, 20), 2: (28, 63)}
+LIMB = 1000000000
+
+
+def decimal_text(digits: Column, base: int) -> Column:
+    """Decimal digits of a number of any length in ``base`` (16, 8, 2), by limbs of nine decimal digits:
+    every chunk multiplies the limbs, lowest first, and adds itself, with a carry from limb to limb."""
+    width, plain = CHUNKS[base]
+    factor = F.lit(base ** width).cast("long")
+    padded = F.lpad(digits, (F.ceil(F.length(digits) / width) * width).cast("int"), F.lit("0"))
+    chunks = F.transform(F.sequence(F.lit(1), F.length(padded), F.lit(width)), lambda i: F.conv(F.substring(padded, i, F.lit(width)), base, 10).cast("long"))
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def step(done: Column, limb: Column) -> Column:
+        value = limb * factor + done["carry"]
+        return F.struct(F.concat(done["limbs"], F.array(value % LIMB)).alias("limbs"), F.call_function("div", value, F.lit(LIMB)).alias("carry"))
+
+    def add(limbs: Column, chunk: Column) -> Column:
+        first = F.struct(none.alias("limbs"), chunk.alias("carry"))
+        return F.aggregate(limbs, first, step, lambda d: F.when(d["carry"] > 0, F.concat(d["limbs"], F.array(d["carry"]))).otherwise(d["limbs"]))
+
+    limbs = F.aggregate(chunks, none, add)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    whole = F.regexp_replace(text, "^0+(?=[0-9])", "")
+    return F.when(F.length(digits) <= plain, F.conv(digits, base, 10)).otherwise(F.when(whole == "", "0").otherwise(whole))
+
+
+def magnitude(token: Column) -> Column:
+    """Integer literal -> the decimal digits of its absolute value, of any length; null when it is none.  Decimal, 0x, 0o
+    and 0b, signs, ``_`` between digits and blanks around are accepted, leading zeros are not."""
+    body = F.regexp_replace(F.lower(F.trim(token)), r"^[+-]|_", "")
     kind = F.substring(body, 1, 2)
-    base = F.when(kind == "0x", 16).when(kind == "0o", 8).when(kind == "0b", 2)
-    digits = F.substring(body, F.lit(3), F.length(body))
-    based = F.aggregate(F.split(digits, ""), F.lit(0).cast("decimal(38,0)"), lambda acc, c: (
-        acc * base + (F.instr(F.lit(DIGITS), c) - 1)).cast("decimal(38,0)"))
-    small = [(16, 15), (8, 20), (2, 63)]
-    quick = F.when(F.lit(False), F.lit(None).cast("decimal(38,0)"))
-    for b, most in small:
-        quick = quick.when((base == b) & (F.length(digits) <= most), F.conv(digits, b, 10).try_cast("decimal(38,0)"))
-    short = F.length(digits) <= F.when(base == 16, 31).when(base == 8, 42).otherwise(126)
-    value = F.when(base.isNotNull(), F.coalesce(quick, F.when(short, based))).otherwise(body.try_cast("decimal(38,0)"))
-    return F.when(token.rlike(INT), F.when(negative, -value).otherwise(value))
+    rest = F.substring(body, F.lit(3), F.length(body))
+    plain = F.when(body.startswith("0"), F.lit("0")).otherwise(body)
+    value = F.when(kind == "0x", decimal_text(rest, 16)).when(kind == "0o", decimal_text(rest, 8)).when(kind == "0b", decimal_text(rest, 2)).otherwise(plain)
+    return F.when(token.rlike(INT), value)
 
 
 def typed(df: DataFrame, col: str) -> DataFrame:
-    """Add kind, width, number, text, error of an argument token.  Staged, so the
-    number is parsed once per token."""
+    """Add kind, width, number, digits, text, error of an argument token.  Staged, so the
+    number is parsed once per token.  ``digits`` has integers of any length; ``number`` is null beyond 38 digits."""
     token = F.col(col)
     is_buffer, is_ansi = token.startswith("$b:"), token.startswith("$s:")
     quoted = (F.length(token) >= 2) & token.startswith('"') & token.endswith('"')
     digits = F.when(is_buffer, F.substring(token, F.lit(4), F.length(token))).when(~is_ansi & ~quoted, token)
-    d = df.withColumn("_n", integer_value(digits))
-    n = F.col("_n")
-    error = F.when(is_buffer, F.when(n.isNull(), "invalid buffer size").when(n <= 0, "buffer size not positive")
-                   .when(n > dims.MAX_BUFFER, "buffer size too large"))
+    d = df.withColumn("_size", magnitude(digits))
+    d = d.withColumn("_digits", F.when((F.col("_size") != "0") & F.ltrim(digits).startswith("-"), F.concat(F.lit("-"), "_size")).otherwise(F.col("_size")))
+    d = d.withColumn("_n", F.col("_digits").try_cast("decimal(38,0)"))
+    n, below = F.col("_n"), F.startswith(F.col("_digits"), F.lit("-"))
+    error = F.when(is_buffer, F.when(F.col("_digits").isNull(), "invalid buffer size").when(below | (F.col("_digits") == "0"), "buffer size not positive")
+                   .when(n.isNull() | (n > dims.MAX_BUFFER), "buffer size too large"))
     kind = (F.when(is_buffer, F.when(error.isNull(), "buffer").otherwise("error")).when(is_ansi, "str")
-            .when(n.isNotNull(), "int").otherwise("wstr"))
-    small = (n >= F.lit(-2147483648)) & (n < F.lit(2147483648))
-    width = F.when(small, F.when(n < 0, "i32").otherwise("u32")).otherwise(F.when(n < 0, "i64").otherwise("u64"))
+            .when(F.col("_digits").isNotNull(), "int").otherwise("wstr"))
+    small = F.coalesce((n >= F.lit(-2147483648)) & (n < F.lit(2147483648)), F.lit(False))
+    width = F.when(small, F.when(below, "i32").otherwise("u32")).otherwise(F.when(below, "i64").otherwise("u64"))
     text = F.when(is_ansi, F.substring(token, F.lit(4), F.length(token))).when(
         quoted, F.substring(token, F.lit(2), F.length(token) - 2))
     d = d.withColumns({"kind": kind, "error": error})
     return d.withColumns({
-        "width": F.when(F.col("kind") == "int", width), "number": F.when(F.col("error").isNull(), n),
-        "text": F.when(F.col("kind").isin("str", "wstr"), F.coalesce(text, token))}).drop("_n")
+        "width": F.when(F.col("kind") == "int", width), "number": F.when(F.col("error").isNull(), n), "digits": F.when(F.col("error").isNull(), F.col("_digits")),
+        "text": F.when(F.col("kind").isin("str", "wstr"), F.coalesce(text, token))}).drop("_n", "_digits", "_size")
 
 
 def type_arguments(calls: DataFrame) -> DataFrame:
-    """One row per argument; the number of a 64-bit value keeps all digits."""
+    """One row per argument; ``digits`` keeps every digit of an integer."""
     keys = [c for c in calls.columns if c != "arguments"]
     # the outer form: a plain explode would parse every call twice, once to filter by size
     return typed(calls.select(*keys, F.posexplode_outer("arguments").alias("arg_no", "raw")).where("raw is not null"), "raw")
@@ -131,3 +151,28 @@ def call_profile(calls: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("calls"), F.count_distinct("l_orderkey").alias("sources"),
         F.round(F.avg("elapsed"), 6).alias("mean"), F.max("elapsed").alias("longest"),
         F.percentile_approx("elapsed", 0.5).alias("median"))
+
+
+# ------------------------------------------------------------------ mergeable profiles
+
+#: Distinct counts: 2^LG_COUNT registers, relative standard error about 1.04 / sqrt(2^LG_COUNT).  Quantiles: rank error about 1.7 / K.
+LG_COUNT, K = 14, 400
+
+
+def profile_sketches(calls: DataFrame, *more: str) -> DataFrame:
+    """G10 as sketches per module and function (and ``more`` columns, such as the day): calls, sources and elapsed
+    are binary values of bounded size that merge in any order, over partitions, batches and days."""
+    return calls.groupBy("module", "function", *more).agg(
+        F.count(F.lit(1)).alias("calls"), F.hll_sketch_agg("l_orderkey", F.lit(LG_COUNT)).alias("sources"), F.kll_sketch_agg_double("elapsed", F.lit(K)).alias("elapsed"))
+
+
+def merged_profiles(sketches: DataFrame) -> DataFrame:
+    """One row of sketches per module and function over all rows of ``sketches``."""
+    return sketches.groupBy("module", "function").agg(
+        F.sum("calls").alias("calls"), F.hll_union_agg("sources").alias("sources"), F.kll_merge_agg_double("elapsed", F.lit(K)).alias("elapsed"))
+
+
+def read_profiles(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """module, function, calls, sources (estimate), quantiles of elapsed (estimates)."""
+    at = F.array(*[F.lit(float(q)) for q in quantiles])
+    return sketches.select("module", "function", "calls", F.hll_sketch_estimate("sources").alias("sources"), F.kll_sketch_get_quantile_double("elapsed", at).alias("quantiles"))

@@ -66,6 +66,14 @@ def dedupe_ranked(df: DataFrame, keys: list[str], value: str, rank: str = "rank"
     return first.withColumn(rank, F.row_number().over(w))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], k: int | None = None, dense_by: list[str] | None = None) -> DataFrame:
+    """Rn, the row number within ``keys`` by ``order``, and dr, the dense rank by ``dense_by`` (its first column unless
+    given); the first ``k`` rows of each group, if given (Spark then cuts before the shuffle too)."""
+    w = W.partitionBy(*keys)
+    d = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("dr", F.dense_rank().over(w.orderBy(*(dense_by or order[:1]))))
+    return d if k is None else d.filter(F.col("rn") <= k)
+
+
 def probe_budget(cands: DataFrame, first: int = dims.PROBE_FIRST, total: int | None = None) -> DataFrame:
     """cands(symbol, dll, rank, url, valid) -> probed rows with their tier: ranks up to ``first`` always, the
     others (up to ``total``, if given; the original's was 25) when no earlier one is valid and the symbol's module is

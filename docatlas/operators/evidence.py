@@ -31,6 +31,12 @@ def expand_map(header_map: DataFrame, function_map: DataFrame | None = None) ->
         F.max_by("header", F.struct("top", "ord", "sub")).alias("header"))
 
 
+def writes(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
+    """Per key the value of the last and of the first write, and the number of writes; partial aggregates, so a
+    key with a third of all rows does not matter."""
+    return rows.groupBy(key).agg(F.max_by(value, order).alias(f"last_{value}"), F.min_by(value, order).alias(f"first_{value}"), F.count(F.lit(1)).alias("writes"))
+
+
 def header_evidence(symbols: DataFrame, key_map: DataFrame) -> DataFrame:
     """(symbol, dll, ord, source, header, score).
 

@@ -23,6 +23,13 @@ def catalog_probes(name: Column) -> list[Column]:
     return [low, F.concat(low, F.lit("a")), F.concat(low, F.lit("w")), N.aw_base(name)]
 
 
+def in_both_languages(catalog: DataFrame, name: str = "name", one: str = "en-us", other: str = "pt-br") -> DataFrame:
+    """Lower-case names that the catalog has in both languages; one aggregate with a flag per language, where an
+    intersection would shuffle two sides."""
+    flags = [F.bool_or(F.col("language") == x).alias(f"has_{i}") for i, x in enumerate((one, other))]
+    return catalog.groupBy(F.lower(name).alias("name")).agg(*flags).where("has_0 and has_1").select("name")
+
+
 def lookup_catalog(symbols: DataFrame, catalog: DataFrame, lang: str = "en-us") -> DataFrame:
     """Best catalog row per symbol.
 

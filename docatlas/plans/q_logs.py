@@ -261,6 +261,19 @@ def e4(spark, sf):
                     F.coalesce(F.col("number").cast("long"), F.lit(-1)).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+@query("e4_long_integers", CALLS + """
+, t as (select l_orderkey as o, l_linenumber as l, unnest([0, 1, 2, 3]) as i from call_log_v)
+select i, l, case i when 0 then '-' || repeat((o + 1)::varchar, 30 + l) when 1 then (((1::hugeint << (60 + 8 * l)) - 1))::varchar
+  when 2 then ((1::hugeint << (64 + l)))::varchar else repeat('7', 1000 + l) end as digits, case when i = 0 then 'i64' else 'u64' end as width, count(*) as n from t group by all""")
+def e4_long(spark, sf):
+    """Negative decimals with separators, hexadecimal, binary and 1,000-digit literals of up to 64 bits and far more."""
+    token = F.expr("""case i when 0 then concat('-', repeat(cast(l_orderkey + 1 as string), 30 + l_linenumber))
+      when 1 then concat('0x', repeat('f', 15 + 2 * l_linenumber)) when 2 then concat('0b1', repeat('0', 64 + l_linenumber))
+      else concat('  ', repeat('7', 1000 + l_linenumber), ' ') end""")
+    d = call_log(spark, sf).select("l_orderkey", "l_linenumber", F.explode(F.array(*map(F.lit, range(4)))).alias("i")).withColumn("token", token)
+    return K.typed(d, "token").groupBy("i", F.col("l_linenumber").alias("l"), "digits", "width").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("e5_buffer_limits", CALLS + """
 , b as (select l_linenumber, l_suppkey, case l_suppkey % 4 when 0 then '$b:0' when 1 then '$b:67108865' when 2 then '$b:x' else '$b:0x10' end as token from call_log_v)
 select token, case l_suppkey % 4 when 0 then 'buffer size not positive' when 1 then 'buffer size too large' when 2 then 'invalid buffer size' else '' end as error,
@@ -315,10 +328,28 @@ def e7(spark, sf):
 @query("g10_call_profile", CALLS + SPLIT_SQL + MODULE_SQL + """
 , e as (select *, (l_partkey * 7 + l_suppkey * 3) % 1000 / 1000.0 as elapsed from md)
 select module, function, count(*) as calls, count(distinct l_orderkey) as sources, round(avg(elapsed), 6) as mean,
-  max(elapsed)::double as longest from e group by module, function""")
+  max(elapsed)::double as longest, quantile_disc(elapsed, 0.5)::double as median from e group by module, function""")
 def g10(spark, sf):
-    d = parsed(spark, sf).withColumn("elapsed", ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 1000).cast("double") / 1000.0)
-    return K.call_profile(d).drop("median")
+    return K.call_profile(timed(spark, sf))
+
+
+def timed(spark, sf):
+    return parsed(spark, sf).withColumn("elapsed", ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 1000).cast("double") / 1000.0)
+
+
+@query("g10_merged_profiles", CALLS + SPLIT_SQL + MODULE_SQL + """
+select module, function, count(*) as calls, true as sources_close, true as median_close from md group by module, function""")
+def g10_merged(spark, sf):
+    """Sketches per line number, merged; their estimates against exact counts and ranks (5 and 3 percent, and one)."""
+    d = timed(spark, sf)
+    about = K.read_profiles(K.merged_profiles(K.profile_sketches(d, "l_linenumber")))
+    ranks = d.join(about.select("module", "function", F.get("quantiles", F.lit(0)).alias("median")), ["module", "function"])
+    exact = ranks.groupBy("module", "function").agg(F.count_distinct("l_orderkey").alias("exact"), F.count(F.lit(1)).alias("n"),
+                                                    F.count_if(F.col("elapsed") < F.col("median")).alias("below"), F.count_if(F.col("elapsed") <= F.col("median")).alias("upto"))
+    near = F.abs(F.col("sources") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    half, slack = F.col("n") / 2, 0.03 * F.col("n") + 1
+    return about.join(exact, ["module", "function"]).select(
+        "module", "function", "calls", near.alias("sources_close"), ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("median_close"))
 
 
 # ------------------------------------------------------------------ sources and sinks as columns

@@ -316,9 +316,7 @@ def g3(spark, sf):
 select function, arg_max(header, ord) as last_header, arg_min(header, ord) as first_header,
   count(*) as writes from header_map_v group by function""")
 def g8(spark, sf):
-    return view(spark, sf, "header_map_v").groupBy("function").agg(
-        F.max_by("header", "ord").alias("last_header"), F.min_by("header", "ord").alias("first_header"),
-        F.count(F.lit(1)).alias("writes"))
+    return E.writes(view(spark, sf, "header_map_v"), "function", "header")
 
 
 # ------------------------------------------------------------------ candidates
@@ -475,12 +473,8 @@ select symbol, url, rank, row_number() over w as rn, dense_rank() over (partitio
 from search_results_v window w as (partition by symbol order by rank, url, title)
 qualify row_number() over w <= 3""")
 def w5(spark, sf):
-    from pyspark.sql import Window as W
-    w = W.partitionBy("symbol")
-    return (view(spark, sf, "search_results_v").select("symbol", "url", "rank", "title")
-            .withColumn("rn", F.row_number().over(w.orderBy("rank", "url", "title")))
-            .withColumn("dr", F.dense_rank().over(w.orderBy("rank")))
-            .filter("rn <= 3").drop("title"))
+    rows = view(spark, sf, "search_results_v").select("symbol", "url", "rank", "title")
+    return C.ranked(rows, ["symbol"], ["rank", "url", "title"], 3).drop("title")
 
 
 # ------------------------------------------------------------------ lookups
@@ -542,6 +536,4 @@ def j18(spark, sf):
 select lower(description) as name from catalog_v where language = 'en-us'
 intersect select lower(description) from catalog_v where language = 'pt-br'""")
 def x4(spark, sf):
-    cat = view(spark, sf, "catalog_v").select(F.lower("description").alias("name"), "language")
-    return cat.filter("language = 'en-us'").select("name").intersect(
-        cat.filter("language = 'pt-br'").select("name"))
+    return L.in_both_languages(view(spark, sf, "catalog_v"), "description")
