@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; with a local master only, a temporary one where that is unset."""
@@ -85,8 +83,11 @@ def unboxed(d: DataFrame) -> DataFrame:
     return d.select("_user.*")
 
 
-def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:
-    return f"{folder}/{name}"
+def vocabulary_file(name: str) -> str:
+    """Where the installed package of public tokenizers has the file ``name``."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 #: Bits of a membership filter: at most BITS / 64 rows are broadcast, whatever the number of keys.

@@ -7,7 +7,8 @@ separators, Luhn sum, parts up to 255, address marks, neighbours), and a dynamic
 programme chooses boundaries and types jointly.
 
 * Only tokens near a digit group or an address mark can be in a segment with a finite
-  score, so the programme runs over those windows; elsewhere every token is outside.
+  score, so the programme runs over those windows (``REACH`` characters on either side, and on to
+  the end of the word there); elsewhere every token is outside.
 * Trained here without labelled data: base spans of a bounded sample of texts are the
   gold segments, together with respelled copies of them (other separators, no plus,
   ``[at]``), so that the field finds spellings that the patterns miss.
@@ -101,15 +102,30 @@ def windows(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int,
         start = end = None
         for m in _ANCHOR.finditer(text, lo, hi):
             a, b = max(lo, m.start() - REACH), min(hi, m.end() + REACH)
+            if start is not None and a > end:
+                end = word_end(text, end, hi)
+                if a > end:
+                    yield start, end
+                    lo, start = end, None
             if start is None:
-                start, end = a, b
-            elif a <= end:
-                end = b
+                start, end = word_start(text, a, lo), b
             else:
-                yield start, end
-                start, end = a, b
+                end = max(end, b)
         if start is not None:
-            yield start, end
+            yield start, word_end(text, end, hi)
+
+
+def word_start(text: str, at: int, low: int) -> int:
+    """``at``, or the start of the word that it cuts, but not before ``low``."""
+    while at > low and not text[at - 1].isspace() and (at == len(text) or not text[at].isspace()):
+        at -= 1
+    return at
+
+
+def word_end(text: str, at: int, high: int) -> int:
+    while at < high and not text[at].isspace() and not text[at - 1].isspace():
+        at += 1
+    return at
 
 
 def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:

@@ -145,6 +145,12 @@ def test_field_adds_other_spellings(spark, odd, empty, pairs):
     assert base == []
     assert {k for _, _, k in spans} == {"email", "phone"}
     assert all(set(b) <= set(s) for b, s in (pii.find(t, weights) for t in texts))
+    for size in (9, 68, 200):
+        local = ("jane" * size)[:size]
+        _, spans = pii.find(f"please write to {local} (at) mail3.example.com or ring", weights)
+        assert (16, 16 + size + len(" (at) mail3.example.com"), "email") in spans
+    cuts = list(pii.windows("x" * 90 + "@" + "y" * 90 + " z" * 60 + " 12", []))
+    assert cuts[0][0] == 0 and cuts[0][1] >= 181
     got = pii.scan(odd, weights)
     assert got.count() == len(pairs)
     bases = {(r.doc_id, r.base_sha256) for r in got.collect()}
