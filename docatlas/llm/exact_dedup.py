@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from docatlas.llm.common import BITS, boxed, located, may_be_in, shared_folder, stored, unboxed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: While the stream starts: state on disk; no pre-allocated files, since a store is small wherever there are many of them.
-STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: While the stream starts: state on disk; no pre-allocated files, since a store is small wherever there are many of them;
+#: one bound on native memory for all stores of an executor, which else is one per store and outlives the stream.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128"}
 
 
 def sha(text: Column) -> Column:

@@ -33,7 +33,7 @@ PIECES = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 1e-9
 MAX_LANGS = 512
-CACHE = 200_000
+CACHE = 100_000
 LEARNED = 40
 LETTERS = regex.compile(r"\p{L}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
