@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docatlas import dims
@@ -57,6 +57,12 @@ def apply_overrides(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     return df.join(dim, F.lower("symbol") == F.col("key"), "left").drop("key")
 
 
+def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed on the rows of ``df``, once each.  A filter on a plain
+    projection would be moved below a ``distinct`` before it, and ``value`` computed for every row there."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def expand_names(df: DataFrame, col: str = "symbol") -> DataFrame:
     """One row per (tag, key) variant."""
     return df.withColumn("v", F.explode(N.name_variants(col))).select("*", "v.tag", "v.key").drop("v")

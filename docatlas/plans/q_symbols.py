@@ -173,14 +173,14 @@ def with_module(spark, sf):
 
 @query("j1_keyword_module", DISTINCT_NAMES + KEYWORD_CTE + "select symbol, dll from j1")
 def j1(spark, sf):
-    return distinct_names(spark, sf).withColumn("dll", N.keyword_module("symbol")).filter("dll is not null")
+    return S.with_value(distinct_names(spark, sf), "dll", N.keyword_module("symbol")).filter("dll is not null")
 
 
 @query("j2_module_fallback", DISTINCT_NAMES + KEYWORD_CTE + f"""
 select symbol, {FAMILY_SQL} as dll from d where symbol not in (select symbol from j1)""")
 def j2(spark, sf):
-    return distinct_names(spark, sf).filter(N.keyword_module("symbol").isNull()).withColumn(
-        "dll", N.family_module("symbol"))
+    named = S.with_value(distinct_names(spark, sf), "keyword", N.keyword_module("symbol"))
+    return named.filter("keyword is null").withColumn("dll", N.family_module("symbol")).drop("keyword")
 
 
 @query("j1_module_counts", DISTINCT_NAMES + MODULE_CTE + """
