@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,9 +12,18 @@ from pyspark.sql import functions as F
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " ")]
 
 
+#: What ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with one evaluation of ``value``, however often ``f`` names it: it is the element of an array of one."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends (plain ``trim`` keeps NBSP)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def clean_text(col: Column) -> Column:

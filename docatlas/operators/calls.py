@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docatlas import dims
 from docatlas.functions.names import col_of
+from docatlas.functions.text import once
 from docatlas.operators.lookups import resolve_calls
 
 INT = r"(?i)^\s*[+-]?(0|0(_?0)*|[1-9](_?[0-9])*|0x(_?[0-9a-f])+|0o(_?[0-7])+|0b(_?[01])+)\s*\z"
@@ -62,8 +63,6 @@ def decimal_text(digits: Column, base: int) -> Column:
     every chunk multiplies the limbs, lowest first, and adds itself, with a carry from limb to limb."""
     width, plain = CHUNKS[base]
     factor = F.lit(base ** width).cast("long")
-    padded = F.lpad(digits, (F.ceil(F.length(digits) / width) * width).cast("int"), F.lit("0"))
-    chunks = F.transform(F.sequence(F.lit(1), F.length(padded), F.lit(width)), lambda i: F.conv(F.substring(padded, i, F.lit(width)), base, 10).cast("long"))
     none = F.expr("cast(array() as array<bigint>)")
 
     def step(done: Column, limb: Column) -> Column:
@@ -74,21 +73,28 @@ def decimal_text(digits: Column, base: int) -> Column:
         first = F.struct(none.alias("limbs"), chunk.alias("carry"))
         return F.aggregate(limbs, first, step, lambda d: F.when(d["carry"] > 0, F.concat(d["limbs"], F.array(d["carry"]))).otherwise(d["limbs"]))
 
-    limbs = F.aggregate(chunks, none, add)
-    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    whole = F.regexp_replace(text, "^0+(?=[0-9])", "")
-    return F.when(F.length(digits) <= plain, F.conv(digits, base, 10)).otherwise(F.when(whole == "", "0").otherwise(whole))
+    def whole(digits: Column) -> Column:
+        padded = F.lpad(digits, (F.ceil(F.length(digits) / width) * width).cast("int"), F.lit("0"))
+        chunks = once(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(width)), lambda i: F.conv(F.substring(p, i, F.lit(width)), base, 10).cast("long")))
+        text = F.array_join(F.transform(F.reverse(F.aggregate(chunks, none, add)), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+        return once(F.regexp_replace(text, "^0+(?=[0-9])", ""), lambda x: F.when(x == "", "0").otherwise(x))
+
+    return once(digits, lambda d: F.when(F.length(d) <= plain, F.conv(d, base, 10)).otherwise(whole(d)))
 
 
 def magnitude(token: Column) -> Column:
     """Integer literal -> the decimal digits of its absolute value, of any length; null when it is none.  Decimal, 0x, 0o
     and 0b, signs, ``_`` between digits and blanks around are accepted, leading zeros are not."""
-    body = F.regexp_replace(F.lower(F.trim(token)), r"^[+-]|_", "")
-    kind = F.substring(body, 1, 2)
-    rest = F.substring(body, F.lit(3), F.length(body))
-    plain = F.when(body.startswith("0"), F.lit("0")).otherwise(body)
-    value = F.when(kind == "0x", decimal_text(rest, 16)).when(kind == "0o", decimal_text(rest, 8)).when(kind == "0b", decimal_text(rest, 2)).otherwise(plain)
-    return F.when(token.rlike(INT), value)
+    def value(body: Column) -> Column:
+        kind = F.substring(body, 1, 2)
+        rest = F.substring(body, F.lit(3), F.length(body))
+        plain = F.when(body.startswith("0"), F.lit("0")).otherwise(body)
+        return F.when(kind == "0x", decimal_text(rest, 16)).when(kind == "0o", decimal_text(rest, 8)).when(kind == "0b", decimal_text(rest, 2)).otherwise(plain)
+
+    def number(token: Column) -> Column:
+        return F.when(token.rlike(INT), once(F.regexp_replace(F.lower(F.trim(token)), r"^[+-]|_", ""), value))
+
+    return once(token, number)
 
 
 def typed(df: DataFrame, col: str) -> DataFrame:

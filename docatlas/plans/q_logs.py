@@ -270,8 +270,12 @@ def e4_long(spark, sf):
     token = F.expr("""case i when 0 then concat('-', repeat(cast(l_orderkey + 1 as string), 30 + l_linenumber))
       when 1 then concat('0x', repeat('f', 15 + 2 * l_linenumber)) when 2 then concat('0b1', repeat('0', 64 + l_linenumber))
       else concat('  ', repeat('7', 1000 + l_linenumber), ' ') end""")
-    d = call_log(spark, sf).select("l_orderkey", "l_linenumber", F.explode(F.array(*map(F.lit, range(4)))).alias("i")).withColumn("token", token)
-    return K.typed(d, "token").groupBy("i", F.col("l_linenumber").alias("l"), "digits", "width").agg(F.count(F.lit(1)).alias("n"))
+    # heavy on CPU per byte, and a small table may be one parquet row group: its narrow rows are dealt first
+    log = call_log(spark, sf).select("l_orderkey", "l_linenumber").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = log.select("l_orderkey", "l_linenumber", F.explode(F.array(*map(F.lit, range(4)))).alias("i")).withColumn("token", token)
+    # equal tokens are counted first and parsed once
+    tokens = d.groupBy("i", F.col("l_linenumber").alias("l"), "token").agg(F.count(F.lit(1)).alias("n"))
+    return K.typed(tokens, "token").groupBy("i", "l", "digits", "width").agg(F.sum("n").alias("n"))
 
 
 @query("e5_buffer_limits", CALLS + """
