@@ -18,15 +18,17 @@ def expand_map(header_map: DataFrame, function_map: DataFrame | None = None) ->
     ``max_by`` combines on the map side, so a header with a third of all rows
     does not matter."""
     f, low = F.col("function"), F.lower("function")
+    # one row per header and function before the eight spellings: a key's last write is among them
+    header_map = header_map.groupBy("header", "function").agg(F.max(F.col("ord").cast("long")).alias("ord"))
     keys = [low, f, F.concat(low, F.lit("a")), F.concat(low, F.lit("w")), F.concat(f, F.lit("A")),
             F.concat(f, F.lit("W")), F.concat(low, F.lit("ex")), F.concat(f, F.lit("Ex"))]
     rows = header_map.select(
-        "header", F.col("ord").cast("long").alias("ord"), F.posexplode(F.array(*keys)).alias("sub", "key"))
+        "header", "ord", F.posexplode(F.array(*keys)).alias("sub", "key"))
     rows = rows.withColumn("top", F.lit(0))
     if function_map is not None:
         rows = rows.unionByName(function_map.select(
             "header", F.lit(0).cast("long").alias("ord"), F.lit(0).alias("sub"),
-            f.alias("key"), F.lit(1).alias("top")))
+            f.alias("key"), F.lit(1).alias("top")).distinct())
     return rows.groupBy("key").agg(
         F.max_by("header", F.struct("top", "ord", "sub")).alias("header"))
 
@@ -45,13 +47,14 @@ def header_evidence(symbols: DataFrame, key_map: DataFrame) -> DataFrame:
     branch and the module bonus is one more row, both without a join."""
     names = symbols.select("symbol", "dll").distinct()
     low = F.lower("symbol")
-    probes = F.filter(F.array(*[
+    # no filter of the array: the optimizer would repeat it below the distinct, for every row
+    probes = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(tag).alias("source"), key.alias("key"), F.lit(s).alias("score"))
         for i, (tag, key, s) in enumerate([
             ("exact", low, dims.SCORE_EXACT), ("aw_base", N.aw_base("symbol"), dims.SCORE_AW),
             ("ex_base", N.ex_base("symbol"), dims.SCORE_EX)])
-    ]), lambda r: r["key"].isNotNull())
-    probed = names.withColumn("p", F.explode(probes)).select("symbol", "dll", "p.*")
+    ])
+    probed = names.withColumn("p", F.explode(probes)).select("symbol", "dll", "p.*").where("key is not null")
     hits = probed.join(key_map, "key", "left").groupBy("symbol", "dll").agg(
         F.collect_list(F.when(F.col("header").isNotNull(),
                               F.struct("ord", "source", "header", "score"))).alias("hits"))
