@@ -281,7 +281,8 @@ class Join:
         while slots < (1 << 22) and slots * 128 < self.layout.bytes // 6:
             slots *= 2
         self.slots = slots
-        self.first = stored(self.docs.mapInArrow(self._first, "kind int, chunk long, row long, doc_id long, set_id long, n long, payload binary"), "shingles")
+        # the sets themselves are stored (8 bytes a shingle): words are cut and hashed once, later steps read what they need
+        self.first = stored(self.docs.mapInArrow(self._first, "kind int, chunk long, row long, doc_id long, set_id long, n long, tokens binary, payload binary"), "shingles")
 
     @property
     def _first(self):
@@ -289,17 +290,17 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(slots, dtype=np.int64)
-            names = ["kind", "chunk", "row", "doc_id", "set_id", "n", "payload"]
+            names = ["kind", "chunk", "row", "doc_id", "set_id", "n", "tokens", "payload"]
             for *_, part in runs(batches):
                 sets = shingle_sets(part.column(3).to_pylist())
                 counts += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), part.column(1), part.column(2), pa.array([set_id(s) for s in sets], pa.int64()),
-                                                  pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.binary())], names)
+                                                  pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.nulls(k, pa.binary())], names)
             step = 1 << 14
             for k in range(0, slots, step):
                 if counts[k:k + step].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), *[pa.nulls(1, pa.int64())] * 4,
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
                                                       pa.array([pack(counts[k:k + step].astype(np.int32).tobytes())], pa.binary())], names)
         return run
 
@@ -325,14 +326,9 @@ class Join:
         """vertex (set_id), root: classes of sets that meet at a leading token."""
         buckets = max(16, self.layout.buckets // 4)  # few entries per document: fewer, larger messages
 
-        def keys(_, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
+        def keys(named: list[int], tokens: list[bytes]) -> Iterator[tuple[int, bytes]]:
             slots = order.value
-            distinct: dict[int, np.ndarray] = {}
-            for s in shingle_sets(bodies):
-                if len(s):
-                    distinct.setdefault(set_id(s), s)
-            if not distinct:
-                return
+            distinct = {i: np.frombuffer(s, dtype=np.uint64) for i, s in zip(named, tokens)}
             ids, sizes = np.array(list(distinct), dtype=np.int64), np.array(list(map(len, distinct.values())), dtype=np.int64)
             leads = [ordered(s, slots)[:leading(len(s)) + meetings(len(s)) - 1] for s in distinct.values()]
             token, owner = np.concatenate(leads), np.repeat(np.arange(len(ids)), list(map(len, leads)))
@@ -358,22 +354,20 @@ class Join:
             a, b, n, need = shared(*map(np.concatenate, (token, owner, size)))
             return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "need": pa.array(need)})
 
-        pairs = ask(self.docs, keys).groupBy("bucket").applyInArrow(meet, "a long, b long, n long, need long")
+        pairs = ask(self.first.where("kind = 0 and n > 0").select("chunk", "row", "set_id", "tokens"), keys).groupBy("bucket").applyInArrow(meet, "a long, b long, n long, need long")
         return components(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
 
     def sets(self, order, live: DataFrame) -> DataFrame:
         """set_id, n, tokens in global order of the live sets, once each."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = order.value
-            for *_, part in runs(batches):
-                seen = {}
-                for s in shingle_sets(part.column(3).to_pylist()):
-                    if len(s):
-                        seen.setdefault(set_id(s), s)
+            for batch in batches:
+                seen = {i: np.frombuffer(s, dtype=np.uint64) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([len(s) for s in seen.values()], pa.int64()),
                                                   pa.array([ordered(s, slots).tobytes() for s in seen.values()], pa.binary())], ["set_id", "n", "tokens"])
 
-        near = may_be_in(self.docs.mapInArrow(run, SET), live, ["set_id"]).where("_near").drop("_near")
+        near = may_be_in(self.first.where("kind = 0 and n > 0").select("set_id", "tokens"), live, ["set_id"]).where("_near")
+        near = near.select("set_id", "tokens").mapInArrow(run, SET)
         first = near.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
         return first.join(live, "set_id")
 

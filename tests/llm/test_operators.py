@@ -445,3 +445,13 @@ def test_packing():
     for n in (0, 1, 255, 256, 70_000, 1 << 40):
         assert packed.widen(packed.narrow(np.array([0, n]))).tolist() == [0, n]
     assert packed.widen(packed.narrow(np.zeros(0, dtype=np.int64))).tolist() == []
+
+
+def test_shingles_are_cut_once(spark, odd):
+    join = ngram_join.Join(odd)
+    order = spark.sparkContext.broadcast(join.order())
+    live = spark.createDataFrame([(0, 0, 1)], "set_id long, class long, blocks int")
+    scans = join.sets(order, live)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" in scans and "text" not in scans and "octet_length" not in scans
+    stored = {r.set_id: np.frombuffer(r.tokens, dtype=np.uint64) for r in join.first.where("kind = 0").collect()}
+    assert all(ngram_join.set_id(s) == i and (np.diff(s.astype(object)) > 0).all() for i, s in stored.items() if len(s))
