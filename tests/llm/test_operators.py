@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -455,3 +456,30 @@ def test_shingles_are_cut_once(spark, odd):
     assert "tokens" in scans and "text" not in scans and "octet_length" not in scans
     stored = {r.set_id: np.frombuffer(r.tokens, dtype=np.uint64) for r in join.first.where("kind = 0").collect()}
     assert all(ngram_join.set_id(s) == i and (np.diff(s.astype(object)) > 0).all() for i, s in stored.items() if len(s))
+
+
+def test_segments_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(3)
+    bodies = [bytes(rng.choice(b"ab \xc3") for _ in range(n)) for n in (0, 49, 50, 51, 400, 0, 1000)]
+    whole = repeats.Segments(bodies)
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    cut = repeats.Segments(bodies)
+    for name in ("key", "doc", "start", "count"):
+        assert getattr(whole, name).tolist() == getattr(cut, name).tolist()
+    covered = [(d, s + i) for d, s, n in zip(cut.doc.tolist(), cut.start.tolist(), cut.count.tolist()) for i in range(n)]
+    assert covered == [(d, s) for d, x in enumerate(bodies) for s in range(len(x) - 49)]
+    keys = {}
+    for d, s, n, k in zip(cut.doc.tolist(), cut.start.tolist(), cut.count.tolist(), cut.key.tolist()):
+        for i in range(s, s + n):
+            assert keys.setdefault(bodies[d][i:i + 50], k) == k
+
+
+def test_tokens_of_many_texts_at_once():
+    texts = ["", " ", "a", "A\tb\x0b c\x0c\r\nD", "\x1c\x85  Ä x", "x\ud800 y", "  two  words  "]
+    sizes, words = suffix_lm.split(texts)
+    every = [suffix_lm.tokens(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in every]
+    assert words.to_pylist() == [w for x in every for w in x]
+    h = suffix_lm.Histories((sizes, words), 2)
+    assert h.words.take(pa.array(h.symbols)).to_pylist() == words.to_pylist()
+    assert suffix_lm.read_words(*suffix_lm.pack_words(h.words[1:4])) == h.words[1:4].to_pylist()
