@@ -23,12 +23,12 @@ its history; the distribution of a state is smoothed along all suffixes of its c
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +48,39 @@ def fold(doc_id) -> int:
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-def pack_words(words: list[bytes]) -> list[bytes]:
-    return [narrow(np.array(list(map(len, words)), dtype=np.int64)), b"".join(words)]
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def read_words(sizes: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(widen(sizes)).tolist()
-    return [blob[a:b] for a, b in zip([0, *ends], ends)]
+def joined(sizes: np.ndarray, data: np.ndarray | bytes) -> pa.LargeBinaryArray:
+    """Words of these sizes that stand in ``data`` without gaps."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    for ws in out.values():
-        ws.sort()
-    return out
+def split(texts: list[str]) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Number of tokens of each text, and the ``tokens`` of all texts."""
+    raw = [t.encode("utf-8", errors="replace") for t in texts]
+    data = np.frombuffer(b"".join(x + b" " for x in raw).lower(), dtype=np.uint8)
+    white = WHITE[data]
+    first, end = np.nonzero(~white & np.append(True, white[:-1]))[0], np.nonzero(white & np.append(False, ~white[:-1]))[0]
+    upto = np.searchsorted(first, np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1))  # words up to the end of each text
+    return np.diff(upto, prepend=0) + 1, joined(np.insert(end - first, upto, 0), data[~white])
+
+
+def listed(docs: list[list[bytes]]) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The same of texts that are given as tokens."""
+    return np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)), pa.array([w for d in docs for w in d], pa.large_binary())
+
+
+def pack_words(words: pa.LargeBinaryArray) -> list[bytes]:
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return [narrow(np.diff(ends)), data[int(ends[0]):int(ends[-1])].to_pybytes() if data else b""]
+
+
+def read_words(sizes: bytes, blob: bytes) -> list[bytes]:
+    return joined(widen(sizes), blob).to_pylist()
 
 
 # ------------------------------------------------------------------ the tree
@@ -112,16 +129,21 @@ class Histories:
     token (``contexts``), these and the token (``grams``), and whether there are so many
     (``whole``).  A start mark stands before every text."""
 
-    def __init__(self, docs: list[list[bytes]], depth: int):
-        self.sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+    def __init__(self, docs: tuple[np.ndarray, pa.LargeBinaryArray], depth: int):
+        self.sizes, words = docs
         self.starts = np.cumsum(self.sizes) - self.sizes
-        number: dict[bytes, int] = {}
-        self.symbols = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), dtype=np.int64, count=int(self.sizes.sum()))
-        self.words = list(number)
-        hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self.words), dtype=np.uint64)
+        coded = words.dictionary_encode()
+        # by their hashes, so that equal sets of words have one order
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+        order = np.argsort(own, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.symbols = place[coded.indices.to_numpy()]
+        self.words, self.hashes = coded.dictionary.take(pa.array(order)), own[order]
+        hashes = self.hashes
         padded = np.insert(hashes[self.symbols], self.starts, np.uint64(1))
-        at = np.arange(len(self.symbols)) + np.repeat(np.arange(1, len(docs) + 1), self.sizes)
-        room = at - np.repeat(self.starts + np.arange(len(docs)), self.sizes)  # symbols before a token, the start mark included
+        at = np.arange(len(self.symbols)) + np.repeat(np.arange(1, len(self.sizes) + 1), self.sizes)
+        room = at - np.repeat(self.starts + np.arange(len(self.sizes)), self.sizes)  # symbols before a token, the start mark included
         self.contexts, self.grams, self.whole, run = [], [], [], padded
         for d in range(1, depth + 1):
             self.contexts.append(run[at - 1])
@@ -144,7 +166,7 @@ class Tree:
 
     def refine(self, docs: list[list[bytes]], root: np.ndarray) -> np.ndarray:
         """Probability of every token in its longest state; ``root`` is the root's."""
-        h = Histories(docs, len(self.levels))
+        h = Histories(listed(docs), len(self.levels))
         seen = lambda keys, values, x: np.where(keys[i := np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x, values[i], 0) if len(keys) else np.zeros(len(x), dtype=np.int64)
         states = [seen(c, np.ones(len(c), dtype=np.int64), x).astype(bool) & ok for (c,), x, ok in zip(self.levels, h.contexts, h.whole)]
         sizes = [seen(*self.sizes, x) for x in h.contexts]
@@ -188,13 +210,12 @@ def counting(h: Histories, ids: list, buckets: int) -> dict[int, bytes]:
     """Per bucket: distinct words and pairs of symbols with their training counts."""
     train = learned(h, ids)
     count = np.bincount(h.symbols[train], minlength=len(h.words))
-    number = {w: i for i, w in enumerate(h.words)}
-    words = by_bucket(h.words, buckets)
+    words = dict(ranges(h.hashes, buckets))
     grams, at = distinct(h.grams[0])
     own = np.bincount(at[train], minlength=len(grams))
     parts = dict(ranges(grams, buckets))
     nothing = slice(0, 0)
-    return {b: pack(*pack_words(ws := words.get(b, [])), narrow(count[[number[w] for w in ws]] if ws else count[:0]),
+    return {b: pack(*pack_words(h.words[words.get(b, nothing)]), narrow(count[words.get(b, nothing)]),
                     pack_hashes(grams[parts.get(b, nothing)]), narrow(own[parts.get(b, nothing)])) for b in words.keys() | parts.keys()}
 
 
@@ -207,14 +228,12 @@ class Counted:
     whether they are depends on the gram alone, so that all its occurrences are counted."""
 
     def __init__(self, bodies: list[str], got: dict[int, bytes], buckets: int, depth: int, total: int, least: float, test: float):
-        self.h = h = Histories([tokens(t) for t in bodies], depth)
+        self.h = h = Histories(split(bodies), depth)
         self.buckets, self.total, self.least, self.test = buckets, max(1, total), least, test
         answers = {b: unpack(p) for b, p in got.items() if b < buckets}
-        count = {}
-        for b, words in by_bucket(h.words, buckets).items():
-            count.update(zip(words, widen(answers[b][0]).tolist()))
-        self.count = np.fromiter(map(count.__getitem__, h.words), dtype=np.int64, count=len(h.words))[h.symbols]
-        self.ends = count[END]
+        count = np.concatenate([np.zeros(0, dtype=np.int64), *[widen(answers[b][0]) for b in sorted(answers)]])
+        self.count = count[h.symbols]
+        self.ends = int(self.count[h.sizes[0] - 1]) if len(h.sizes) else 0  # every text has the same end
         pairs = np.concatenate([widen(answers[b][1]) for b in sorted(answers)])[distinct(h.grams[0])[1]]
         self.grams = [pairs]
         before = lambda x: np.concatenate([x[:1], x[:-1]])
@@ -296,8 +315,8 @@ def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarra
 def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p_min: float, test: float, prior: float, few: int = 1) -> Tree:
     """The whole tree of a small table (chunk, row, doc_id, text), for tests; ``frequent`` has the counts of its words."""
     rows = [r for r in train.select("doc_id", "text").collect() if fold(r.doc_id) > 0]
-    h = Histories([tokens(r.text) for r in rows], depth)
     ids, bodies = [r.doc_id for r in rows], [r.text for r in rows]
+    h = Histories(split(bodies), depth)
     asked = {b: unpack(p) for b, p in counting(h, ids, 2).items()}
     c = Counted(bodies, {b: pack(narrow(np.array([frequent[w] for w in read_words(x[0], x[1])], dtype=np.int64)), x[4]) for b, x in asked.items()}, 2, depth, total, max(few, p_min * total), test)
     c.told({b: pack(unpack(p)[1]) for b, p in c.asks(ids).items()})
@@ -317,19 +336,15 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.
     d = chunked(docs, layout)
 
     def keys(ids: list, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
-        yield from counting(Histories([tokens(t) for t in bodies], depth), ids, buckets).items()
+        yield from counting(Histories(split(bodies), depth), ids, buckets).items()
 
     def merge(table: pa.Table) -> pa.Table:
         """Answers (the training counts of each word and gram asked for) and one summary row: n, v, tokens seen once."""
         asked = [unpack(p.as_py()) for p in table["payload"]]
-        number: dict[bytes, int] = {}
-        places = []
-        for sizes, blob, *_ in asked:
-            words = read_words(sizes, blob)
-            places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
-        total = np.zeros(len(number), dtype=np.int64)
-        for at, (_, _, counts, *_) in zip(places, asked):
-            total[at] += widen(counts)
+        words = pa.chunked_array([joined(widen(sizes), blob) for sizes, blob, *_ in asked]).combine_chunks().dictionary_encode()
+        at = words.indices.to_numpy()
+        total = np.bincount(at, weights=np.concatenate([widen(counts) for _, _, counts, *_ in asked]), minlength=len(words.dictionary)).astype(np.int64)
+        places = np.split(at, np.cumsum([len(widen(sizes)) for sizes, *_ in asked])[:-1])
         grams = summed([read_hashes(x[3]) for x in asked], [widen(x[4]) for x in asked])
         out = table.drop_columns(["payload"]).append_column("payload", pa.array([pack(narrow(total[at]), narrow(g)) for at, g in zip(places, grams)], pa.binary()))
         own = pa.table({"bucket": [table["bucket"][0].as_py()], "chunk": [None], "lo": [int(total.sum())], "hi": [int((total > 0).sum())],
