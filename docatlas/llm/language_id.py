@@ -35,6 +35,7 @@ UNKNOWN = 1e-9
 MAX_LANGS = 512
 CACHE = 100_000
 LEARNED = 40
+BATCH = 1000  # rows that a filtering stage gets at a time
 LETTERS = regex.compile(r"\p{L}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -307,5 +308,5 @@ def accepted(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     model = train(docs.where((fold >= 0) & (fold != 2)), **options)
     rows = boxed(docs).withColumn("_place", F.xxhash64("_file"))
     judged = predict(rows, model, ["_place", "_row"])
-    gone = stored(judged.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("_place", "_row"), "not-accepted")
+    gone = stored(judged.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("_place", "_row"), "not-accepted", batch=BATCH)
     return unboxed(without(rows.select("_place", "_row", "_user"), gone, ["_place", "_row"]))

@@ -282,7 +282,8 @@ class Join:
             slots *= 2
         self.slots = slots
         # the sets themselves are stored (8 bytes a shingle): words are cut and hashed once, later steps read what they need
-        self.first = stored(self.docs.mapInArrow(self._first, "kind int, chunk long, row long, doc_id long, set_id long, n long, tokens binary, payload binary"), "shingles")
+        self.first = stored(self.docs.mapInArrow(self._first, "kind int, chunk long, row long, doc_id long, set_id long, n long, tokens binary, payload binary"), "shingles",
+                            batch=self.layout.chunk_rows)
 
     @property
     def _first(self):

@@ -483,3 +483,18 @@ def test_tokens_of_many_texts_at_once():
     h = suffix_lm.Histories((sizes, words), 2)
     assert h.words.take(pa.array(h.symbols)).to_pylist() == words.to_pylist()
     assert suffix_lm.read_words(*suffix_lm.pack_words(h.words[1:4])) == h.words[1:4].to_pylist()
+
+
+def test_stored_gives_python_few_rows_at_a_time(spark):
+    from docatlas.llm.common import stored
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    got = stored(spark.range(100, numPartitions=2).mapInArrow(size, "n long"), "few", batch=8).collect()
+    assert sum(r.n for r in got) == 100 and max(r.n for r in got) == 8
+    assert spark.conf.get(key) == old
