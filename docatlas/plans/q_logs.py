@@ -347,13 +347,17 @@ def g10_merged(spark, sf):
     """Sketches per line number, merged; their estimates against exact counts and ranks (5 and 3 percent, and one)."""
     d = timed(spark, sf)
     about = K.read_profiles(K.merged_profiles(K.profile_sketches(d, "l_linenumber")))
-    ranks = d.join(about.select("module", "function", F.get("quantiles", F.lit(0)).alias("median")), ["module", "function"])
-    exact = ranks.groupBy("module", "function").agg(F.count_distinct("l_orderkey").alias("exact"), F.count(F.lit(1)).alias("n"),
-                                                    F.count_if(F.col("elapsed") < F.col("median")).alias("below"), F.count_if(F.col("elapsed") <= F.col("median")).alias("upto"))
+    key = ["module", "function"]
+    exact = d.groupBy(*key).agg(F.count_distinct("l_orderkey").alias("exact"))
+    times = d.groupBy(*key, "elapsed").agg(F.count(F.lit(1)).alias("rows"))  # calls meet their median after equal times are counted
+    at = about.select(*key, "calls", "sources", F.get("quantiles", F.lit(0)).alias("median"))
+    rows = lambda where: F.coalesce(F.sum(F.when(where, F.col("rows"))), F.lit(0))
+    ranks = times.join(at, key).groupBy(*key, "calls", "sources").agg(F.sum("rows").alias("n"), rows(F.col("elapsed") < F.col("median")).alias("below"),
+                                                                      rows(F.col("elapsed") <= F.col("median")).alias("upto"))
     near = F.abs(F.col("sources") - F.col("exact")) <= 0.05 * F.col("exact") + 1
     half, slack = F.col("n") / 2, 0.03 * F.col("n") + 1
-    return about.join(exact, ["module", "function"]).select(
-        "module", "function", "calls", near.alias("sources_close"), ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("median_close"))
+    return ranks.join(exact, key).select(
+        *key, "calls", near.alias("sources_close"), ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("median_close"))
 
 
 # ------------------------------------------------------------------ sources and sinks as columns
