@@ -53,9 +53,11 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges(a long, b long)`` -> vertex, root (smallest vertex of its component), for every vertex of an edge."""
-    e = stored(edges.select("a", "b").mapInArrow(contract, EDGE), "edges")
+def components(edges: DataFrame, batch: int | None = None) -> DataFrame:
+    """``edges(a long, b long)`` -> vertex, root (smallest vertex of its component), for every vertex of an edge.
+
+    ``batch``: rows that Python gets at a time where ``edges`` are made (see ``stored``)."""
+    e = stored(edges.select("a", "b").mapInArrow(contract, EDGE), "edges", batch=batch)
     while True:
         ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
             e.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))

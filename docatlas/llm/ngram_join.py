@@ -134,10 +134,16 @@ def ordered(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("children", "sets", "low", "high", "parent")
+    __slots__ = ("children", "sets", "low", "high", "parent", "token")
 
-    def __init__(self, parent=None):
-        self.children, self.sets, self.low, self.high, self.parent = {}, [], 1 << 60, 0, parent
+    def __init__(self, parent=None, token: int = -1):
+        self.children, self.sets, self.low, self.high, self.parent, self.token = {}, [], 1 << 60, 0, parent, token
+
+    def child(self, token: int) -> Node:
+        """The node behind ``token``; a new one if there is none."""
+        if token not in self.children:
+            self.children[token] = Node(self, token)
+        return self.children[token]
 
     def rest(self, i: int, n: int) -> None:
         self.sets.append(i)
@@ -170,10 +176,10 @@ class PrefixTree:
             node.low, node.high = min(node.low, n), max(node.high, n)
             for j in [j for j in node.sets if len(self.sets[j]) > depth]:  # the set that was alone here moves down
                 node.sets.remove(j)
-                child = node.children.setdefault(int(self.sets[j][depth]), Node(node))
+                child = node.child(int(self.sets[j][depth]))
                 child.rest(j, len(self.sets[j]))
                 self.leaf[j] = child
-            node = node.children.setdefault(int(own[depth]), Node(node))
+            node = node.child(int(own[depth]))
             depth += 1
 
     def probe(self, x: int, skip) -> list[int]:
@@ -209,7 +215,7 @@ class PrefixTree:
                 if i in wanted and OF * min(n, m) >= NEED * max(n, m) and overlap + min(n - used, m - depth) >= -(-NEED * (n + m) // (OF + NEED)):
                     left.append(i)
             for child in below[node]:
-                p = place.get(int(self.sets[(child.sets or [self._any(child)])[0]][depth]))
+                p = place.get(child.token)
                 # order is global: what x has before this token cannot follow in the subtree
                 stack.append((child, depth + 1, overlap, used) if p is None else (child, depth + 1, overlap + 1, p + 1))
         if not left:
@@ -222,12 +228,6 @@ class PrefixTree:
         self.flags[self.sets[x]] = False
         return at[OF * both >= NEED * (n + size - both)].tolist()
 
-    @staticmethod
-    def _any(node: Node) -> int:
-        while not node.sets:
-            node = next(iter(node.children.values()))
-        return node.sets[0]
-
 
 def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None = None, left: list[bool] | None = None) -> list[tuple[int, int]]:
     """Stars around the smallest ids that connect what links connect: among all sets, or between ``left`` sets and all others of other labels."""
@@ -356,7 +356,7 @@ class Join:
             return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "need": pa.array(need)})
 
         pairs = ask(self.first.where("kind = 0 and n > 0").select("chunk", "row", "set_id", "tokens"), keys).groupBy("bucket").applyInArrow(meet, "a long, b long, n long, need long")
-        return components(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
+        return components(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"), batch=self.layout.chunk_rows)
 
     def sets(self, order, live: DataFrame) -> DataFrame:
         """set_id, n, tokens in global order of the live sets, once each."""
@@ -381,7 +381,7 @@ class Join:
             F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
         live = stored(classes.join(sizes, "class"), "classes")
         block = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int")
-        sets = stored(self.sets(order, live).withColumn("block", block), "sets")
+        sets = stored(self.sets(order, live).withColumn("block", block), "sets", batch=self.layout.chunk_rows)
 
         def inside(table: pa.Table) -> pa.Table:
             links = link_groups(table["set_id"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()])
