@@ -15,6 +15,8 @@ its history; the distribution of a state is smoothed along all suffixes of its c
 * Every pair of a state and a symbol counts, also one seen once.  ``p_min``, a least share
   of all tokens for contexts, is 0 unless it is given.
 * N-grams are compared by 64-bit hashes, words by their bytes.
+* Texts are cut once: each run of documents is stored as numbers of its distinct words, and
+  every later pass reads these and the words in place of the texts.
 * Null and empty texts consist of the end token.  A null doc_id is neither learned from
   nor held out.  No training row: N = V = 0, base_score is log10(0.1 / 0.1) = 0 per token
   and the unseen event has all mass (score 0).
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import stored
-from docatlas.llm.packed import MESSAGE, Layout, answer, ask, chunked, documents, finish, messages, narrow, pack, unpack, widen
+from docatlas.llm.packed import DOCUMENTS, MESSAGE, Layout, answer, chunked, messages, narrow, pack, runs, unpack, widen, word_list
 
 FOLDS = 10
 END = b""  # words are never empty
@@ -124,22 +126,31 @@ def ranges(x: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     return ((b, slice(i, j)) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i)
 
 
+def hashed(words: pa.LargeBinaryArray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, word_list(words)), dtype=np.uint64, count=len(words))
+
+
+def numbers(words: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """The place of each word among the distinct words, these, and their hashes."""
+    coded = words.dictionary_encode()
+    # by their hashes, so that equal sets of words have one order
+    own = hashed(coded.dictionary)
+    order = np.argsort(own, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order)), own[order]
+
+
 class Histories:
     """Hashed histories of the tokens of some documents: per depth d the d symbols before a
     token (``contexts``), these and the token (``grams``), and whether there are so many
-    (``whole``).  A start mark stands before every text."""
+    (``whole``).  A start mark stands before every text.  ``coded``: the ``numbers`` of the
+    tokens, where they are known."""
 
-    def __init__(self, docs: tuple[np.ndarray, pa.LargeBinaryArray], depth: int):
+    def __init__(self, docs: tuple[np.ndarray, pa.LargeBinaryArray | None], depth: int, coded: tuple | None = None):
         self.sizes, words = docs
         self.starts = np.cumsum(self.sizes) - self.sizes
-        coded = words.dictionary_encode()
-        # by their hashes, so that equal sets of words have one order
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-        order = np.argsort(own, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.symbols = place[coded.indices.to_numpy()]
-        self.words, self.hashes = coded.dictionary.take(pa.array(order)), own[order]
+        self.symbols, self.words, self.hashes = coded or numbers(words)
         hashes = self.hashes
         padded = np.insert(hashes[self.symbols], self.starts, np.uint64(1))
         at = np.arange(len(self.symbols)) + np.repeat(np.arange(1, len(self.sizes) + 1), self.sizes)
@@ -209,7 +220,7 @@ def spread(values: np.ndarray, masks: list[np.ndarray]) -> list[np.ndarray]:
 def counting(h: Histories, ids: list, buckets: int) -> dict[int, bytes]:
     """Per bucket: distinct words and pairs of symbols with their training counts."""
     train = learned(h, ids)
-    count = np.bincount(h.symbols[train], minlength=len(h.words))
+    count = np.bincount(h.symbols[train], minlength=len(h.hashes))
     words = dict(ranges(h.hashes, buckets))
     grams, at = distinct(h.grams[0])
     own = np.bincount(at[train], minlength=len(grams))
@@ -227,8 +238,8 @@ class Counted:
     ``test`` are no states, and longer grams are asked for only where a state may need them;
     whether they are depends on the gram alone, so that all its occurrences are counted."""
 
-    def __init__(self, bodies: list[str], got: dict[int, bytes], buckets: int, depth: int, total: int, least: float, test: float):
-        self.h = h = Histories(split(bodies), depth)
+    def __init__(self, h: Histories, got: dict[int, bytes], buckets: int, depth: int, total: int, least: float, test: float):
+        self.h = h
         self.buckets, self.total, self.least, self.test = buckets, max(1, total), least, test
         answers = {b: unpack(p) for b, p in got.items() if b < buckets}
         count = np.concatenate([np.zeros(0, dtype=np.int64), *[widen(answers[b][0]) for b in sorted(answers)]])
@@ -318,7 +329,7 @@ def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p
     ids, bodies = [r.doc_id for r in rows], [r.text for r in rows]
     h = Histories(split(bodies), depth)
     asked = {b: unpack(p) for b, p in counting(h, ids, 2).items()}
-    c = Counted(bodies, {b: pack(narrow(np.array([frequent[w] for w in read_words(x[0], x[1])], dtype=np.int64)), x[4]) for b, x in asked.items()}, 2, depth, total, max(few, p_min * total), test)
+    c = Counted(h, {b: pack(narrow(np.array([frequent[w] for w in read_words(x[0], x[1])], dtype=np.int64)), x[4]) for b, x in asked.items()}, 2, depth, total, max(few, p_min * total), test)
     c.told({b: pack(unpack(p)[1]) for b, p in c.asks(ids).items()})
     states = c.states({b: pack(np.packbits(diverging([tuple(unpack(p))], test)[0]).tobytes()) for b, p in c.divergence(ids).items()})
     grams, first = np.unique(gather(h.grams, h.whole), return_index=True)
@@ -329,14 +340,68 @@ def grow(train: DataFrame, frequent: dict[bytes, int], total: int, depth: int, p
 # ------------------------------------------------------------------ the operator
 
 
+#: Rows of the table of coded runs (about 2 MB each) that Python gets at a time.
+RUNS_AT_ONCE = 16
+
+
+def planes(x: np.ndarray) -> bytes:
+    """As ``narrow``, bytes of equal weight together."""
+    data = narrow(x)
+    return data[:1] + np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, data[0]).T.tobytes()
+
+
+def read_planes(data: bytes) -> np.ndarray:
+    return widen(data[:1] + np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1).T.tobytes())
+
+
+def coded_runs(d: DataFrame) -> DataFrame:
+    """A message of each run of documents: ids, sizes, numbers of words, distinct words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, lo, hi, part in runs(batches):
+            ids = part.column(2)
+            sizes, words = split(part.column(3).to_pylist())
+            symbols, words, _ = numbers(words)
+            payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.packbits(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes(),
+                           narrow(sizes), planes(symbols), *pack_words(words), level=3)
+            yield messages([(DOCUMENTS, chunk, lo, hi, payload)])
+
+    return d.mapInArrow(run, MESSAGE)
+
+
+def read_run(payload: bytes, depth: int) -> tuple[list, Histories]:
+    """Ids and histories of a coded run."""
+    ids, valid, sizes, symbols, lengths, blob = unpack(payload)
+    ids = np.frombuffer(ids, dtype=np.int64)
+    named = np.unpackbits(np.frombuffer(valid, dtype=np.uint8), count=len(ids))
+    words = joined(widen(lengths), blob)
+    return [i if ok else None for i, ok in zip(ids.tolist(), named.tolist())], Histories((widen(sizes), None), depth, (read_planes(symbols), words, hashed(words)))
+
+
+def with_answers(coded: DataFrame, answers: DataFrame, work: Callable[[bytes, dict[int, bytes], tuple], pa.Table], schema: str) -> DataFrame:
+    """``work(payload, answers by bucket, (chunk, first, last row))`` for every coded run; each has asked for its end token at least."""
+    def group(table: pa.Table) -> pa.Table:
+        chunk, own, got = table["chunk"][0].as_py(), {}, {}
+        for b, lo, hi, payload in zip(*(table[c].to_pylist() for c in ("bucket", "lo", "hi", "payload"))):
+            if b == DOCUMENTS:
+                own[lo, hi] = payload
+            else:
+                got.setdefault((lo, hi), {})[b] = payload
+        return pa.concat_tables([work(payload, got[at], (chunk, *at)) for at, payload in sorted(own.items())])
+
+    return coded.unionByName(answers).groupBy("chunk").applyInArrow(group, schema)
+
+
 def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.0, prior: float = 20.0, few: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     layout = Layout(docs)
     buckets = layout.buckets
-    d = chunked(docs, layout)
+    coded = stored(coded_runs(chunked(docs, layout)), "lm-documents")
 
-    def keys(ids: list, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
-        yield from counting(Histories(split(bodies), depth), ids, buckets).items()
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lo, hi, payload in zip(*(batch.column(c) for c in ("chunk", "lo", "hi", "payload"))):
+                ids, h = read_run(payload.as_py(), depth)
+                yield messages([(b, chunk.as_py(), lo.as_py(), hi.as_py(), p) for b, p in counting(h, ids, buckets).items()])
 
     def merge(table: pa.Table) -> pa.Table:
         """Answers (the training counts of each word and gram asked for) and one summary row: n, v, tokens seen once."""
@@ -351,7 +416,7 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.
                         "payload": [int((total == 1).sum()).to_bytes(8, "big")]}, schema=out.schema)
         return pa.concat_tables([out, own])
 
-    answers = stored(ask(d, keys).groupBy("bucket").applyInArrow(merge, MESSAGE), "lm-counts", tidy=True)
+    answers = stored(coded.mapInArrow(keys, MESSAGE).groupBy("bucket").applyInArrow(merge, MESSAGE), "lm-counts", tidy=True, batch=RUNS_AT_ONCE)
     once = F.conv(F.hex("payload"), 16, 10).cast("long")
     head = answers.where("chunk is null").agg(F.sum("lo"), F.sum("hi"), F.sum(once)).head()
     counts = answers.where("chunk is not null")
@@ -361,11 +426,12 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.
 
     def again(keys: Callable[[Counted, list, dict[int, bytes]], dict[int, bytes]], reply: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
         """One more exchange: chunks ask by what they have been told."""
-        def more(ids: list, bodies: list[str], got: dict[int, bytes], place: tuple) -> pa.Table:
-            own = keys(Counted(bodies, got, buckets, depth, n, least, test), ids, got)
+        def more(payload: bytes, got: dict[int, bytes], place: tuple) -> pa.Table:
+            ids, h = read_run(payload, depth)
+            own = keys(Counted(h, got, buckets, depth, n, least, test), ids, got)
             return pa.Table.from_batches([messages([(b, *place, p) for b, p in own.items()])])
 
-        return stored(answer(finish(documents(d), counts, more, MESSAGE, placed=True), reply), name, tidy=True)
+        return stored(answer(with_answers(coded, counts, more, MESSAGE), reply), name, tidy=True)
 
     def total(payloads: list[bytes]) -> list[bytes]:
         asked = [unpack(p) for p in payloads]
@@ -377,13 +443,14 @@ def score(docs: DataFrame, depth: int = 3, p_min: float = 0.0, test: float = 50.
     counts = counts.unionByName(again(lambda own, ids, got: own.asks(ids), total, "lm-grams"))
     counts = counts.unionByName(again(lambda own, ids, got: own.told(got).divergence(ids), judge, "lm-states"))
 
-    def work(ids: list, bodies: list[str], got: dict[int, bytes]) -> pa.Table:
-        own = Counted(bodies, got, buckets, depth, n, least, test).told(got)
-        c, h = own.count, own.h
+    def work(payload: bytes, got: dict[int, bytes], place: tuple) -> pa.Table:
+        ids, h = read_run(payload, depth)
+        own = Counted(h, got, buckets, depth, n, least, test).told(got)
+        c = own.count
         p = interpolate(np.where(c > 0, c, singles) / (n + singles), own.states(got), own.sizes, own.grams, prior)
         known, base, full = (np.add.reduceat(x, h.starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - per_token, np.log10(p)))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold(i) == 0 for i in ids], pa.bool_()), "n_tokens": pa.array(h.sizes),
                          "n_known": pa.array(known), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
-    return finish(documents(d), counts, work,
-                  "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_answers(coded, counts, work,
+                        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
