@@ -23,15 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import vocabulary_file
-from docatlas.llm.packed import Layout, answer, ask, chunked, documents, finish, narrow, pack, unpack, widen
+from docatlas.llm.packed import Layout, answer, ask, chunked, documents, finish, narrow, pack, unpack, widen, word_list
 
 VOCABULARY = "byte_bpe_50k.json"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE = re.compile(r"[^\S \n]")
+_FOREIGN = re.compile(r"[^\S\x00-\x7f]")  # white space beyond ASCII
+_WHITE = np.array([chr(i).isspace() and i < 128 for i in range(256)])
 
 _ENCODERS: dict[str, object] = {}
 
@@ -46,6 +49,33 @@ def words_of(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def coded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.LargeBinaryArray]:
+    """Number of words of each text, the place of each word of all texts among the distinct words, and these, as UTF-8."""
+    raw = [t.encode() for t in texts]
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    white = _WHITE[data]
+    first = np.zeros(len(data), dtype=bool)
+    first[1:-1] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
+    first[(ends - 1)[sizes > 0]] = False  # the next byte is another text's
+    starts = (ends - sizes)[sizes > 0]
+    first[starts] = True
+    for i in np.nonzero(sizes)[0].tolist():
+        if len(texts[i]) != sizes[i] and _FOREIGN.search(texts[i]):
+            own = np.cumsum([len(w.encode()) for w in words_of(texts[i])])
+            first[ends[i] - sizes[i] + 1:ends[i]] = False
+            first[ends[i] - sizes[i] + own[:-1]] = True
+    cuts = np.append(np.nonzero(first)[0], len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    return np.diff(np.searchsorted(cuts[:-1], ends), prepend=0), words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, one behind the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def encoder(path: str):
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
@@ -83,32 +113,30 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and flat ids."""
     lengths, flat = [], []
     for i in range(0, len(words), 20_000):
-        for e in encoder(path).encode_batch(words[i:i + 20_000], add_special_tokens=False):
+        for e in encoder(path).encode_batch_fast(words[i:i + 20_000], add_special_tokens=False):  # without offsets
             ids = e.ids
             lengths.append(len(ids))
             flat.append(np.array(ids, dtype=np.int32))
     return np.array(lengths, dtype=np.int64), np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
 
 
-def by_bucket(words: Iterator[str], buckets: int) -> dict[int, list[str]]:
-    """Distinct words of each bucket in order."""
-    out: dict[int, list[str]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
-    for ws in out.values():
-        ws.sort()
-    return out
+def by_bucket(words: pa.LargeBinaryArray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the words of each bucket, by words."""
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    own = np.fromiter(map(zlib.crc32, word_list(words)), dtype=np.int64, count=len(words))[order] % buckets
+    by = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[by], np.arange(buckets + 1)).tolist()
+    return ((b, order[by[i:j]]) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i)
 
 
-def pack_words(words: list[str]) -> bytes:
-    coded = [w.encode() for w in words]
-    return pack(narrow(np.array(list(map(len, coded)), dtype=np.int64)), b"".join(coded))
+def pack_words(words: pa.LargeBinaryArray) -> bytes:
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + len(words) + 1]
+    return pack(narrow(np.diff(ends)), words.buffers()[2][int(ends[0]):int(ends[-1])].to_pybytes())
 
 
-def unpack_words(data: bytes) -> list[str]:
+def unpack_words(data: bytes) -> pa.LargeBinaryArray:
     sizes, blob = unpack(data)
-    ends = np.cumsum(widen(sizes)).tolist()
-    return [blob[a:b].decode() for a, b in zip([0, *ends], ends)]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes := widen(sizes)), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(blob)])
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -117,48 +145,45 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     layout = Layout(docs)
     buckets = layout.buckets
     d = chunked(docs, layout)
+    piece_of = d.sparkSession.sparkContext.broadcast(pieces(path))  # bounded: the fixed vocabulary
 
     def keys(_, bodies: list[str]) -> Iterator[tuple[int, bytes]]:
-        distinct: set[str] = set()
-        for text in bodies:
-            distinct.update(words_of(text))
-        for b, words in by_bucket(distinct, buckets).items():
-            yield b, pack_words(words)
+        words = coded_words(bodies)[2]
+        for b, at in by_bucket(words, buckets):
+            yield b, pack_words(words.take(pa.array(at)))
 
     def reply(payloads: list[bytes]) -> list[bytes]:
-        number: dict[str, int] = {}
-        asked = []
-        for p in payloads:
-            words = unpack_words(p)
-            asked.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
-        lengths, flat = encode_words(list(number), path)
-        table = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(lengths)), flat)
+        """Per word its ids, and whether their pieces spell the word: these need not be joined again for every text."""
+        asked = [unpack_words(p) for p in payloads]
+        words = pa.chunked_array(asked).combine_chunks().dictionary_encode()
+        distinct = word_list(words.dictionary)
+        lengths, flat = encode_words([w.decode() for w in distinct], path)
+        start = np.cumsum(lengths) - lengths
+        parts = list(map(piece_of.value.__getitem__, flat.tolist()))
+        spelt = np.array([b"".join(parts[a:a + n]) == w for w, a, n in zip(distinct, start.tolist(), lengths.tolist())], dtype=bool)
         out = []
-        for at in asked:
-            got = table.take(pa.array(at))
-            out.append(pack(narrow(lengths[at]), narrow(got.flatten().to_numpy()), level=9))
+        for at in np.split(words.indices.to_numpy(), np.cumsum(list(map(len, asked)))[:-1]):
+            out.append(pack(narrow(lengths[at]), narrow(flat[places(start[at], lengths[at])]), np.packbits(spelt[at]).tobytes(), level=9))
         return out
 
-    piece_of = d.sparkSession.sparkContext.broadcast(pieces(path))  # bounded: the fixed vocabulary
-
     def work(ids: list, bodies: list[str], got: dict[int, bytes]) -> pa.Table:
-        split = [words_of(text) for text in bodies]
-        coded: dict[str, bytes] = {}
-        plain: dict[str, bytes] = {}
-        lookup = piece_of.value
-        for b, words in by_bucket(set().union(*split), buckets).items():
-            sizes, flat = unpack(got[b])
-            ends = np.cumsum(widen(sizes)).tolist()
-            own = widen(flat)
-            joined = list(map(lookup.__getitem__, own.tolist()))
-            flat = own.astype(np.int32).tobytes()
-            for w, lo, hi in zip(words, [0, *ends], ends):
-                coded[w] = flat[4 * lo:4 * hi]
-                plain[w] = b"".join(joined[lo:hi])
-        codes = [b"".join(map(coded.__getitem__, ws)) for ws in split]
-        decoded = [b"".join(map(plain.__getitem__, ws)).decode("utf-8", errors="replace") for ws in split]
-        offsets = np.append(0, np.cumsum([len(c) // 4 for c in codes])).astype(np.int32)
-        values = np.frombuffer(b"".join(codes), dtype=np.int32)
+        counts, codes, words = coded_words(bodies)
+        size, start, spelt = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), np.ones(len(words), dtype=bool)
+        parts, upto = [np.zeros(0, dtype=np.int64)], 0
+        for b, at in by_bucket(words, buckets):
+            sizes, flat, same = unpack(got[b])
+            size[at] = sizes = widen(sizes)
+            start[at] = upto + np.cumsum(sizes) - sizes
+            spelt[at] = np.unpackbits(np.frombuffer(same, dtype=np.uint8), count=len(at))
+            parts.append(widen(flat))
+            upto += len(parts[-1])
+        values = np.concatenate(parts)[places(start[codes], size[codes])].astype(np.int32)
+        cuts = np.append(0, np.cumsum(counts))
+        offsets = np.append(0, np.cumsum(size[codes]))[cuts].astype(np.int32)
+        odd = np.append(0, np.cumsum(~spelt[codes]))[cuts]
+        decoded, lookup = list(bodies), piece_of.value  # where all words are spelt by their pieces, so is the text
+        for i in np.nonzero(np.diff(odd))[0].tolist():
+            decoded[i] = b"".join(map(lookup.__getitem__, values[offsets[i]:offsets[i + 1]].tolist())).decode("utf-8", errors="replace")
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())),
                          "decoded": pa.array(decoded, pa.string())})
 
