@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docatlas.llm.bpe import words_of
+from docatlas.llm.bpe import coded_words, places
 from docatlas.llm.common import shared_folder, vocabulary_file
-from docatlas.llm.packed import Layout, chunked, pack, runs, unpack
+from docatlas.llm.packed import Layout, chunked, pack, runs, unpack, word_list
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer pattern of the public byte-level vocabulary.
@@ -57,24 +57,26 @@ def codec(path: str):
     return _CODECS[path]
 
 
-def encode_distinct(words: list[str], path: str) -> dict[str, bytes]:
-    """Word -> ids as little-endian numbers; plain words are encoded in one text and cut apart by their byte lengths."""
+def encode_distinct(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, ids): word i has the n[i] ids from first[i] on; plain words are encoded in one text and cut apart by their byte lengths."""
     encoding, sizes, _ = codec(path)
-    out, plain = {}, []
-    for w in words:
-        if _PLAIN.fullmatch(w):
-            plain.append(w)
-        else:
-            out[w] = np.array(encoding.encode_ordinary(w), dtype=np.uint16).tobytes()
+    first, n, parts, upto = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), [np.zeros(0, dtype=np.uint16)], 0
+    plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+    for i in np.nonzero(~plain)[0].tolist():
+        parts.append(np.array(encoding.encode_ordinary(words[i]), dtype=np.uint16))
+        first[i], n[i] = upto, len(parts[-1])
+        upto += len(parts[-1])
+    plain = np.nonzero(plain)[0]
     for k in range(0, len(plain), 50_000):
         part = plain[k:k + 50_000]
-        ids = np.array(encoding.encode_ordinary("".join(part)), dtype=np.uint16)
-        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(w.encode()) for w in part])) + 1
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(part, ends.tolist()):
-            out[w] = raw[2 * at:2 * end]
-            at = end
-    return out
+        own = [words[i] for i in part.tolist()]
+        ids = np.array(encoding.encode_ordinary("".join(own)), dtype=np.uint16)
+        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(w.encode()) for w in own])) + 1
+        n[part] = np.diff(ends, prepend=0)
+        first[part] = upto + ends - n[part]
+        parts.append(ids)
+        upto += len(ids)
+    return first, n, np.concatenate(parts)
 
 
 def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -105,15 +107,16 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
     layout = Layout(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([codec(path)[2]], dtype=np.uint16).tobytes()
+        end = np.uint16(codec(path)[2])
         for chunk, lo, _, part in runs(batches):
-            split = [words_of(t) for t in part.column(3).to_pylist()]
-            coded = encode_distinct(list(set().union(*split)), path)
-            bodies = [b"".join(map(coded.__getitem__, ws)) + end for ws in split]
-            counts = np.array([len(b) // 2 for b in bodies], dtype=np.int64)
+            per_text, codes, words = coded_words(part.column(3).to_pylist())
+            first, n, flat = encode_distinct([w.decode() for w in word_list(words)], path)
+            ends = np.append(0, np.cumsum(n[codes]))[np.cumsum(per_text)]
+            counts = np.diff(ends, prepend=0) + 1
+            tokens = np.insert(flat[places(first[codes], n[codes])], ends, end)
             ids = part.column(2)
             valid = np.array(ids.is_valid().to_pylist(), dtype=np.bool_)
-            payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), valid.tobytes(), counts.tobytes(), b"".join(bodies), level=9)
+            payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), valid.tobytes(), counts.tobytes(), tokens.tobytes(), level=9)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lo], pa.int64()), pa.array([int((-(-counts // length)).sum())], pa.int64()),
                                               pa.array([payload], pa.binary())], ["chunk", "lo", "n", "payload"])
 

@@ -498,3 +498,98 @@ def test_stored_gives_python_few_rows_at_a_time(spark):
     got = stored(spark.range(100, numPartitions=2).mapInArrow(size, "n long"), "few", batch=8).collect()
     assert sum(r.n for r in got) == 100 and max(r.n for r in got) == 8
     assert spark.conf.get(key) == old
+
+
+def test_probe_steps_grow_with_the_depth(spark):
+    """A walk down a long chain looks at each node once, not at all that is below it."""
+    import sys
+
+    base = np.arange(1500, dtype=np.uint64)
+    tree = ngram_join.PrefixTree([np.append(base, np.arange(5, dtype=np.uint64) + np.uint64(10_000 + 10 * i)) for i in range(3)])
+    for i in range(2):
+        tree.insert(i)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = tree.probe(2, lambda i: False)
+    finally:
+        sys.setprofile(None)
+    assert sorted(got) == [0, 1] and calls < 100_000
+
+
+def test_steps_that_read_sets_get_one_chunk_at_a_time(spark, monkeypatch):
+    asked = {}
+
+    def spied(f):
+        def run(df, *args, batch=None, **more):
+            asked[f.__name__, *args[:1]] = batch
+            return f(df, *args, batch=batch, **more)
+        return run
+
+    for f in (ngram_join.stored, ngram_join.components):
+        monkeypatch.setattr(ngram_join, f.__name__, spied(f))
+    join = ngram_join.Join(spark.createDataFrame(near_rows(40), "doc_id long, text string"))
+    join.components()
+    assert asked["stored", "shingles"] == asked["stored", "sets"] == asked["components",] == join.layout.chunk_rows
+
+
+def test_repeats_drop_their_first_shuffles(spark, monkeypatch):
+    tidy, old = {}, repeats.stored
+
+    def spied(df, name, **more):
+        tidy[name] = more.get("tidy", False)
+        return old(df, name, **more)
+
+    monkeypatch.setattr(repeats, "stored", spied)
+    assert repeats.remove_repeats(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id long, text string")).count() == 2
+    assert tidy == {"repeats": True}
+
+
+def test_coded_runs_give_texts_back():
+    ids, texts = [3, None, 5], ["a B a", "", "c"]
+    sizes, words = suffix_lm.split(texts)
+    h = suffix_lm.Histories((sizes, words), 2)
+    for size in (1, 300, 70_000):
+        x = np.arange(size)[::-1].copy()
+        assert (suffix_lm.read_planes(suffix_lm.planes(x)) == x).all()
+    part = pa.RecordBatch.from_arrays([pa.array([7] * 3), pa.array(range(3)), pa.array(ids, pa.int64()), pa.array(texts)], ["chunk", "row", "doc_id", "text"])
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([part])))
+
+    (got,) = suffix_lm.coded_runs(Frame())
+    assert got.column("lo").to_pylist() == [0] and got.column("hi").to_pylist() == [2]
+    own, again = suffix_lm.read_run(got.column("payload")[0].as_py(), 2)
+    assert own == ids and again.words.to_pylist() == h.words.to_pylist()
+    for name in ("sizes", "symbols", "hashes"):
+        assert (getattr(again, name) == getattr(h, name)).all()
+    assert all((a == b).all() for a, b in zip(again.grams + again.contexts, h.grams + h.contexts))
+
+
+def test_words_as_arrays_are_the_words_of_the_texts():
+    rng = random.Random(3)
+    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\u00a0 b", "a \u2003b c", "x y\u3000z w", "ä ö", "a\x1c b \x85c", "d e", "", "<|endoftext|> f g"]
+    texts += ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", "é", "\u00a0", "\u200a", "日", "."]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    counts, codes, words = bpe.coded_words(texts)
+    got, words = iter(codes.tolist()), words.to_pylist()
+    assert [[words[next(got)].decode() for _ in range(n)] for n in counts.tolist()] == [bpe.words_of(t) for t in texts]
+    assert next(got, None) is None and len(set(words)) == len(words)
+    every = pa.array([b"", b"x", b"", b"yz"], pa.large_binary())
+    assert [packed.word_list(x) for x in (every, every[1:], every[:0], every[4:], pa.array([b""], pa.large_binary()))] == [[b"", b"x", b"", b"yz"], [b"x", b"", b"yz"], [], [], [b""]]
+    for part in ([], [""], ["", ""], ["", "a b"], ["a", ""]):
+        assert bpe.coded_words(part)[0].tolist() == [len(bpe.words_of(t)) for t in part]
+
+
+def test_distinct_words_are_encoded_apart():
+    path = bpe.vocabulary_file(training_order.RANKS)
+    words = ["first", " plain", " two", "\n", " x\ny", "  ", " é", " 12a", "", " don't"]
+    first, n, ids = training_order.encode_distinct(words, path)
+    encoding = training_order.codec(path)[0]
+    assert [ids[a:a + k].tolist() for a, k in zip(first.tolist(), n.tolist())] == [encoding.encode_ordinary(w) for w in words]
+    assert [len(x) for x in training_order.encode_distinct([], path)] == [0, 0, 0]
