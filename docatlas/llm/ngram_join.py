@@ -16,8 +16,10 @@ sets that share such a token (with sizes within 0.8 of each other) are brought t
    over the ordered sets: a probe walks the tree, shares the partial overlap of common
    beginnings and leaves a subtree when the remaining lengths cannot reach the required
    overlap; sets already known to be connected are not compared again;
-4. large classes have several blocks: after connecting inside the blocks, only the sets
-   outside the class's largest connected part still meet all blocks.
+   Tokens that one set alone has in its group bound its overlaps: many sets of a class that
+   grew around one document are left by their counts;
+4. large classes have several blocks: after connecting inside the blocks, some sets that have
+   links meet all other blocks, then only the sets outside the class's largest connected part do.
 
 Results are exact up to 64-bit hashes of words, shingles and sets.
 
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from docatlas.llm.common import boxed, filed, may_be_in, stored, unboxed, without
@@ -48,6 +50,7 @@ NEED, OF = 80, 100
 BLOCK_SETS, BLOCK_TOKENS = 1000, 1_000_000
 PAIRED = 32  # sets with a common token that are paired; more of them form a star
 TOKEN_BITS = 40  # of a token that travel; others choose the bucket
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -57,22 +60,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def coded_words(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where the words of each text end among the words of all, the words as numbers, and the distinct words."""
+    bodies = [t.encode("utf-8", errors="replace").lower() for t in bodies]
+    text = np.frombuffer(b"\n".join(bodies), dtype=np.uint8)
+    letter = ~SPACE[text]
+    first, behind = (np.nonzero(letter & ~x)[0] for x in (np.append(False, letter[:-1]), np.append(letter[1:], False)))
+    ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in bodies]))
+    data = text[letter]
+    at = np.append(0, np.cumsum(behind + 1 - first)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    return ends, words.indices.to_numpy(), words.dictionary.to_pylist()
+
+
 def shingle_sets(bodies: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    split = [t.encode("utf-8", errors="replace").lower().split() for t in bodies]
-    distinct = list(set().union(*split)) if split else []
-    number = dict(zip(distinct, range(len(distinct))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    if not bodies:
+        return []
+    ends, codes, distinct = coded_words(bodies)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))[codes]
     out = []
-    for words in split:
-        if not words:
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        if a == b:
             out.append(np.zeros(0, dtype=np.uint64))
             continue
-        h = hashes[np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))]
-        k = min(WORDS, len(words))
-        s = np.full(len(words) - k + 1, k, dtype=np.uint64)
+        h = hashes[a:b]
+        k = min(WORDS, len(h))
+        s = np.full(len(h) - k + 1, k, dtype=np.uint64)
         for i in range(k):
-            s = s * _A + h[i:len(words) - k + 1 + i]
+            s = s * _A + h[i:len(h) - k + 1 + i]
         out.append(np.unique(mix(s)))
     return out
 
@@ -151,23 +167,43 @@ class Node:
 
 
 class PrefixTree:
-    """Ordered sets in a trie; a set rests at the first node that it has alone (or at its end)."""
+    """Ordered sets in a trie; a set rests at the first node that it has alone (or at its end).
+
+    Tokens that no set to be compared has are in no overlap.  The others bound the overlap of a set
+    with any set, and its leading tokens are the first of them.  ``left``: sets that are compared
+    with all others, but not with each other; without it, all are compared."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], left: np.ndarray | None = None):
         self.root, self.leaf = Node(), {}
-        self.first: dict[int, list[int]] = {}  # leading token -> sets
         # tokens by small numbers, in one array
         self.size = np.array(list(map(len, sets)), dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
-        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        names, self.flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.flags = np.zeros(len(names), dtype=bool)
         self.sets = np.split(self.flat, self.start[1:])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        met = count > 1
+        if left is not None:
+            n = np.bincount(self.flat[left[owner]], minlength=len(names))
+            met = (n > 0) & (n < count)
+        met = met[self.flat]
+        self.common = np.add.reduceat(met.astype(np.int64), self.start)
+        token, owner = self.flat[met], owner[met]
+        spare = self.common + NEED * self.size // -OF  # a linked set has all but so many of them
+        lead = np.arange(len(owner)) - (np.cumsum(self.common) - self.common)[owner] <= spare[owner]
+        token, owner = token[lead], owner[lead]
+        self.lead = np.split(token, np.searchsorted(owner, np.arange(1, len(sets))))
+        # leading token -> sets
+        self.met, self.met_at = owner[np.argsort(token, kind="stable")], np.append(0, np.cumsum(np.bincount(token, minlength=len(names))))
+        self.inserted, self.hits = np.zeros(len(sets), dtype=bool), np.zeros(len(sets), dtype=bool)
 
     def insert(self, i: int) -> None:
+        """Adds set i, unless no set has enough of its tokens."""
+        if not len(self.lead[i]):
+            return
+        self.inserted[i] = True
         own, node, depth = self.sets[i], self.root, 0
         n = len(own)
-        for token in own[:leading(n)].tolist():  # leading tokens of both sets meet if the sets link
-            self.first.setdefault(token, []).append(i)
         while True:
             if depth == n or not node.children and not node.sets and node is not self.root:
                 node.rest(i, n)
@@ -182,15 +218,27 @@ class PrefixTree:
             node = node.child(int(own[depth]))
             depth += 1
 
+    def wanted(self, x: int, skip) -> np.ndarray:
+        """Sets that meet one of the leading tokens of set x and have enough tokens to link with it."""
+        first = self.met_at[self.lead[x]]
+        many = self.met_at[self.lead[x] + 1] - first
+        self.hits[self.met[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]] = True
+        self.hits[x] = False
+        at = np.nonzero(self.hits & self.inserted)[0]
+        self.hits[:] = False
+        n, m = self.size[x], self.size[at]
+        near = (OF * np.minimum(n, m) >= NEED * np.maximum(n, m)) & (np.minimum(self.common[x], self.common[at]) >= -(-NEED * (n + m) // (OF + NEED)))
+        return at[near & np.logical_not(skip(at))]
+
     def probe(self, x: int, skip) -> list[int]:
-        """Sets that link with set x, of those that meet one of its leading tokens; ``skip(i)`` says that i need not be compared.
+        """Sets that link with set x, of those that meet one of its leading tokens; ``skip(sets)`` says which need not be compared.
 
         The walk gives the sets that lengths and partial overlaps cannot rule out; these are compared together."""
         n = int(self.size[x])
-        tokens = self.sets[x].tolist()
-        wanted = {i for i in set().union(*(self.first.get(t, ()) for t in tokens[:leading(n)])) if not skip(i)}
+        wanted = set(self.wanted(x, skip).tolist())
         if not wanted:
             return []
+        tokens = self.sets[x].tolist()
         below: dict[Node, list[Node]] = {}  # the part of the tree that leads to wanted sets
         for i in wanted:
             node = self.leaf[i]
@@ -212,7 +260,7 @@ class PrefixTree:
                 continue
             for i in node.sets:
                 m = int(self.size[i])
-                if i in wanted and OF * min(n, m) >= NEED * max(n, m) and overlap + min(n - used, m - depth) >= -(-NEED * (n + m) // (OF + NEED)):
+                if i in wanted and overlap + min(n - used, m - depth) >= -(-NEED * (n + m) // (OF + NEED)):
                     left.append(i)
             for child in below[node]:
                 p = place.get(child.token)
@@ -229,34 +277,26 @@ class PrefixTree:
         return at[OF * both >= NEED * (n + size - both)].tolist()
 
 
+def dealt(d: DataFrame, *keys: str) -> GroupedData:
+    """Groups of ``d``, over the configured number of tasks: they are heavy on CPU per byte, so they are not coalesced by size."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def link_groups(ids: list[int], sets: list[np.ndarray], labels: list[int] | None = None, left: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Stars around the smallest ids that connect what links connect: among all sets, or between ``left`` sets and all others of other labels."""
-    up = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    if labels is not None:
-        first: dict[int, int] = {}
-        for i, label in enumerate(labels):
-            up[i] = first.setdefault(label, i)
-    tree = PrefixTree(sets)
-    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+    """Stars around the smallest ids that connect what links connect: among all sets, or between ``left`` sets and the others, of other labels."""
+    label = np.arange(len(ids)) if labels is None else np.unique(labels, return_inverse=True)[1]
+    tree = PrefixTree(sets, None if left is None else np.array(left))
+    order = np.argsort(tree.size, kind="stable").tolist()
     if left is not None:
         for i in order:
-            tree.insert(i)
+            if not left[i]:
+                tree.insert(i)
         order = [i for i in order if left[i]]
     out = []
     for i in order:
-        mine = find(i)
-        for j in tree.probe(i, lambda j: find(j) == mine):
-            a, b = find(i), find(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                mine = min(a, b)
+        for j in tree.probe(i, lambda at: label[at] == label[i]):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 out.append((ids[i], ids[j]))
         if left is None:
             tree.insert(i)
@@ -387,31 +427,40 @@ class Join:
             links = link_groups(table["set_id"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()])
             return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-        links = stored(sets.select("set_id", "tokens", "class", "block").groupBy("class", "block").applyInArrow(inside, LINK), "links")
+        links = stored(dealt(sets.select("set_id", "tokens", "class", "block"), "class", "block").applyInArrow(inside, LINK), "links")
         if not live.where("blocks > 1").take(1):  # every class was joined as a whole: its stars are the components
             return links.select(F.col("a").alias("set_id"), F.col("b").alias("root"))
-        return components(links.unionByName(self._across(sets, links))).select(F.col("vertex").alias("set_id"), "root")
+        split = sets.where("blocks > 1")
+        links = links.unionByName(stored(self._across(split, links, some=True), "some"))
+        return components(links.unionByName(self._across(split, links))).select(F.col("vertex").alias("set_id"), "root")
 
     @staticmethod
-    def _across(sets: DataFrame, links: DataFrame) -> DataFrame:
-        """Links between blocks: sets outside the largest connected part of their class meet all blocks of it."""
-        split = sets.where("blocks > 1")
+    def _across(split: DataFrame, links: DataFrame, some: bool = False) -> DataFrame:
+        """Links between blocks: sets outside the largest connected part of their class meet all other blocks of it.
+
+        ``some``: instead, half a block of sets that have links meet all other blocks, which connects the parts that one
+        cluster has in several blocks, so that few sets are outside after."""
         known = components(links).select(F.col("vertex").alias("set_id"), "root")
-        label = split.select("set_id", "class").join(known, "set_id", "left").select("set_id", "class", F.coalesce("root", "set_id").alias("label"))
-        parts = label.groupBy("class", "label").agg(F.count("*").alias("size"))
-        most = parts.groupBy("class").agg(F.max_by("label", F.struct("size", "label")).alias("most"), (F.sum("size") - F.max("size")).alias("outside"))
-        d = split.join(label.drop("class"), "set_id").join(most, "class")
-        groups = F.ceil(F.col("outside") / BLOCK_SETS).cast("int")
-        whole = d.where("outside > 0").select("class", "set_id", "tokens", "label", "block", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), F.lit(False).alias("left"))
-        outer = d.where("label <> most").select("class", "set_id", "tokens", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                                                F.pmod(F.xxhash64(F.lit(7), "set_id"), groups.cast("long")).cast("int").alias("part"), F.lit(True).alias("left"))
+        label = split.select("set_id", "class", "n").join(known, "set_id", "left").select(
+            "set_id", "class", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "set_id").alias("label"))
+        parts = label.groupBy("class", "label").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+        largest = F.struct("size", "label")
+        most = parts.groupBy("class").agg(F.max_by("label", largest).alias("most"), (F.sum("size") - F.max("size")).alias("outside"),
+                                          (F.sum("tokens") - F.max_by("tokens", largest)).alias("tokens_outside"))
+        d = split.join(label.drop("class", "n"), "set_id").join(most, "class").where("outside > 0")
+        groups = F.lit(1) if some else F.greatest(F.ceil(F.col("outside") / BLOCK_SETS), F.ceil(F.col("tokens_outside") / BLOCK_TOKENS)).cast("int")
+        meets = F.col("linked") & (F.pmod(F.xxhash64(F.lit(11), "set_id"), 2 * F.col("blocks")) == 0) if some else F.col("label") != F.col("most")
+        whole = d.select("class", "set_id", "tokens", "label", "block", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), F.lit(False).alias("left"))
+        outer = d.where(meets).withColumn("own", F.col("block")).select(
+            "class", "set_id", "tokens", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64(F.lit(7), "set_id"), groups.cast("long")).cast("int").alias("part"), F.lit(True).alias("left")).where("block <> own").drop("own")
 
         def between(table: pa.Table) -> pa.Table:
             links = link_groups(table["set_id"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()],
                                 table["label"].to_pylist(), table["left"].to_pylist())
             return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-        return whole.unionByName(outer).groupBy("class", "block", "part").applyInArrow(between, LINK)
+        return dealt(whole.unionByName(outer), "class", "block", "part").applyInArrow(between, LINK)
 
     def labelled(self) -> DataFrame:
         """rows() with root; null where the set is empty."""

@@ -593,3 +593,50 @@ def test_distinct_words_are_encoded_apart():
     encoding = training_order.codec(path)[0]
     assert [ids[a:a + k].tolist() for a, k in zip(first.tolist(), n.tolist())] == [encoding.encode_ordinary(w) for w in words]
     assert [len(x) for x in training_order.encode_distinct([], path)] == [0, 0, 0]
+
+
+def test_sets_are_linked_by_counts_of_common_tokens():
+    rng = random.Random(21)
+    for _ in range(60):
+        bases = [rng.sample(range(400), rng.randint(1, 60)) for _ in range(3)]
+        sets = [np.array(sorted(set(rng.choice(bases)[rng.randint(0, 3):]) | {rng.randrange(500) for _ in range(rng.randint(0, 8))} | {0}), dtype=np.uint64) for _ in range(rng.randint(2, 30))]
+        ids, left = rng.sample(range(10**6), len(sets)), [rng.random() < 0.4 for _ in sets]
+        linked = [(i, j) for i in range(len(ids)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        for got, want in ((ngram_join.link_groups(ids, sets), linked),
+                          (ngram_join.link_groups(ids, sets, list(range(len(ids))), left), [(i, j) for i, j in linked if left[i] != left[j]])):
+            a, b = np.array([(ids[i], ids[j]) for i, j in want], dtype=np.int64).reshape(-1, 2).T
+            assert sorted(got) == sorted(zip(*(x.tolist() for x in ngram_join.stars(a, b))))
+
+
+def test_sets_with_many_tokens_of_their_own_are_not_compared():
+    """Copies of one text that have more than a fifth of own tokens, and copies that have less."""
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.append(base[i % 7:], np.arange(own, dtype=np.uint64) + np.uint64(1000 * (i + 1))) for i, own in enumerate([40] * 30 + [2] * 10)]
+    tree = ngram_join.PrefixTree(sets)
+    for i in range(len(sets)):
+        tree.insert(i)
+    found = [tree.wanted(i, lambda at: at < 0).tolist() for i in range(len(sets))]
+    assert found == [[]] * 30 + [[j for j in range(30, 40) if j != i] for i in range(30, 40)]
+    assert len(tree.leaf) == 10
+    outer = np.arange(len(sets)) >= 38
+    assert ngram_join.PrefixTree(sets, outer).common.tolist() == [len(set(range(i % 7, 100)) & set(range(3, 100))) if i < 38 else 100 - i % 7 for i in range(40)]
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_blocks_of_a_class_are_spread_over_tasks(spark, some):
+    """Blocks meet other blocks only, in as many tasks as configured, however few bytes they have."""
+    sets = spark.createDataFrame([(i, 3, np.arange(3, dtype=np.uint64).tobytes(), 1, 4, i % 4) for i in range(16)], "set_id long, n long, tokens binary, class long, blocks int, block int")
+    links = spark.createDataFrame([(i, i % 4) for i in range(4, 12)], "a long, b long")
+    plan = ngram_join.Join._across(sets, links, some=some)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RepartitionByExpression [class#" in plan and f"], {spark.conf.get('spark.sql.shuffle.partitions')}" in plan
+    got = ngram_join.Join._across(sets, links, some=some).collect()
+    assert got and all(r.a % 4 != r.b % 4 or r.a // 4 == 3 for r in got)
+
+
+def test_words_of_shingles_are_ascii_words():
+    texts = ["", " ", "a", "A\tb\x0b c\x0c\r\nD", "\x1c\x85  Ä x", "x\ud800 y", "  two  words  ", "", "\x00 \x00a"]
+    ends, codes, words = ngram_join.coded_words(texts)
+    split = [t.encode("utf-8", errors="replace").lower().split() for t in texts]
+    assert ends.tolist() == np.cumsum(list(map(len, split))).tolist()
+    assert [words[c] for c in codes] == [w for x in split for w in x] and len(set(words)) == len(words)
+    assert ngram_join.shingle_sets([]) == [] and [len(s) for s in ngram_join.shingle_sets(["", "a", "a b c d e f"])] == [0, 1, 2]
